@@ -1,87 +1,69 @@
 """Exact quantiles of few, very large groups.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which is fine for a client's 24 months and
-not for a third of all rows.  Here a group is first collapsed to (value, count) pairs, then to a histogram of at most
-``bins`` rows, and only the bins that hold a wanted rank are opened again.  All heavy steps are grouped by more than the
-hot key and combine on the map side.
+not for a third of all rows.  Here a group is first counted into log-spaced bins, and only the bins that hold a wanted
+rank are opened: their values are collapsed to (value, count) pairs and ranked per bin.  Both countings combine on the
+map side and are grouped by more than the hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 16384
+RESOLUTION = 4096  # bins per e-fold: a bin spans 0.025 percent of its values
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bins: int = BINS
-) -> DataFrame:
+def _bin(v: Column) -> Column:
+    """Non-decreasing in v, so bins are in value order."""
+    x = v.cast("double")
+    return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * RESOLUTION)).cast("int")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys``: one row per group, one column per entry of ``probs``.
 
     Nulls in ``value`` are skipped and null keys drop out.  Meant for keys with a bounded number of groups (attribute
-    codes, items, periods): the per-group tables below are broadcast.
+    codes, items, periods): the opened bins, at most two per group and probability, are broadcast.
     """
-    keys = list(keys) or ["_all"]
-    if keys == ["_all"]:
-        df = df.withColumn("_all", F.lit(0))
-    pairs = (
-        df.select(*keys, F.col(value).alias("_v")).na.drop("any").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    )
-    span = pairs.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").cast("long").alias("_size")
-    )
-    # log-spaced bins: a single huge value cannot push everything else into one bin
-    width = F.log1p((F.col("_hi") - F.col("_lo")).cast("double"))
-    place = F.log1p((F.col("_v") - F.col("_lo")).cast("double"))
-    bin_of = F.when(width > 0, F.least(F.lit(bins - 1), F.floor(place / width * bins))).otherwise(0).cast("int")
-    binned = pairs.join(F.broadcast(span), keys).withColumn("_bin", bin_of)
+    by = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
+    names = list(keys) or ["_all"]
+    rows = df.select(*by, F.col(value).alias("_v")).na.drop("any").withColumn("_bin", _bin(F.col("_v")))
 
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (
-        binned.groupBy(*keys, "_bin")
-        .agg(F.sum("_n").cast("long").alias("_in_bin"), F.first("_size").alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_in_bin").over(upto), F.lit(0)).cast("long"))
+    group = Window.partitionBy(*names)
+    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = rows.groupBy(*names, "_bin").agg(F.count("*").alias("_n"))
+    hist = hist.select(
+        *names, "_bin", "_n", F.sum("_n").over(upto).alias("_end"), F.sum("_n").over(group).alias("_size")
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("_name"), F.lit(side).alias("_side"), F.lit(float(p)).alias("_p"))
-            for name, p in probs.items()
-            for side in (0, 1)
-        ]
+    wanted = ", ".join(
+        f"struct({2 * i + side} AS id, {edge}({p}D * (_size - 1)) - (_end - _n) AS k, "
+        f"{p}D * (_size - 1) - floor({p}D * (_size - 1)) AS frac)"
+        for i, p in enumerate(float(x) for x in probs.values())
+        for side, edge in enumerate(("floor", "ceil"))
     )
-    position = F.col("_w._p") * (F.col("_size") - 1)
-    rank = F.when(F.col("_w._side") == 0, F.floor(position)).otherwise(F.ceil(position))
-    targets = (
-        hist.select("*", F.explode(wanted).alias("_w"))
-        .withColumn("_rank", rank)
-        .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in_bin")))
-        .select(
-            *keys,
-            "_bin",
-            (F.col("_rank") - F.col("_before")).alias("_k"),
-            F.col("_w._name").alias("_name"),
-            F.col("_w._side").alias("_side"),
-            (position - F.floor(position)).alias("_frac"),
-        )
+    inside = f"filter(array({wanted}), w -> w.k >= 0 AND w.k < _n)"
+    opened = hist.select(*names, "_bin", F.expr(inside).alias("_w")).filter("size(_w) > 0")
+
+    pairs = (
+        rows.join(F.broadcast(opened.select(*names, "_bin")), [*names, "_bin"], "left_semi")
+        .groupBy(*names, "_bin", "_v")
+        .agg(F.count("*").alias("_m"))
     )
-    opened = targets.groupBy(*keys, "_bin").agg(F.collect_list(F.struct("_k", "_name", "_side", "_frac")).alias("_t"))
-    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*names, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = (
-        binned.join(F.broadcast(opened), [*keys, "_bin"])
-        .withColumn("_ahead", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        .select("*", F.explode("_t").alias("_w"))
-        .filter((F.col("_w._k") >= F.col("_ahead")) & (F.col("_w._k") < F.col("_ahead") + F.col("_n")))
+        pairs.withColumn("_last", F.sum("_m").over(within))
+        .join(F.broadcast(opened), [*names, "_bin"])
+        .select(*names, "_v", "_last", "_m", F.explode("_w").alias("_w"))
+        .filter("_w.k < _last AND _w.k >= _last - _m")
     )
+
     out = []
-    for name in probs:
-        low, high = (
-            F.max(F.when((F.col("_w._name") == name) & (F.col("_w._side") == s), F.col("_v").cast("double")))
-            for s in (0, 1)
-        )
-        frac = F.max(F.when(F.col("_w._name") == name, F.col("_w._frac")))
-        out.append((low + (high - low) * frac).alias(name))
-    result = hit.groupBy(*keys).agg(*out)
-    return result.drop("_all") if keys == ["_all"] else result
+    for i, name in enumerate(probs):
+        low, high = (f"max(CASE WHEN _w.id = {2 * i + side} THEN double(_v) END)" for side in (0, 1))
+        frac = f"max(CASE WHEN _w.id = {2 * i} THEN _w.frac END)"
+        out.append(F.expr(f"{low} + ({high} - {low}) * {frac}").alias(name))
+    result = hit.groupBy(*names).agg(*out)
+    return result.select(*keys, *probs)

@@ -30,14 +30,14 @@ def _moment(stat: str, feature: str) -> Column:
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str], stats: Sequence[str]) -> DataFrame:
-    """``stats`` of ``features`` per group, one row per group, columns ``{feature}_{stat}``.
+    """``stats`` of ``features`` per group, one row per group, columns ``{feature}_{stat}`` with dots as underscores.
 
     ``std`` is the sample one, quantiles are linear; ``quantile_q`` is null as soon as one value is null, the ``nan``
     forms skip nulls.  Null keys drop out.  Moments come from one grouped aggregate; quantiles of all features from one
     exact distributed pass, so a group with a third of all rows is never held by one task.
     """
     rows = df.na.drop("any", subset=list(keys))
-    named = {(f, s): f"{f}_{s}" for f in features for s in stats}
+    named = {(f, s): f"{f}_{s}".replace(".", "_") for f in features for s in stats}
     moments = [_moment(s, f).alias(n) for (f, s), n in named.items() if _quantile_of(s) is None]
     strict = sorted({f for f, s in named if s.startswith("quantile_")})
     gaps = [(F.count("*") > F.count(f)).alias(f"_gap_{f}") for f in strict]

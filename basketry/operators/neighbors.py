@@ -8,10 +8,11 @@ and the comparison is a matrix product inside ``mapInPandas``: no pair ever beco
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,21 +64,50 @@ def open_arrays(arrays: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
     )
 
 
-def _similarity(own: np.ndarray, pool: np.ndarray, measure: str) -> np.ndarray:
-    """Larger is closer; undefined similarities rank last."""
-    if measure == "cos":
-        norms = np.sqrt((own * own).sum(axis=1))[:, None] * np.sqrt((pool * pool).sum(axis=1))[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = (own @ pool.T) / norms
-        return np.where(norms > 0, sim, -np.inf)
-    squares = (own * own).sum(axis=1)[:, None] + (pool * pool).sum(axis=1)[None, :] - 2.0 * (own @ pool.T)
-    return -np.maximum(squares, 0.0)
+def _blender(
+    pools: Broadcast, k: int | None, alpha: float, measure: str, normalize: bool
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The task side; self-contained, so workers need numpy and pandas only."""
+
+    def similarity(own: np.ndarray, pool: np.ndarray) -> np.ndarray:
+        # larger is closer; undefined similarities rank last
+        own_sq, pool_sq = (own * own).sum(axis=1)[:, None], (pool * pool).sum(axis=1)[None, :]
+        dot = own @ pool.T
+        if measure == "ed":
+            return -np.maximum(own_sq + pool_sq - 2.0 * dot, 0.0)
+        norms = np.sqrt(own_sq) * np.sqrt(pool_sq)
+        return np.divide(dot, norms, out=np.full_like(dot, -np.inf), where=norms > 0)
+
+    def scaled(m: np.ndarray) -> np.ndarray:
+        top = m.max(axis=1, keepdims=True)
+        return np.divide(m, top, out=np.zeros_like(m), where=top != 0)
+
+    def choose(own: np.ndarray, pool: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        # 0/1 matrix of the k nearest; candidates are in id order, so a stable sort breaks ties by id
+        if k is None:
+            return (~mine).astype(np.float64)
+        score = similarity(own, pool)
+        order = np.lexsort((-score, mine), axis=1)[:, :k]
+        chosen = np.zeros(score.shape)
+        np.put_along_axis(chosen, order, 1.0, axis=1)
+        chosen[mine] = 0.0
+        return chosen
 
+    def blend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for pool_id, rows in pdf.groupby("pool"):
+                chids = rows["chid"].to_numpy(np.int64)
+                own = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+                if int(pool_id) not in pools.value:
+                    mean, target = np.zeros_like(own), scaled(own) if normalize else own
+                else:
+                    ids, pool = pools.value[int(pool_id)]
+                    chosen = choose(own, pool, np.equal.outer(chids, ids))
+                    source, target = (scaled(pool), scaled(own)) if normalize else (pool, own)
+                    mean = (chosen @ source) / np.maximum(chosen.sum(axis=1, keepdims=True), 1.0)
+                yield pd.DataFrame({"chid": chids, "vec": list(alpha * target + (1.0 - alpha) * mean)})
 
-def _scaled(m: np.ndarray) -> np.ndarray:
-    """Each row divided by its maximum; rows without a positive maximum become 0."""
-    top = m.max(axis=1, keepdims=True)
-    return np.divide(m, top, out=np.zeros_like(m), where=top != 0)
+    return blend
 
 
 def neighbor_blend(
@@ -113,34 +143,8 @@ def neighbor_blend(
     }
     shipped = vectors.sparkSession.sparkContext.broadcast(pools)
 
-    def blend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for pool_id, rows in pdf.groupby("pool"):
-                ids, pool = shipped.value[int(pool_id)]
-                own = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-                chids = rows["chid"].to_numpy(np.int64)
-                mine = np.equal.outer(chids, ids)
-                available = (~mine).sum(axis=1)
-                take = available if k is None else np.minimum(available, k)
-                if k is None:
-                    chosen = (~mine).astype(np.float64)
-                else:
-                    distance = np.where(mine, np.inf, -_similarity(own, pool, measure))
-                    order = np.lexsort((np.broadcast_to(mine, distance.shape), distance), axis=1)
-                    chosen = np.zeros(distance.shape)
-                    width = min(k, pool.shape[0])
-                    hit = order[:, :width]
-                    ranks = np.arange(width)[None, :] < take[:, None]
-                    np.put_along_axis(chosen, hit, ranks.astype(np.float64), axis=1)
-                source, target = (_scaled(pool), _scaled(own)) if normalize else (pool, own)
-                mean = np.divide(
-                    chosen @ source, take[:, None], out=np.zeros_like(own), where=take[:, None] > 0
-                )
-                out = alpha * target + (1.0 - alpha) * mean
-                yield pd.DataFrame({"chid": chids, "vec": list(out)})
-
     pooled = arrays.withColumn("pool", pool_of(n_pools, seed))
-    return open_arrays(pooled.mapInPandas(blend, "chid long, vec array<double>"), spec, value)
+    return open_arrays(pooled.mapInPandas(_blender(shipped, k, alpha, measure, normalize), "chid long, vec array<double>"), spec, value)
 
 
 def attribute_blend(

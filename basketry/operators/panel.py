@@ -83,10 +83,15 @@ def feature_map(
 def pivot_items(
     long: DataFrame, spec: LedgerSpec, values: Sequence[str], which: ItemSet = "leg", suffix: str = "tag"
 ) -> DataFrame:
-    """(chid, tag, values) to one wide row per client.  Column names and number are known up front."""
-    aggregates = [
-        F.max(F.when(F.col("tag") == tag, F.col(v))).alias(f"{v}_{suffix}{tag}")
-        for v in values
-        for tag in spec.item_set(which)
-    ]
-    return long.groupBy("chid").agg(*aggregates)
+    """(chid, tag, values) to one wide row per client, columns ``{value}_tag{tag}``.
+
+    The items are given, so no job looks for them, and each value is pivoted by one aggregate.
+    """
+    tags = spec.item_set(which)
+    wide = (
+        long.groupBy("chid").pivot("tag", list(tags)).agg(*[F.max(v).alias(v) for v in values])
+    )
+    # a single value is named after the item only
+    old = "{tag}_{v}" if len(values) > 1 else "{tag}"
+    names = [f"`{old.format(tag=t, v=v)}` AS `{v}_{suffix}{t}`" for v in values for t in tags]
+    return wide.selectExpr("chid", *names)

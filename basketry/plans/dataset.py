@@ -15,18 +15,14 @@ from pyspark.sql import functions as F
 from basketry.config import Decay, ItemSet, LedgerSpec, trailing
 from basketry.functions.decay import decay_weight
 from basketry.operators import behavior as beh
-from basketry.operators.filters import mean_fill, sample_rows
-from basketry.operators.groupstats import (
-    each_attribute_stats,
-    join_each_attribute,
-    join_group_stats,
-    windowed_group_stats,
-)
+from basketry.operators.filters import sample_rows
+from basketry.operators.groupstats import each_attribute_stats, group_stats, join_each_attribute, join_group_stats
 from basketry.operators.labels import eligible_clients, label_rows, multiclass_labels
 from basketry.operators.neighbors import neighbor_blend
 from basketry.operators.decayed import decayed_features, decayed_purchases, variant_stats
 from basketry.operators.panel import pivot_items
 from basketry.operators.raw import client_attributes, flat_vector
+from basketry.session import written
 
 
 @dataclass(frozen=True)
@@ -107,13 +103,56 @@ def item_features(ledger: DataFrame, spec: LedgerSpec, cfg: DatasetConfig) -> tu
     rows = ledger.filter((dt <= t) & F.col("tag").isin(*used))
     per_item = rows.groupBy("chid", "tag").agg(*aggregates)
     per_item = per_item.select("chid", "tag", *[c.alias(n) for n, (c, _, _) in columns.items()])
-    wide, fills = [], {}
-    for name, (_, fill, which) in columns.items():
-        for tag in spec.item_set(which):
-            out = f"{name}_tag{tag}"
-            wide.append(F.max(F.when(F.col("tag") == tag, F.col(name))).alias(out))
-            fills[out] = fill
-    return per_item.groupBy("chid").agg(*wide), fills
+    wide = pivot_items(per_item, spec, list(columns), used)
+    fills = {f"{n}_tag{tag}": fill for n, (_, fill, which) in columns.items() for tag in spec.item_set(which)}
+    return wide, fills
+
+
+def _mean_over_rows(stats: DataFrame, rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Column:
+    """Mean of joined group statistics over the rows, as one struct: from the group sizes, not from the joined rows."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    known = stats.join(sizes, list(keys))
+    means = [
+        F.try_divide(F.sum(F.col(v) * F.col("_n")), F.sum(F.when(F.col(v).isNotNull(), F.col("_n")))).alias(v)
+        for v in values
+    ]
+    return known.agg(F.struct(*means).alias("m")).scalar()
+
+
+def add_group_stats(
+    out: DataFrame,
+    ledger: DataFrame,
+    profile: DataFrame,
+    attrs: DataFrame,
+    spec: LedgerSpec,
+    g: GroupStat,
+    t: int,
+    prefix: str,
+) -> DataFrame:
+    """Joins the statistics of one configuration; a client without a group takes the mean over all clients.
+
+    The statistics are a small table: computed once, written, and read by the join and by the means.
+    """
+    first, last = trailing(t, *g.window)
+    keys = list(spec.attributes) if g.keys == "each" else list(g.keys)
+    rows = ledger.filter(F.col("dt").between(first, last) & F.col("tag").isin(*spec.item_set(g.items)))
+    codes = profile.filter(F.col("dt").between(first, last)).select("chid", "dt", *keys)
+    rows = rows.join(codes, ["chid", "dt"])
+    if g.keys != "each":
+        stats = written(group_stats(rows, keys, g.features, g.stats), "group_stats")
+        values = [c for c in stats.columns if c not in keys]
+        means = _mean_over_rows(stats, attrs, keys, values)
+        out = join_group_stats(out, stats, keys, spec)
+        return out.withColumns({f"{prefix}_{v}": F.coalesce(v, means.getField(v)) for v in values}).drop(*values)
+    stats = written(each_attribute_stats(rows, keys, g.features, g.stats), "attribute_stats")
+    values = [c for c in stats.columns if c not in ("attr", "code")]
+    out = join_each_attribute(out, stats, keys, spec)
+    filled = {}
+    for a in keys:
+        part = stats.filter(F.col("attr") == a).withColumn(a, F.col("code"))
+        means = _mean_over_rows(part, attrs.select(F.col(a).cast("string").alias(a)), [a], values)
+        filled.update({f"{prefix}_{a}_{v}": F.coalesce(f"{a}_{v}", means.getField(v)) for v in values})
+    return out.withColumns(filled).drop(*[f"{a}_{v}" for a in keys for v in values])
 
 
 def build_features(
@@ -150,25 +189,8 @@ def build_features(
     if wanted:
         attrs = client_attributes(profile, wanted, t, clients if cfg.production else None)
         out = out.join(attrs, "chid", "left")
-    added: list[str] = []
-    for i, g in enumerate(cfg.group_stats):
-        first, last = trailing(t, *g.window)
-        rows = ledger.filter(F.col("dt").between(first, last) & F.col("tag").isin(*spec.item_set(g.items)))
-        per_group = list(spec.attributes) if g.keys == "each" else list(g.keys)
-        rows = rows.join(profile.filter(F.col("dt").between(first, last)).select("chid", "dt", *per_group), ["chid", "dt"])
-        before = set(out.columns)
-        if g.keys == "each":
-            stats = each_attribute_stats(rows, per_group, g.features, g.stats)
-            out = join_each_attribute(out, stats, per_group, spec)
-        else:
-            stats = windowed_group_stats(rows, spec, per_group, (first, last), g.items, g.features, g.stats)
-            out = join_group_stats(out, stats, per_group, spec)
-        new = [c for c in out.columns if c not in before]
-        renamed = {c: f"g{i}_{c}" for c in new}
-        out = out.withColumnsRenamed(renamed)
-        added.extend(renamed.values())
-    if added:
-        out = mean_fill(out, added)
+        for i, g in enumerate(cfg.group_stats):
+            out = add_group_stats(out, ledger, profile, attrs, spec, g, t, f"g{i}")
     return out.drop(*[k for k in wanted if k not in cfg.attributes])
 
 

@@ -18,6 +18,7 @@ from basketry.operators.neighbors import neighbor_blend
 from basketry.operators.ranking import rank_by_probability, rank_by_vector
 from basketry.operators.weights import active_weights, label_weights
 from basketry.operators.labels import label_rows
+from basketry.session import written
 from basketry.plans.dataset import DatasetConfig, build_dataset, build_features
 
 
@@ -34,11 +35,13 @@ class Sources:
 def weighted_dataset(
     src: Sources, cfg: DatasetConfig, amount: str, imputation: str = "denoise", blocked: DataFrame | None = None
 ) -> DataFrame:
-    """Training rows with the sample weight of their label."""
+    """Training rows with the sample weight of their label, written once: a learner reads them many times."""
     data = build_dataset(src.ledger, src.profile, src.clients, src.spec, cfg, blocked)
     labels = label_rows(src.ledger, src.spec, cfg.t_end)
     weights = label_weights(labels, active_weights(src.ledger, src.spec, cfg.t_end, amount), imputation)
-    return data.join(weights.select("chid", "label", "weight"), ["chid", "label"])
+    # an item without any history has no weight; exp(0) keeps its rows
+    known = weights.select("chid", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return written(data.join(known, ["chid", "label"]), "training")
 
 
 def train_model(

@@ -14,8 +14,8 @@ from basketry.queries.base import SPEC, T_END, TARGET, Tables, query, rounded
 STATS = ["mean", "nanmedian", "std", "quantile_0.25", "nanquantile_0.9"]
 _STATS_SQL = ", ".join(
     f"""round(avg({f}), 4) AS {f}_mean, round(median({f}), 4) AS {f}_nanmedian, round(stddev_samp({f}), 3) AS {f}_std,
-        round(quantile_cont({f}, 0.25), 4) AS "{f}_quantile_0.25", round(quantile_cont({f}, 0.9), 4) AS "{f}_nanquantile_0.9" """
-    for f in ("txn_cnt", "amt")
+        round(quantile_cont({f}, 0.25), 4) AS {f}_quantile_0_25, round(quantile_cont({f}, 0.9), 4) AS {f}_nanquantile_0_9"""
+    for f in ("txn_cnt", "amt_cents")
 )
 
 
@@ -30,7 +30,7 @@ def _stats(df: DataFrame) -> DataFrame:
         WHERE dt BETWEEN 18 AND 23 AND tag IN (SELECT tag FROM leg) GROUP BY nation, prio""",
 )
 def group_stats(t: Tables) -> DataFrame:
-    return _stats(grp.windowed_group_stats(t.wide, SPEC, ["nation", "prio"], (18, 23), "leg", ["txn_cnt", "amt"], STATS))
+    return _stats(grp.windowed_group_stats(t.wide, SPEC, ["nation", "prio"], (18, 23), "leg", ["txn_cnt", "amt_cents"], STATS))
 
 
 _EACH = " UNION ALL ".join(
@@ -42,7 +42,7 @@ _EACH = " UNION ALL ".join(
 @query("a02_each_attribute", _EACH)
 def each_attribute(t: Tables) -> DataFrame:
     rows = t.wide.filter(F.col("dt").between(18, 23))
-    return _stats(grp.each_attribute_stats(rows, SPEC.attributes, ["txn_cnt", "amt"], STATS))
+    return _stats(grp.each_attribute_stats(rows, SPEC.attributes, ["txn_cnt", "amt_cents"], STATS))
 
 
 @query(

@@ -15,6 +15,7 @@ from basketry.operators.metrics import client_ndcg
 from basketry.operators.ranking import rank_by_probability
 from basketry.plans import dataset as ds
 from basketry.plans import training as tr
+from basketry.session import written
 from basketry.queries.base import MODELS, SPEC, T_END, TARGET, Tables, query, rounded
 
 PSEUDO = 797.165663
@@ -61,10 +62,10 @@ _P13_SQL = ", ".join(sql.format(x=x) + f" AS {name}_tag{x}" for name, sql in _P1
                   count(*) FILTER (dt > 1 AND (prev IS NULL OR prev < dt - 1)) AS n01
                 FROM st GROUP BY 1, 2),
         f AS (SELECT chid, {_P13_SQL} FROM clients LEFT JOIN per USING (chid) GROUP BY chid),
-        at AS (SELECT chid, nation, region, prio FROM (SELECT *, row_number() OVER (PARTITION BY chid ORDER BY dt DESC) AS rn FROM profile WHERE dt <= 23) WHERE rn = 1),
+        latest AS (SELECT chid, nation, region, prio FROM (SELECT *, row_number() OVER (PARTITION BY chid ORDER BY dt DESC) AS rn FROM profile WHERE dt <= 23) WHERE rn = 1),
         gs AS (SELECT nation, avg(amt) AS g1, quantile_cont(amt, 0.75) AS g2 FROM wide WHERE dt BETWEEN 18 AND 23 AND tag IN (SELECT tag FROM leg) GROUP BY nation)
-        SELECT f.*, at.nation AS nation, at.region AS region, at.prio AS prio, round(g1, 4) AS g0_amt_nanmean, round(g2, 4) AS "g0_amt_nanquantile_0.75", label
-        FROM target_labels JOIN warm USING (chid) JOIN f USING (chid) JOIN at USING (chid) JOIN gs ON gs.nation = at.nation""",
+        SELECT f.*, latest.nation AS nation, latest.region AS region, latest.prio AS prio, round(g1, 4) AS g0_amt_nanmean, round(g2, 4) AS g0_amt_nanquantile_0_75, label
+        FROM target_labels JOIN warm USING (chid) JOIN f USING (chid) JOIN latest USING (chid) JOIN gs ON gs.nation = latest.nation""",
 )
 def dataset(t: Tables) -> DataFrame:
     """The whole training set of one fold as one plan."""
@@ -106,7 +107,7 @@ def _scored(predictions: DataFrame) -> DataFrame:
 def train_models(t: Tables) -> DataFrame:
     """Regression, forest and early-stopped boosted trees trained on one fold, scored on the next period."""
     src = sources(t)
-    valid = ds.build_dataset(src.ledger, src.profile, src.clients, SPEC, _base(T_END))
+    valid = written(ds.build_dataset(src.ledger, src.profile, src.clients, SPEC, _base(T_END)), "valid")
     out = None
     for algorithm, params in (("lr", {}), ("rf", {"trees": 10}), ("gbt", {"rounds": 4, "depth": 3, "valid": valid})):
         model = tr.train_model(src, _base(TRAIN_END), "amt", algorithm, **params)
@@ -136,7 +137,7 @@ def production(t: Tables) -> DataFrame:
 
 def _meta(t: Tables) -> DataFrame:
     store = t.predictions.filter(F.col("split") == "unseen")
-    return stk.meta_dataset(store, SPEC, MODELS, lab.label_rows(t.ledger, SPEC, T_END))
+    return written(stk.meta_dataset(store, SPEC, MODELS, lab.label_rows(t.ledger, SPEC, T_END)), "meta")
 
 
 @query("p06_out_of_fold")

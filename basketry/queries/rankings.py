@@ -55,11 +55,12 @@ def weighted_rating(t: Tables) -> DataFrame:
     "k03_rank_by_rating",
     _RATING
     + """, o AS (SELECT tag, row_number() OVER (ORDER BY rating DESC, tag) AS rn FROM rated WHERE tag IN (SELECT tag FROM leg))
-         SELECT chid, (SELECT max(tag) FROM o WHERE rn = 1) AS top1, (SELECT max(tag) FROM o WHERE rn = 2) AS top2,
-                (SELECT max(tag) FROM o WHERE rn = 3) AS top3 FROM clients""",
+         SELECT chid, coalesce((SELECT max(tag) FROM o WHERE rn = 1), 0) AS top1, coalesce((SELECT max(tag) FROM o WHERE rn = 2), 0) AS top2,
+                coalesce((SELECT max(tag) FROM o WHERE rn = 3), 0) AS top3 FROM clients""",
 )
 def rank_by_rating(t: Tables) -> DataFrame:
-    return rnk.rank_by_rating(t.past, t.clients, SPEC, 100.0)
+    """Fewer than three legit items may pass the threshold; the missing places are shown as 0."""
+    return rnk.rank_by_rating(t.past, t.clients, SPEC, 100.0).na.fill(0)
 
 
 @query(

@@ -159,13 +159,13 @@ _SCALED = """SELECT vec.chid AS chid, tag, coalesce(v / nullif(top, 0), 0) AS s
 @query(
     "n04_scaled_feature_blend",
     f"""{_POOLS}, sc AS ({_SCALED})
-        SELECT own.chid AS chid, own.tag AS tag, round({ALPHA} * own.s + (1 - {ALPHA}) * coalesce(n.m, 0), 6) AS v
+        SELECT own.chid AS chid, own.tag AS tag, round({ALPHA} * own.s + (1 - {ALPHA}) * coalesce(n.m, 0), 10) AS v
         FROM sc own LEFT JOIN (SELECT pairs.chid AS chid, sc.tag AS tag, avg(s) AS m FROM pairs JOIN sc ON sc.chid = pairs.other GROUP BY 1, 2) AS n
         ON n.chid = own.chid AND n.tag = own.tag""",
 )
 def scaled_blend(t: Tables) -> DataFrame:
     """Every vector divided by its maximum, all candidates averaged."""
-    return rounded(nei.neighbor_blend(_counts(t), SPEC, "v", CANDIDATES, None, ALPHA, "cos", POOLS, normalize=True))
+    return rounded(nei.neighbor_blend(_counts(t), SPEC, "v", CANDIDATES, None, ALPHA, "cos", POOLS, normalize=True), 10)
 
 
 @query(
@@ -173,12 +173,12 @@ def scaled_blend(t: Tables) -> DataFrame:
     f"""{_POOLS}, sc AS ({_SCALED}), a AS (SELECT chid, segment, region FROM attrs),
         same AS (SELECT pairs.chid AS chid, pairs.other AS other FROM pairs JOIN a AS x ON x.chid = pairs.chid JOIN a AS y ON y.chid = pairs.other
                  WHERE x.segment = y.segment AND x.region = y.region)
-        SELECT own.chid AS chid, own.tag AS tag, round({ALPHA} * own.s + (1 - {ALPHA}) * coalesce(n.m, 0), 6) AS v
+        SELECT own.chid AS chid, own.tag AS tag, round({ALPHA} * own.s + (1 - {ALPHA}) * coalesce(n.m, 0), 10) AS v
         FROM sc own LEFT JOIN (SELECT same.chid AS chid, sc.tag AS tag, avg(s) AS m FROM same JOIN sc ON sc.chid = same.other GROUP BY 1, 2) AS n
         ON n.chid = own.chid AND n.tag = own.tag""",
 )
 def attribute_blend(t: Tables) -> DataFrame:
     """Neighbours are the candidates with the same segment and region."""
     return rounded(
-        nei.attribute_blend(_counts(t), t.attributes, ["segment", "region"], SPEC, "v", CANDIDATES, ALPHA, POOLS)
+        nei.attribute_blend(_counts(t), t.attributes, ["segment", "region"], SPEC, "v", CANDIDATES, ALPHA, POOLS), 10
     )

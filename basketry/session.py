@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", app: str = "basketry", memory: str = "12g", **conf: str) -> SparkSession:
@@ -52,3 +52,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root}/basketry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from a table below the shared folder: computed once, lineage cut, safe against lost
+    executors.  Without a shared folder the plan stays as it is.
+    """
+    spark = df.sparkSession
+    if shared_dir(spark) is None:
+        return df
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,10 @@ shuffle, and a period filter skips row groups by their statistics.  A written ta
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,25 +53,30 @@ class Inputs:
         return src.client_attributes(self.table("customer"), self.table("nation"))
 
     def _state(self, sources: tuple[str, ...]) -> tuple[str, int]:
-        """Fingerprint and size of the source files, from file listings only."""
+        """Fingerprint and size of the source files, from listings only; no file is opened."""
+        files = [f for s in sources for f in self._listing(self.path(s))]
+        digest = hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:16]
+        return digest, sum(size for _, size, _ in files)
+
+    def _listing(self, path: str) -> list[tuple[str, int, str]]:
+        """(path, size, modification time) of the files of one source."""
+        local = Path(path.removeprefix("file://"))
+        if local.exists():
+            found = [local] if local.is_file() else [f for f in local.rglob("*") if f.is_file()]
+            return [(str(f), (st := f.stat()).st_size, str(st.st_mtime_ns)) for f in found]
         files = (
             self.spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
-            .load([self.path(s) for s in sources])
-            .select("path", "modificationTime", "length")
+            .load(path)
+            .select("path", "length", F.col("modificationTime").cast("string"))
         )
-        row = files.agg(
-            F.bit_xor(F.xxhash64("path", "modificationTime", "length")).alias("h"),
-            F.count("*").alias("n"),
-            F.sum("length").alias("size"),
-        ).first()
-        return f"{row.h & (2**64 - 1):016x}_{row.n}", row.size
+        # one short row per source file, as the driver lists them anyway to plan a scan
+        return [tuple(r) for r in files.collect()]
 
     def _prepared(self, name: str, sources: tuple[str, ...], build: Callable[..., DataFrame]) -> DataFrame:
         root = shared_dir(self.spark)
-        plan = build(*[self.table(s) for s in sources])
         if root is None:
-            return plan
+            return build(*[self.table(s) for s in sources])
         state, size = self._state(sources)
         # one folder per application: a table another application is still writing is never read
         app = "".join(c if c.isalnum() else "_" for c in self.spark.sparkContext.applicationId)
@@ -79,7 +86,8 @@ class Inputs:
             spread = min(self.spark.sparkContext.defaultParallelism, -(-size // SMALL_BUCKET))
             buckets = int(max(1, min(MAX_BUCKETS, max(wanted, spread))))
             (
-                plan.repartition(buckets, "chid")
+                build(*[self.table(s) for s in sources])
+                .repartition(buckets, "chid")
                 .sortWithinPartitions("dt", "chid")
                 .write.mode("overwrite")
                 .bucketBy(buckets, "chid")
