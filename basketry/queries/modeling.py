@@ -14,6 +14,7 @@ from basketry.operators import stacking as stk
 from basketry.operators.metrics import client_ndcg
 from basketry.operators.ranking import rank_by_probability
 from basketry.plans import dataset as ds
+from basketry.plans import lifecycle as lc
 from basketry.plans import training as tr
 from basketry.session import written
 from basketry.queries.base import MODELS, SPEC, T_END, TARGET, Tables, query, rounded
@@ -193,3 +194,22 @@ def reevaluation(t: Tables) -> DataFrame:
         "warm_clients": tr.train_model(src, replace(_base(TRAIN_END), drop_cold_start=True), "amt"),
     }
     return rounded(tr.reevaluate(src, models, _base(T_END)))
+
+
+@query("p01_temporal_folds")
+def temporal_cv(t: Tables) -> DataFrame:
+    """One model per temporal fold, scored on the fold's validation period."""
+    folds = lab.temporal_folds(2, TARGET)
+    return rounded(lc.cross_validate(sources(t), _base, folds, "amt", rounds=10))
+
+
+@query("p08_stacker_and_blend")
+def stacker_and_blend(t: Tables) -> DataFrame:
+    """Base predictions to a stacker, its predictions into the store, and a blend of both ranked."""
+    src, models = sources(t), MODELS[:2]
+    store = written(t.predictions, "store")
+    oof, refits = lc.train_stacker(src, store, models, T_END, "amt", folds=2, seeds=ml.SEEDS[:2], rounds=5)
+    unseen = lc.predict_stacker(src, refits, store, models)
+    stacked = lc.store_rows(oof, "meta", 1, "oof").unionByName(lc.store_rows(unseen, "meta", 1, "unseen"))
+    ranking, _ = lc.blend_and_score(src, store.unionByName(stacked), [*models, ("meta", 1)], TARGET)
+    return ranking
