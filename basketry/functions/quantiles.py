@@ -22,11 +22,14 @@ def _bin(v: Column) -> Column:
     return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * RESOLUTION)).cast("int")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], few_groups: bool = True
+) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys``: one row per group, one column per entry of ``probs``.
 
-    Nulls in ``value`` are skipped and null keys drop out.  Meant for keys with a bounded number of groups (attribute
-    codes, items, periods): the opened bins, at most two per group and probability, are broadcast.
+    Nulls in ``value`` are skipped and null keys drop out.  With ``few_groups`` the number of groups is bounded by code
+    lists (attribute codes, items, periods) and the opened bins, at most two per group and probability, are broadcast.
+    Otherwise values are collapsed first and joined by shuffle.
     """
     by = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
     names = list(keys) or ["_all"]
@@ -47,15 +50,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     inside = f"filter(array({wanted}), w -> w.k >= 0 AND w.k < _n)"
     opened = hist.select(*names, "_bin", F.expr(inside).alias("_w")).filter("size(_w) > 0")
 
-    pairs = (
-        rows.join(F.broadcast(opened.select(*names, "_bin")), [*names, "_bin"], "left_semi")
-        .groupBy(*names, "_bin", "_v")
-        .agg(F.count("*").alias("_m"))
-    )
+    size_hint = F.broadcast if few_groups else (lambda side: side)
+    if few_groups:
+        rows = rows.join(F.broadcast(opened.select(*names, "_bin")), [*names, "_bin"], "left_semi")
+    pairs = rows.groupBy(*names, "_bin", "_v").agg(F.count("*").alias("_m"))
+    if not few_groups:
+        pairs = pairs.join(opened.select(*names, "_bin"), [*names, "_bin"], "left_semi")
     within = Window.partitionBy(*names, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = (
         pairs.withColumn("_last", F.sum("_m").over(within))
-        .join(F.broadcast(opened), [*names, "_bin"])
+        .join(size_hint(opened), [*names, "_bin"])
         .select(*names, "_v", "_last", "_m", F.explode("_w").alias("_w"))
         .filter("_w.k < _last AND _w.k >= _last - _m")
     )

@@ -113,8 +113,6 @@ def item_frequency(ledger: DataFrame, start: int, stop: int) -> DataFrame:
 def amount_heatmap(ledger: DataFrame, spec: LedgerSpec, value: str, chid: int | None = None) -> DataFrame:
     """Item x period table of amounts rounded to one decimal, of all clients or of one."""
     rows = ledger if chid is None else ledger.filter(F.col("chid") == chid)
-    cells = [
-        F.round(F.coalesce(F.sum(F.when(F.col("dt") == dt, F.col(value))), F.lit(0)), 1).alias(f"dt{dt}")
-        for dt in range(1, spec.n_periods + 1)
-    ]
-    return rows.groupBy("chid", "tag").agg(*cells)
+    periods = range(1, spec.n_periods + 1)
+    wide = rows.groupBy("chid", "tag").pivot("dt", list(periods)).agg(F.sum(value))
+    return wide.selectExpr("chid", "tag", *[f"round(coalesce(`{dt}`, 0), 1) AS dt{dt}" for dt in periods])

@@ -29,7 +29,14 @@ def _moment(stat: str, feature: str) -> Column:
     raise ValueError(f"unknown statistic {stat!r}")
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str], stats: Sequence[str]) -> DataFrame:
+def few_groups(spec: LedgerSpec, keys: Sequence[str]) -> bool:
+    """Code lists have at most ``max_codes`` entries, which bounds the groups of a few keys."""
+    return spec.max_codes ** len(keys) <= BROADCAST_GROUPS
+
+
+def group_stats(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], stats: Sequence[str], few: bool = True
+) -> DataFrame:
     """``stats`` of ``features`` per group, one row per group, columns ``{feature}_{stat}`` with dots as underscores.
 
     ``std`` is the sample one, quantiles are linear; ``quantile_q`` is null as soon as one value is null, the ``nan``
@@ -52,7 +59,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str], sta
                 F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_x")) for f in features])
             ).alias("_e"),
         ).select(*keys, "_e._f", "_e._x")
-        found = exact_quantiles(long, [*keys, "_f"], "_x", probs)
+        found = exact_quantiles(long, [*keys, "_f"], "_x", probs, few)
         wide = found.groupBy(*keys).agg(
             *[
                 F.max(F.when(F.col("_f") == f, F.col(by_prob[_quantile_of(s)]))).alias(n)
@@ -79,7 +86,7 @@ def windowed_group_stats(
 ) -> DataFrame:
     """Group statistics over a period window and an item set of a ledger that carries the attributes."""
     rows = ledger.filter(F.col("dt").between(*periods) & F.col("tag").isin(*spec.item_set(which)))
-    return group_stats(rows, keys, features, stats)
+    return group_stats(rows, keys, features, stats, few_groups(spec, keys))
 
 
 def each_attribute_stats(
@@ -98,11 +105,9 @@ def each_attribute_stats(
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], spec: LedgerSpec) -> DataFrame:
     """Group statistics back to rows.
 
-    A code list has at most ``max_codes`` entries, which bounds the groups; within the bound they are broadcast, beyond
-    it Spark shuffles both sides and splits hot groups.
+    Within the bound of the code lists they are broadcast, beyond it Spark shuffles both sides and splits hot groups.
     """
-    bounded = spec.max_codes ** len(keys) <= BROADCAST_GROUPS
-    return df.join(F.broadcast(stats) if bounded else stats, list(keys), "left")
+    return df.join(F.broadcast(stats) if few_groups(spec, keys) else stats, list(keys), "left")
 
 
 def join_each_attribute(df: DataFrame, stats: DataFrame, attributes: Sequence[str], spec: LedgerSpec) -> DataFrame:
@@ -112,6 +117,6 @@ def join_each_attribute(df: DataFrame, stats: DataFrame, attributes: Sequence[st
         part = stats.filter(F.col("attr") == a).select(
             F.col("code").alias("_code"), *[F.col(v).alias(f"{a}_{v}") for v in values]
         )
-        side = F.broadcast(part) if spec.max_codes <= BROADCAST_GROUPS else part
+        side = F.broadcast(part) if few_groups(spec, [a]) else part
         df = df.join(side, F.col(a).cast("string") == F.col("_code"), "left").drop("_code")
     return df

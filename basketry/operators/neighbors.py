@@ -112,6 +112,7 @@ def _blender(
 
 def neighbor_blend(
     vectors: DataFrame,
+    clients: DataFrame,
     spec: LedgerSpec,
     value: str,
     n_candidates: int = 1000,
@@ -122,8 +123,9 @@ def neighbor_blend(
     normalize: bool = False,
     seed: int = 0,
 ) -> DataFrame:
-    """``alpha * own + (1 - alpha) * mean of the k nearest candidates`` per (chid, tag).
+    """``alpha * own + (1 - alpha) * mean of the k nearest candidates`` per (chid, tag), for the clients with a vector.
 
+    Candidates are drawn from ``clients``; items a vector does not list are 0.
     Ties go to the smaller client id, a client is never its own neighbour, ``k=None`` takes all candidates.  With
     ``normalize`` every vector is divided by its maximum before it is averaged or blended.
     """
@@ -133,17 +135,17 @@ def neighbor_blend(
         raise ValueError("k exceeds the number of candidates")
     if n_pools * n_candidates * len(spec.items) > MAX_POOL_CELLS:
         raise ValueError("candidate pools would not fit a broadcast: lower n_pools or n_candidates")
-    arrays = item_arrays(vectors, spec, value)
-    members = candidate_pools(arrays, n_pools, n_candidates, seed)
-    # at most n_pools * n_candidates rows
-    sample = arrays.join(F.broadcast(members), "chid").toPandas().sort_values("chid")
+    members = candidate_pools(clients, n_pools, n_candidates, seed)
+    # at most n_pools * n_candidates candidates, whatever the number of clients
+    chosen = item_arrays(vectors.join(F.broadcast(members.select("chid")), "chid", "left_semi"), spec, value)
+    sample = chosen.withColumn("pool", pool_of(n_pools, seed)).toPandas().sort_values("chid")
     pools = {
         int(p): (g["chid"].to_numpy(np.int64), np.stack(g["vec"].to_numpy()).astype(np.float64))
         for p, g in sample.groupby("pool")
     }
     shipped = vectors.sparkSession.sparkContext.broadcast(pools)
 
-    pooled = arrays.withColumn("pool", pool_of(n_pools, seed))
+    pooled = item_arrays(vectors, spec, value).withColumn("pool", pool_of(n_pools, seed))
     return open_arrays(pooled.mapInPandas(_blender(shipped, k, alpha, measure, normalize), "chid long, vec array<double>"), spec, value)
 
 

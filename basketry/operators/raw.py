@@ -53,18 +53,15 @@ def flat_vector(
     lo, up = window
     tags = spec.item_set(which)
     rows = ledger.filter(F.col("dt").between(t_end - lo + 1, t_end - up) & F.col("tag").isin(*tags))
-    cells = {
-        f"{value}_lag{lag}_tag{tag}": F.max(
-            F.when((F.col("dt") == t_end - lag) & (F.col("tag") == tag), F.col(value).cast("double"))
-        )
-        for lag in range(lo - 1, up - 1, -1)
-        for tag in tags
-    }
-    wide = rows.groupBy("chid").agg(*[c.alias(n) for n, c in cells.items()])
-    fill = F.lit(float(imputed))
-    return clients.join(wide, "chid", "left").select(
-        "chid", *[F.coalesce(F.nullif(F.col(n), F.lit(0.0)), fill).alias(n) for n in cells]
+    # one pivot key per (lag, item); the keys are known, so no job looks for them
+    width = max(spec.items) + 1
+    cells = {lag * width + tag: f"{value}_lag{lag}_tag{tag}" for lag in range(lo - 1, up - 1, -1) for tag in tags}
+    keyed = rows.select(
+        "chid", ((t_end - F.col("dt")) * width + F.col("tag")).alias("_cell"), F.col(value).cast("double").alias("_v")
     )
+    wide = keyed.groupBy("chid").pivot("_cell", list(cells)).agg(F.max("_v"))
+    filled = [f"coalesce(nullif(`{key}`, 0D), {float(imputed)}D) AS `{name}`" for key, name in cells.items()]
+    return clients.join(wide, "chid", "left").selectExpr("chid", *filled)
 
 
 def limit_stats(profile: DataFrame, clients: DataFrame, limit: str) -> DataFrame:

@@ -26,18 +26,20 @@ def _is(model: Model) -> Column:
 
 def prediction_matrix(store: DataFrame, spec: LedgerSpec, models: Sequence[Model]) -> DataFrame:
     """One row per client that every model predicted, one column per model and legit item."""
-    rows = store.filter(F.col("tag").isin(*spec.legit))
-    columns = [
-        F.max(F.when(_is(m) & (F.col("tag") == tag), F.col("prob"))).alias(f"{model_name(m)}_tag{tag}")
-        for m in models
-        for tag in spec.legit
-    ]
-    present = [F.max(F.when(_is(m), 1).otherwise(0)) for m in models]
-    everywhere = present[0]
-    for p in present[1:]:
-        everywhere = everywhere + p
-    wide = rows.groupBy("chid").agg(everywhere.alias("_models"), *columns)
-    return wide.filter(F.col("_models") == len(models)).drop("_models")
+    width = max(spec.items) + 1
+    position = F.lit(None).cast("int")
+    for i, m in enumerate(models):
+        position = F.when(_is(m), F.lit(i)).otherwise(position)
+    keyed = store.filter(F.col("tag").isin(*spec.legit)).select(
+        "chid", (position * width + F.col("tag")).alias("_cell"), "prob"
+    )
+    cells = {i * width + tag: f"{model_name(m)}_tag{tag}" for i, m in enumerate(models) for tag in spec.legit}
+    wide = keyed.na.drop("any", subset=["_cell"]).groupBy("chid").pivot("_cell", list(cells)).agg(F.max("prob"))
+    named = wide.selectExpr("chid", *[f"`{key}` AS `{name}`" for key, name in cells.items()])
+    for m in models:
+        seen = [f"{model_name(m)}_tag{tag}" for tag in spec.legit]
+        named = named.filter(F.coalesce(*seen).isNotNull())
+    return named
 
 
 def restack(meta: DataFrame, features: DataFrame) -> DataFrame:

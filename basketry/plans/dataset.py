@@ -16,7 +16,13 @@ from basketry.config import Decay, ItemSet, LedgerSpec, trailing
 from basketry.functions.decay import decay_weight
 from basketry.operators import behavior as beh
 from basketry.operators.filters import sample_rows
-from basketry.operators.groupstats import each_attribute_stats, group_stats, join_each_attribute, join_group_stats
+from basketry.operators.groupstats import (
+    each_attribute_stats,
+    few_groups,
+    group_stats,
+    join_each_attribute,
+    join_group_stats,
+)
 from basketry.operators.labels import eligible_clients, label_rows, multiclass_labels
 from basketry.operators.neighbors import neighbor_blend
 from basketry.operators.decayed import decayed_features, decayed_purchases, variant_stats
@@ -139,7 +145,7 @@ def add_group_stats(
     codes = profile.filter(F.col("dt").between(first, last)).select("chid", "dt", *keys)
     rows = rows.join(codes, ["chid", "dt"])
     if g.keys != "each":
-        stats = written(group_stats(rows, keys, g.features, g.stats), "group_stats")
+        stats = written(group_stats(rows, keys, g.features, g.stats, few_groups(spec, keys)), "group_stats")
         values = [c for c in stats.columns if c not in keys]
         means = _mean_over_rows(stats, attrs, keys, values)
         out = join_group_stats(out, stats, keys, spec)
@@ -171,12 +177,12 @@ def build_features(
     for name, p in cfg.purchases.items():
         if p.neighbors is not None:
             own = decayed_purchases(ledger, clients, spec, t, {name: p.decay}, "all")
-            blended = neighbor_blend(own, spec, name, **p.neighbors)
+            blended = neighbor_blend(own, clients, spec, name, **p.neighbors)
             out = out.join(pivot_items(blended, spec, [name], p.items), "chid", "left")
     for name, p in cfg.features.items():
         if p.neighbors is not None:
             own = decayed_features(ledger, clients, spec, t, {name: (p.value, p.decay, p.imputed)}, "all")
-            blended = neighbor_blend(own, spec, name, normalize=True, **p.neighbors)
+            blended = neighbor_blend(own, clients, spec, name, normalize=True, **p.neighbors)
             out = out.join(pivot_items(blended, spec, [name], p.items), "chid", "left")
     for names, stats in ((k.split("+"), s) for k, s in cfg.variant_stats.items()):
         for tag in spec.legit:

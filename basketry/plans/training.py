@@ -128,7 +128,7 @@ def search_vectors(src: Sources, t_end: int, grid: Sequence[VectorParams], n_poo
     parts = []
     for p in grid:
         own = decayed_purchases(src.ledger, src.clients, src.spec, t_end, {"v": p.decay}, "all")
-        vectors = neighbor_blend(own, src.spec, "v", p.n_candidates, p.k, p.alpha, p.measure, n_pools)
+        vectors = neighbor_blend(own, src.clients, src.spec, "v", p.n_candidates, p.k, p.alpha, p.measure, n_pools)
         ranking = rank_by_vector(vectors, src.ledger, src.clients, src.spec, "v", 1, t_end + 1)
         score = mean_ndcg(client_ndcg(ranking, src.ledger, src.spec, t_end + src.spec.horizon))
         parts.append(

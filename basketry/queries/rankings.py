@@ -11,7 +11,6 @@ from basketry.operators.decayed import decayed_purchases
 from basketry.operators.metrics import client_ndcg, mean_ndcg
 from basketry.plans.training import Sources, search_vectors, vector_grid
 from basketry.queries.base import SPEC, T_END, TARGET, Tables, query, rounded
-from basketry.sources.orders import orders_clients
 
 
 @query("k01_rank_by_probability", "SELECT chid, top1, top2, top3 FROM rank_b")
@@ -96,6 +95,6 @@ def truth_amounts(t: Tables) -> DataFrame:
 @query("k06_vector_grid")
 def vector_search(t: Tables) -> DataFrame:
     """Grid of decay and neighbour parameters with the NDCG of each point."""
-    src = Sources(t.ledger, t.profile, orders_clients(t.table("customer")), SPEC)
+    src = Sources(t.ledger, t.profile, t.clients, SPEC)
     grid = vector_grid([3], [0.5, 0.8], [0.9], [0.9], ["cos", "ed"], [10], [5, 100], window=12)
     return rounded(search_vectors(src, T_END, grid))

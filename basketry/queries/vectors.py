@@ -145,12 +145,12 @@ _COS = "(CASE WHEN n1 * n2 > 0 THEN dot / (sqrt(n1) * sqrt(n2)) END) DESC NULLS
 @query("n01_cosine_neighbors", f"{_POOLS}, {_nearest(_COS)} {_BLEND}")
 def cosine(t: Tables) -> DataFrame:
     """Cosine neighbours among the sampled candidates, blended into the own vector (also n03)."""
-    return rounded(nei.neighbor_blend(_counts(t), SPEC, "v", CANDIDATES, K, ALPHA, "cos", POOLS))
+    return rounded(nei.neighbor_blend(_counts(t), t.clients, SPEC, "v", CANDIDATES, K, ALPHA, "cos", POOLS))
 
 
 @query("n02_euclidean_neighbors", f"{_POOLS}, {_nearest('n1 + n2 - 2 * dot')} {_BLEND}")
 def euclidean(t: Tables) -> DataFrame:
-    return rounded(nei.neighbor_blend(_counts(t), SPEC, "v", CANDIDATES, K, ALPHA, "ed", POOLS))
+    return rounded(nei.neighbor_blend(_counts(t), t.clients, SPEC, "v", CANDIDATES, K, ALPHA, "ed", POOLS))
 
 
 _SCALED = """SELECT vec.chid AS chid, tag, coalesce(v / nullif(top, 0), 0) AS s FROM vec JOIN norms ON norms.chid = vec.chid"""
@@ -165,7 +165,7 @@ _SCALED = """SELECT vec.chid AS chid, tag, coalesce(v / nullif(top, 0), 0) AS s
 )
 def scaled_blend(t: Tables) -> DataFrame:
     """Every vector divided by its maximum, all candidates averaged."""
-    return rounded(nei.neighbor_blend(_counts(t), SPEC, "v", CANDIDATES, None, ALPHA, "cos", POOLS, normalize=True), 10)
+    return rounded(nei.neighbor_blend(_counts(t), t.clients, SPEC, "v", CANDIDATES, None, ALPHA, "cos", POOLS, normalize=True), 10)
 
 
 @query(

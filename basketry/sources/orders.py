@@ -75,8 +75,3 @@ def client_attributes(customer: DataFrame, nation: DataFrame) -> DataFrame:
     return customer.select(
         F.col("c_custkey").alias("chid"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")
     ).join(homes, "nation")
-
-
-def orders_clients(customer: DataFrame) -> DataFrame:
-    """The spine: every client, active or not."""
-    return customer.select(F.col("c_custkey").alias("chid"))

@@ -2,7 +2,8 @@
 
 Deriving the ledger reads every order line, so it is done once per state of the source files and written below the
 shared folder as a table bucketed by client and sorted by period.  Grouping by client (or client and item) then needs no
-shuffle, and a period filter skips row groups by their statistics.  A written table also survives lost executors.
+shuffle, ledger, profile and clients join without moving, and a period filter skips row groups by their statistics.  A
+written table also survives lost executors.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from basketry.sources import orders as src
 BYTES_PER_BUCKET = 128 << 20
 SMALL_BUCKET = 1 << 20
 MAX_BUCKETS = 65536
+SOURCES = ("lineitem", "orders", "part", "customer", "nation")
 
 
 class Inputs:
@@ -38,26 +40,35 @@ class Inputs:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return self._prepared("ledger", ("lineitem", "orders", "part"), src.orders_ledger)
+        return self._prepared("ledger", ("lineitem", "orders", "part"), src.orders_ledger, ["dt", "chid"])
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self._prepared("profile", ("orders", "customer", "nation"), src.orders_profile)
+        return self._prepared("profile", ("orders", "customer", "nation"), src.orders_profile, ["dt", "chid"])
 
     @cached_property
-    def clients(self) -> DataFrame:
-        return src.orders_clients(self.table("customer"))
+    def attributes(self) -> DataFrame:
+        return self._prepared("clients", ("customer", "nation"), src.client_attributes, ["chid"])
 
     @cached_property
-    def attributes(self) -> DataFrame:
-        return src.client_attributes(self.table("customer"), self.table("nation"))
+    def clients(self) -> DataFrame:
+        return self.attributes.select("chid")
 
-    def _state(self, sources: tuple[str, ...]) -> tuple[str, int]:
+    @cached_property
+    def _state(self) -> tuple[str, int]:
         """Fingerprint and size of the source files, from listings only; no file is opened."""
-        files = [f for s in sources for f in self._listing(self.path(s))]
+        files = [f for s in SOURCES for f in self._listing(self.path(s))]
         digest = hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:16]
         return digest, sum(size for _, size, _ in files)
 
+    @cached_property
+    def _buckets(self) -> int:
+        """One bucket count for all tables, so they join on the client without moving."""
+        size = self._state[1]
+        wanted = -(-size // BYTES_PER_BUCKET)
+        spread = min(self.spark.sparkContext.defaultParallelism, -(-size // SMALL_BUCKET))
+        return int(max(1, min(MAX_BUCKETS, max(wanted, spread))))
+
     def _listing(self, path: str) -> list[tuple[str, int, str]]:
         """(path, size, modification time) of the files of one source."""
         local = Path(path.removeprefix("file://"))
@@ -73,25 +84,23 @@ class Inputs:
         # one short row per source file, as the driver lists them anyway to plan a scan
         return [tuple(r) for r in files.collect()]
 
-    def _prepared(self, name: str, sources: tuple[str, ...], build: Callable[..., DataFrame]) -> DataFrame:
+    def _prepared(
+        self, name: str, sources: tuple[str, ...], build: Callable[..., DataFrame], order: list[str]
+    ) -> DataFrame:
         root = shared_dir(self.spark)
         if root is None:
             return build(*[self.table(s) for s in sources])
-        state, size = self._state(sources)
         # one folder per application: a table another application is still writing is never read
         app = "".join(c if c.isalnum() else "_" for c in self.spark.sparkContext.applicationId)
-        table = f"basketry_{name}_{app}_{state}".lower()
+        table = f"basketry_{name}_{app}_{self._state[0]}".lower()
         if not self.spark.catalog.tableExists(table):
-            wanted = -(-size // BYTES_PER_BUCKET)
-            spread = min(self.spark.sparkContext.defaultParallelism, -(-size // SMALL_BUCKET))
-            buckets = int(max(1, min(MAX_BUCKETS, max(wanted, spread))))
             (
                 build(*[self.table(s) for s in sources])
-                .repartition(buckets, "chid")
-                .sortWithinPartitions("dt", "chid")
+                .repartition(self._buckets, "chid")
+                .sortWithinPartitions(*order)
                 .write.mode("overwrite")
-                .bucketBy(buckets, "chid")
-                .sortBy("dt", "chid")
+                .bucketBy(self._buckets, "chid")
+                .sortBy(*order)
                 .option("path", f"{root}/basketry/{app}/{table}")
                 .format("parquet")
                 .saveAsTable(table)

@@ -69,7 +69,7 @@ def test_rankings_and_metrics_survive(ledger, make_clients, spec):
     rnk.rank_by_rating(ledger, clients, spec).collect()
     vec = dec.decayed_purchases(ledger, clients, spec, 20, {"v": Decay()}, "all")
     assert rnk.rank_by_vector(vec, ledger, clients, spec, "v", 1, 21).count() == 2
-    assert nei.neighbor_blend(vec, spec, "v", 3, 2, 0.5, "cos", 2).count() == 10
+    assert nei.neighbor_blend(vec, clients, spec, "v", 3, 2, 0.5, "cos", 2).count() == 10
     labels = lab.label_rows(ledger, spec, 19)
     wts.label_weights(labels, wts.active_weights(ledger, spec, 19, "amt")).collect()
     wts.class_weights(labels).collect()
@@ -103,9 +103,9 @@ def test_item_sets():
 def test_parameters_are_validated(make_ledger, spec):
     ledger = make_ledger([(1, 1, 2)])
     with pytest.raises(ValueError):
-        nei.neighbor_blend(ledger, spec, "amt", 5, 6)
+        nei.neighbor_blend(ledger, ledger, spec, "amt", 5, 6)
     with pytest.raises(ValueError):
-        nei.neighbor_blend(ledger, spec, "amt", 5, 2, measure="dot")
+        nei.neighbor_blend(ledger, ledger, spec, "amt", 5, 2, measure="dot")
     with pytest.raises(ValueError):
         wts.label_weights(ledger, ledger, scale_method="sum")
     with pytest.raises(ValueError):

@@ -100,7 +100,7 @@ def test_neighbors_by_brute_force(ledger, clients, spec, measure, k, normalize):
     for r in nei.candidate_pools(clients, 3, 7).collect():
         members.setdefault(r.pool, []).append(r.chid)
     assert all(len(m) <= 7 and all(pools[c] == p for c in m) for p, m in members.items())
-    got = rows_by(nei.neighbor_blend(vectors, spec, "v", 7, k, 0.6, measure, 3, normalize), "chid", "tag")
+    got = rows_by(nei.neighbor_blend(vectors, clients, spec, "v", 7, k, 0.6, measure, 3, normalize), "chid", "tag")
 
     def unit(v):
         return v / v.max() if v.max() > 0 else np.zeros_like(v)
