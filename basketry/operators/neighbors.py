@@ -3,7 +3,7 @@
 Each client is compared with a random sample of clients, never with all of them.  Clients are split into pools by key
 hash; the members of a pool with the smallest second hash are its candidates.  All pools together hold
 ``n_pools * n_candidates`` item vectors, a number fixed by the parameters, so they travel to the tasks as one broadcast
-and the comparison is a matrix product inside ``mapInPandas``: no pair ever becomes a row and nothing is shuffled.
+and the comparison is a matrix product inside ``mapInArrow``: no pair ever becomes a row and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,12 +48,9 @@ def candidate_pools(clients: DataFrame, n_pools: int, n_candidates: int, seed: i
 
 def item_arrays(vectors: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
     """Long (chid, tag, value) to one array per client in dictionary order; missing items are 0."""
-    cells = F.map_from_entries(F.collect_list(F.struct("tag", F.col(value).cast("double"))))
-    tags = F.array(*[F.lit(t) for t in spec.items])
-    packed = vectors.groupBy("chid").agg(cells.alias("_m"))
-    return packed.select(
-        "chid", F.transform(tags, lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0))).alias("vec")
-    )
+    wide = vectors.groupBy("chid").pivot("tag", list(spec.items)).agg(F.max(F.col(value).cast("double")))
+    cells = ", ".join(f"coalesce(`{t}`, 0D)" for t in spec.items)
+    return wide.select("chid", F.expr(f"array({cells})").alias("vec"))
 
 
 def open_arrays(arrays: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
@@ -66,46 +63,49 @@ def open_arrays(arrays: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
 
 def _blender(
     pools: Broadcast, k: int | None, alpha: float, measure: str, normalize: bool
-) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The task side; self-contained, so workers need numpy and pandas only."""
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task side over Arrow batches; self-contained, so workers need numpy and pyarrow only."""
 
-    def similarity(own: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        # larger is closer; undefined similarities rank last
+    def distances(own: np.ndarray, pool: np.ndarray) -> np.ndarray:
+        # undefined distances are the largest finite number, so they rank last
         own_sq, pool_sq = (own * own).sum(axis=1)[:, None], (pool * pool).sum(axis=1)[None, :]
         dot = own @ pool.T
         if measure == "ed":
-            return -np.maximum(own_sq + pool_sq - 2.0 * dot, 0.0)
+            return np.maximum(own_sq + pool_sq - 2.0 * dot, 0.0)
         norms = np.sqrt(own_sq) * np.sqrt(pool_sq)
-        return np.divide(dot, norms, out=np.full_like(dot, -np.inf), where=norms > 0)
+        return np.divide(-dot, norms, out=np.full_like(dot, np.finfo(np.float64).max), where=norms > 0)
 
     def scaled(m: np.ndarray) -> np.ndarray:
         top = m.max(axis=1, keepdims=True)
         return np.divide(m, top, out=np.zeros_like(m), where=top != 0)
 
     def choose(own: np.ndarray, pool: np.ndarray, mine: np.ndarray) -> np.ndarray:
-        # 0/1 matrix of the k nearest; candidates are in id order, so a stable sort breaks ties by id
-        if k is None:
-            return (~mine).astype(np.float64)
-        score = similarity(own, pool)
-        order = np.lexsort((-score, mine), axis=1)[:, :k]
-        chosen = np.zeros(score.shape)
-        np.put_along_axis(chosen, order, 1.0, axis=1)
-        chosen[mine] = 0.0
-        return chosen
-
-    def blend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for pool_id, rows in pdf.groupby("pool"):
-                chids = rows["chid"].to_numpy(np.int64)
-                own = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+        # mask of the k nearest: all below the k-th distance, then ties in id order (candidates are sorted by id)
+        if k is None or k >= pool.shape[0]:
+            return ~mine
+        far = np.where(mine, np.inf, distances(own, pool))
+        edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+        nearer, tied = far < edge, far == edge
+        room = k - nearer.sum(axis=1, keepdims=True)
+        return (nearer | (tied & (np.cumsum(tied, axis=1) <= room))) & ~mine
+
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chids = batch.column("chid").to_numpy()
+            wide = batch.column("vec").flatten().to_numpy().reshape(len(chids), -1)
+            pool_ids = batch.column("pool").to_numpy()
+            out = alpha * (scaled(wide) if normalize else wide)
+            for pool_id in np.unique(pool_ids):
                 if int(pool_id) not in pools.value:
-                    mean, target = np.zeros_like(own), scaled(own) if normalize else own
-                else:
-                    ids, pool = pools.value[int(pool_id)]
-                    chosen = choose(own, pool, np.equal.outer(chids, ids))
-                    source, target = (scaled(pool), scaled(own)) if normalize else (pool, own)
-                    mean = (chosen @ source) / np.maximum(chosen.sum(axis=1, keepdims=True), 1.0)
-                yield pd.DataFrame({"chid": chids, "vec": list(alpha * target + (1.0 - alpha) * mean)})
+                    continue
+                ids, pool = pools.value[int(pool_id)]
+                rows = np.nonzero(pool_ids == pool_id)[0]
+                chosen = choose(wide[rows], pool, np.equal.outer(chids[rows], ids)).astype(np.float64)
+                mean = (chosen @ (scaled(pool) if normalize else pool)) / np.maximum(chosen.sum(axis=1, keepdims=True), 1)
+                out[rows] += (1.0 - alpha) * mean
+            offsets = pa.array(np.arange(len(chids) + 1, dtype=np.int32) * wide.shape[1])
+            vec = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("chid"), vec], ["chid", "vec"])
 
     return blend
 
@@ -146,7 +146,7 @@ def neighbor_blend(
     shipped = vectors.sparkSession.sparkContext.broadcast(pools)
 
     pooled = item_arrays(vectors, spec, value).withColumn("pool", pool_of(n_pools, seed))
-    return open_arrays(pooled.mapInPandas(_blender(shipped, k, alpha, measure, normalize), "chid long, vec array<double>"), spec, value)
+    return open_arrays(pooled.mapInArrow(_blender(shipped, k, alpha, measure, normalize), "chid long, vec array<double>"), spec, value)
 
 
 def attribute_blend(

@@ -1,6 +1,6 @@
 """Client x item and client x period panels.
 
-Storage stays sparse.  A dense panel is built per client row: the client's items are packed into one map (at most the
+Storage stays sparse.  A dense panel is built per client row: the client's items are pivoted into one row (at most the
 item dictionary), joined to the spine once on ``chid``, and opened again.  The grid itself is never shuffled.
 """
 
@@ -30,16 +30,18 @@ def densify(
 ) -> DataFrame:
     """(chid, tag, values) on the dense client x item grid; missing cells take ``fills``."""
     tags = spec.item_set(which)
+    names = list(fills)
     packed = (
-        sparse.filter(F.col("tag").isin(*tags))
-        .groupBy("chid")
-        .agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct(*fills)))).alias("_cells"))
+        sparse.filter(F.col("tag").isin(*tags)).groupBy("chid").pivot("tag", list(tags)).agg(*[F.max(n).alias(n) for n in names])
     )
-    joined = clients.join(packed, "chid", "left")
-    rows = joined.select("chid", "_cells", F.explode(F.array(*[F.lit(t) for t in tags])).alias("tag"))
-    cell = F.try_element_at(F.col("_cells"), F.col("tag"))
+    cell = "`{tag}_{name}`" if len(names) > 1 else "`{tag}`"
+    columns = [
+        f"struct({tag} AS tag, {', '.join(cell.format(tag=tag, name=n) + f' AS `{n}`' for n in names)})" for tag in tags
+    ]
+    joined = clients.select("chid").join(packed, "chid", "left")
+    rows = joined.select("chid", F.explode(F.expr(f"array({', '.join(columns)})")).alias("_c"))
     return rows.select(
-        "chid", "tag", *[F.coalesce(cell.getField(name), fill).alias(name) for name, fill in fills.items()]
+        "chid", "_c.tag", *[F.coalesce(F.col("_c").getField(n), fill).alias(n) for n, fill in fills.items()]
     )
 
 
@@ -68,16 +70,18 @@ def feature_map(
 ) -> DataFrame:
     """Dense map (chid, tag, dt, value); missing and zero cells take the imputed value."""
     first, last = periods
-    cells = (
-        ledger.filter(F.col("dt").between(first, last))
-        .groupBy("chid", "tag")
-        .agg(F.map_from_entries(F.collect_list(F.struct("dt", F.col(value).cast("double")))).alias("_by_dt"))
+    rows = ledger.filter(F.col("dt").between(first, last)).select("chid", "tag", "dt", F.col(value).cast("double").alias("_v"))
+    dts = range(first, last + 1)
+    wide = rows.groupBy("chid", "tag").pivot("dt", list(dts)).agg(F.max("_v"))
+    cells = densify(
+        wide.withColumnsRenamed({str(d): f"_{d}" for d in dts}),
+        clients,
+        spec,
+        which,
+        {f"_{d}": F.lit(None).cast("double") for d in dts},
     )
-    empty = F.lit(None).cast("map<int,double>")
-    rows = densify(cells, clients, spec, which, {"_by_dt": empty})
-    rows = rows.select("chid", "tag", "_by_dt", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("dt"))
-    found = F.nullif(F.try_element_at("_by_dt", F.col("dt")), F.lit(0.0))
-    return rows.select("chid", "tag", "dt", F.coalesce(found, F.lit(float(imputed))).alias("value"))
+    by_dt = ", ".join(f"struct({d} AS dt, coalesce(nullif(_{d}, 0D), {float(imputed)}D) AS value)" for d in dts)
+    return cells.select("chid", "tag", F.explode(F.expr(f"array({by_dt})")).alias("_c")).select("chid", "tag", "_c.*")
 
 
 def pivot_items(
