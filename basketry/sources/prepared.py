@@ -97,7 +97,6 @@ class Inputs:
             (
                 build(*[self.table(s) for s in sources])
                 .repartition(self._buckets, "chid")
-                .sortWithinPartitions(*order)
                 .write.mode("overwrite")
                 .bucketBy(self._buckets, "chid")
                 .sortBy(*order)
