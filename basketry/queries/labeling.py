@@ -62,16 +62,15 @@ def row_folds(t: Tables) -> DataFrame:
 _WEIGHTS = """
     WITH mw AS (SELECT chid, tag, avg(amt_cents) / CAST(100 AS DOUBLE) AS w FROM past GROUP BY 1, 2),
          aw AS (SELECT mw.* FROM mw JOIN (SELECT DISTINCT chid FROM actual) USING (chid)),
-         fills AS (SELECT tag, quantile_cont(w, 0.25) AS denoise, median(w) AS med, avg(w) AS mean FROM aw GROUP BY tag),
-         raw AS (SELECT l.chid AS chid, l.tag AS tag, l.label AS label, coalesce(w, denoise) AS raw, coalesce(w, med) AS raw_median,
-                        coalesce(w, mean) AS raw_mean, coalesce(w, 797.165663) AS raw_pseudo
+         fills AS (SELECT tag, quantile_cont(w, 0.25) AS denoise FROM aw GROUP BY tag),
+         raw AS (SELECT l.chid AS chid, l.tag AS tag, l.label AS label, coalesce(w, denoise) AS raw
                  FROM target_labels l LEFT JOIN aw ON aw.chid = l.chid AND aw.tag = l.tag LEFT JOIN fills ON fills.tag = l.tag)
 """
 
 
-def _weights(t: Tables, imputation: str = "denoise") -> DataFrame:
+def _weights(t: Tables) -> DataFrame:
     cells = wts.active_weights(t.ledger, SPEC, T_END, "amt_cents", 100.0)
-    return wts.label_weights(lab.label_rows(t.ledger, SPEC, T_END), cells, imputation)
+    return wts.label_weights(lab.label_rows(t.ledger, SPEC, T_END), cells)
 
 
 @query("w01_mean_weights", _WEIGHTS + "SELECT chid, tag, round(w, 4) AS weight FROM mw")
@@ -81,16 +80,25 @@ def mean_weights(t: Tables) -> DataFrame:
 
 @query(
     "w02_imputed_weights",
-    _WEIGHTS
-    + """SELECT 'denoise' AS method, chid, tag, round(raw, 4) AS raw FROM raw UNION ALL SELECT 'median', chid, tag, round(raw_median, 4) FROM raw
-         UNION ALL SELECT 'mean', chid, tag, round(raw_mean, 4) FROM raw UNION ALL SELECT 'pseudo_zero', chid, tag, round(raw_pseudo, 4) FROM raw""",
+    """WITH mc AS (SELECT chid, tag, avg(amt_cents) AS w FROM past GROUP BY 1, 2),
+            ac AS (SELECT mc.* FROM mc JOIN (SELECT DISTINCT chid FROM actual) USING (chid)),
+            fc AS (SELECT tag, quantile_cont(w, 0.25) AS denoise, median(w) AS med, avg(w) AS mean FROM ac GROUP BY tag),
+            lc AS (SELECT l.chid AS chid, l.tag AS tag, w, denoise, med, mean FROM target_labels l
+                   LEFT JOIN ac ON ac.chid = l.chid AND ac.tag = l.tag LEFT JOIN fc ON fc.tag = l.tag)
+       SELECT 'denoise' AS method, chid, tag, round(coalesce(w, denoise), 6) AS raw FROM lc
+       UNION ALL SELECT 'median', chid, tag, round(coalesce(w, med), 6) FROM lc
+       UNION ALL SELECT 'mean', chid, tag, round(coalesce(w, mean), 6) FROM lc
+       UNION ALL SELECT 'pseudo_zero', chid, tag, round(coalesce(w, 797.165663), 6) FROM lc""",
 )
 def imputed_weights(t: Tables) -> DataFrame:
+    """Every imputation, in cents; an amount of 797.17 stands for an empty cell in ``pseudo_zero``."""
+    labels = lab.label_rows(t.ledger, SPEC, T_END)
+    cells = wts.active_weights(t.ledger, SPEC, T_END, "amt_cents")
     out = None
     for method in ("denoise", "median", "mean", "pseudo_zero"):
-        rows = _weights(t, method).select(F.lit(method).alias("method"), "chid", "tag", "raw")
+        rows = wts.label_weights(labels, cells, method).select(F.lit(method).alias("method"), "chid", "tag", "raw")
         out = rows if out is None else out.unionByName(rows)
-    return rounded(out, 4)
+    return rounded(out)
 
 
 @query("w03_scaled_weights", _WEIGHTS + "SELECT chid, tag, round(raw / max(raw) OVER (PARTITION BY chid), 6) AS scaled FROM raw")
