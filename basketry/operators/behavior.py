@@ -87,7 +87,8 @@ def items_per_period(
     counted = rows.groupBy("chid").agg(
         *[F.count_if(F.col("dt") == t_end - lag).alias(f"n_items_lag{lag}") for lag in range(periods)]
     )
-    return clients.join(counted, "chid", "left").na.fill(0)
+    # only the counts are filled: a filled key would lose its place in the buckets
+    return clients.join(counted, "chid", "left").na.fill(0, subset=counted.columns[1:])
 
 
 def old_gaps(ledger: DataFrame, clients: DataFrame, spec: LedgerSpec, which: ItemSet = "all") -> DataFrame:

@@ -14,7 +14,7 @@ def mean_items_per_period(ledger: DataFrame, clients: DataFrame, start: int, sto
     """Mean number of distinct items per active period in [start, stop); 0 for clients never active."""
     per_period = half_open(ledger, start, stop).groupBy("chid", "dt").agg(F.count_distinct("tag").alias("n"))
     means = per_period.groupBy("chid").agg(F.avg("n").alias("mean_items"))
-    return clients.join(means, "chid", "left").na.fill(0.0)
+    return clients.join(means, "chid", "left").na.fill(0.0, subset=["mean_items"])
 
 
 def mean_amounts(ledger: DataFrame, start: int, stop: int, amount: str) -> DataFrame:

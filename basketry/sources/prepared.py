@@ -13,6 +13,7 @@ from collections.abc import Callable
 from functools import cached_property
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,12 +76,11 @@ class Inputs:
         if local.exists():
             found = [local] if local.is_file() else [f for f in local.rglob("*") if f.is_file()]
             return [(str(f), (st := f.stat()).st_size, str(st.st_mtime_ns)) for f in found]
-        files = (
-            self.spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .load(path)
-            .select("path", "length", F.col("modificationTime").cast("string"))
-        )
+        try:
+            found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        except AnalysisException:
+            return []  # a table that is not there; reading it will say so
+        files = found.select("path", "length", F.col("modificationTime").cast("string"))
         # one short row per source file, as the driver lists them anyway to plan a scan
         return [tuple(r) for r in files.collect()]
 

@@ -11,7 +11,7 @@ from basketry.operators import panel as pan
 from basketry.queries import REGISTRY
 from basketry.queries.base import SPEC, T_END, Tables
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"  # large enough for more than one bucket
 
 
 def plan_of(df) -> str:
@@ -55,7 +55,7 @@ def test_no_python_in_the_feature_plan(spark):
 
 
 def test_the_grid_is_not_shuffled(tables):
-    """Densifying opens the grid after the client join: the only exchanges are of packed client rows."""
+    """Densifying opens the grid after the client join, and the join itself moves nothing."""
     spark = tables.spark
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -63,9 +63,24 @@ def test_the_grid_is_not_shuffled(tables):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.index("Generate explode") < plan.index("SortMergeJoin")
-    assert plan.count("Exchange hashpartitioning") == 1  # the spine
+    assert "Exchange" not in plan and "SelectedBucketsCount: 2 out of 2" in plan
 
 
 def test_a_written_ledger_bucket_keeps_rows_together(tables):
     plan = plan_of(pan.pivot_items(beh.history(tables.ledger, T_END), SPEC, ["last_dt"]))
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["k04_rank_by_vector", "b01_all_features", "b07_items_per_period", "d04_parameter_sets", "r01_lags_on_grid", "j11_key_concat", "m02_client_ndcg", "j03_binary_labels"],
+)
+def test_client_queries_move_nothing_by_key(spark, name):
+    """Without any broadcast, ledger, profile and clients join and group in place; only item totals are exchanged."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(REGISTRY[name].run(spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert [k for k in keys if "chid" in k] == []

@@ -85,3 +85,9 @@ def test_ledger_with_a_hot_key(spark, hot):
     want = lines.agg(F.count("*").alias("n"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c")).first()
     assert (total.n, total.c) == (want.n, want.c)
     assert got.groupBy("chid", "dt", "tag").count().filter("count > 1").count() == 0
+
+
+def test_listing_by_spark_equals_the_file_system(spark):
+    t = Tables(spark, SF)
+    (path, size, stamp), = t._listing(f"file:{SF}/orders.parquet")
+    assert size == os.stat(f"{SF}/orders.parquet").st_size and path.endswith("orders.parquet") and stamp
