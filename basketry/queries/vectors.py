@@ -130,7 +130,8 @@ def _nearest(order: str) -> str:
                         WHERE r <= {K})"""
 
 
-_BLEND = f"""SELECT own.chid AS chid, own.tag AS tag, round({ALPHA} * own.v + (1 - {ALPHA}) * coalesce(n.m, 0), 6) AS v
+def _blend(alpha: float) -> str:
+    return f"""SELECT own.chid AS chid, own.tag AS tag, round({alpha} * own.v + (1 - {alpha}) * coalesce(n.m, 0), 6) AS v
              FROM vec own LEFT JOIN (SELECT near.chid AS chid, tag, avg(v) AS m FROM near JOIN vec ON vec.chid = near.other GROUP BY 1, 2) AS n
              ON n.chid = own.chid AND n.tag = own.tag"""
 
@@ -142,17 +143,23 @@ def _counts(t: Tables) -> DataFrame:
 _COS = "(CASE WHEN n1 * n2 > 0 THEN dot / (sqrt(n1) * sqrt(n2)) END) DESC NULLS LAST"
 
 
-@query("n01_cosine_neighbors", f"{_POOLS}, {_nearest(_COS)} {_BLEND}")
+@query("n01_cosine_neighbors", f"{_POOLS}, {_nearest(_COS)} {_blend(ALPHA)}")
 def cosine(t: Tables) -> DataFrame:
-    """Cosine neighbours among the sampled candidates, blended into the own vector (also n03)."""
+    """Cosine neighbours among the sampled candidates, blended into the own vector."""
     return rounded(nei.neighbor_blend(_counts(t), t.clients, SPEC, "v", CANDIDATES, K, ALPHA, "cos", POOLS))
 
 
-@query("n02_euclidean_neighbors", f"{_POOLS}, {_nearest('n1 + n2 - 2 * dot')} {_BLEND}")
+@query("n02_euclidean_neighbors", f"{_POOLS}, {_nearest('n1 + n2 - 2 * dot')} {_blend(ALPHA)}")
 def euclidean(t: Tables) -> DataFrame:
     return rounded(nei.neighbor_blend(_counts(t), t.clients, SPEC, "v", CANDIDATES, K, ALPHA, "ed", POOLS))
 
 
+@query("n03_blend", f"{_POOLS}, {_nearest(_COS)} {_blend(0.2)}")
+def mostly_neighbors(t: Tables) -> DataFrame:
+    """The same neighbours with most of the weight on them."""
+    return rounded(nei.neighbor_blend(_counts(t), t.clients, SPEC, "v", CANDIDATES, K, 0.2, "cos", POOLS))
+
+
 _SCALED = """SELECT vec.chid AS chid, tag, coalesce(v / nullif(top, 0), 0) AS s FROM vec JOIN norms ON norms.chid = vec.chid"""
 
 
