@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, html_text, sharding
+from basketry.llm import bpe, html_text, ngram_join, sharding
 
 #: name -> (spark, sf_dir) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and the least id of the documents it is linked with."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "class_key")
