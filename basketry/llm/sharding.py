@@ -79,6 +79,7 @@ def external_shuffle(
     at = F.col("before") + F.col("place")
     # shard s holds the places from ceil(s * rows / shards) on
     shard = F.expr(f"(({n_shards}L * (before + place)) div {max(rows, 1)}L)")
-    placed = written.join(starts, "bucket").withColumn("shard", shard.cast("int"))
+    # broadcast: n_buckets rows of two numbers, one per bucket_bytes of input
+    placed = written.join(F.broadcast(starts), "bucket").withColumn("shard", shard.cast("int"))
     first = F.expr(f"(shard * {rows}L + {n_shards - 1}L) div {n_shards}L")
     return placed.withColumn("slot", (at - first).cast("long")).drop("bucket", "place", "before")
