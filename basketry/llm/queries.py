@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, html_text, ngram_join, sharding
+from basketry.llm import bpe, html_text, ngram_join, pivot_index, sharding
 
 #: name -> (spark, sf_dir) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and the least id of the documents it is linked with."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "class_key")
+
+
+@_query
+def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.95 and the least id of its component."""
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
