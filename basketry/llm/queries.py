@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, html_text, ngram_join, pivot_index, sharding
+from basketry.llm import bpe, html_text, line_crf, ngram_join, pivot_index, sharding
+from basketry.llm.labelled import fold
 
 #: name -> (spark, sf_dir) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,21 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links at cosine 0.95 and the least id of its component."""
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: a document of lower quality is rejected
+QUALITY_CUT = 0.3
+
+
+@_query
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a model that has not seen the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_crf.train(docs, labels)
+    scored = line_crf.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
+    )
