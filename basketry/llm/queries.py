@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, html_text, line_crf, ngram_join, pivot_index, sharding
+from basketry.llm import bpe, html_text, line_crf, ngram_join, pivot_index, sharding, toxicity
 from basketry.llm.labelled import fold
 
 #: name -> (spark, sf_dir) -> DataFrame
@@ -99,3 +99,21 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
     )
+
+
+#: a document of at least this score is toxic
+TOXIC_CUT = 0.7
+
+
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a network that has not seen the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.train(docs, labels)
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"),
+    )
