@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, html_text, line_crf, ngram_join, pivot_index, sharding, toxicity
+from basketry.llm import bpe, html_text, line_crf, ngram_join, pivot_index, sharding, suffix_dedup, toxicity
 from basketry.llm.labelled import fold
 
 #: name -> (spark, sf_dir) -> DataFrame
@@ -117,3 +117,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that occur twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
