@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, html_text, line_crf, ngram_join, pivot_index, sharding, suffix_dedup, toxicity
+from basketry.llm import (
+    bpe,
+    chunk_dedup,
+    decontaminate,
+    html_text,
+    line_crf,
+    ngram_join,
+    pivot_index,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 from basketry.llm.labelled import fold
 
 #: name -> (spark, sf_dir) -> DataFrame
@@ -130,3 +141,30 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document leaks."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items)
+
+
+@_query
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage which also stands elsewhere, and what is left of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = chunk_dedup.dedup_chunks(docs).where(F.size("passages") > 0)
+
+    def length(spans: str):
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+    return held.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        length("passages").alias("n_repeated"),
+        length("removed").alias("n_removed"),
+        F.size("passages").cast("long").alias("n_passages"),
+        "first_ids",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
