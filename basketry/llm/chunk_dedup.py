@@ -75,8 +75,9 @@ def chunks(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, tid, start, size, first_id, first): places of chunks that occur at more than one place, the document
-    of the first one, and whether this is it.  ``docs`` has doc_id and text.
+    """Rows (doc_id, tid, start, size, first_id, first, across): places of chunks that occur at more than one place, the
+    document of the first one, whether this is it, and whether other documents hold the chunk.  ``docs`` has doc_id and
+    text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
@@ -95,7 +96,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     every = rows.mapInArrow(cut, f"digest long, doc_id {kind}, tid long, place long")
     at = F.struct("doc_id", "tid", "place")
     often = every.groupBy("digest").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("not (least <=> most)")
-    found = every.join(often.select("digest", "least"), "digest")
+    across = F.struct("least.doc_id", "least.tid") != F.struct("most.doc_id", "most.tid")
+    found = every.join(often.select("digest", "least", F.coalesce(across, F.lit(True)).alias("across")), "digest")
     found = found.select(
         "doc_id",
         "tid",
@@ -103,22 +105,24 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         F.col("place").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("size"),
         F.col("least.doc_id").alias("first_id"),
         at.eqNullSafe(F.col("least")).alias("first"),
+        "across",
     )
     return written(found, "chunks")
 
 
 def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
-    """Adds per document ``passages`` (repeated byte spans), ``removed`` (the parts of them that stay elsewhere),
-    ``first_ids`` (documents where those stay) and the ``kept`` bytes.
+    """Adds per document ``passages`` (repeated byte spans), ``shared`` (those that other documents hold as well),
+    ``removed`` (the parts of passages that stay elsewhere), ``first_ids`` (documents where those stay) and the ``kept``
+    bytes.
     """
     need(docs, doc_id=doc_id, text=text)
     id_kind = docs.schema[doc_id].dataType.simpleString()
     spans = "array<struct<start: bigint, end: bigint>>"
-    added = {"passages": spans, "removed": spans, "first_ids": f"array<{id_kind}>", "kept": "binary"}
+    added = {"passages": spans, "shared": spans, "removed": spans, "first_ids": f"array<{id_kind}>", "kept": "binary"}
     schema = extended_schema(docs, added)
     extended_schema(docs, {"tid": "long", "found": "string", "own_id": "string"})
     found = repeated_chunks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    per_text = found.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("start", "size", "first", "first_id")).alias("found"))
+    per_text = found.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("start", "size", "first", "first_id", "across")).alias("found"))
     per_text = per_text.withColumnRenamed("doc_id", "own_id").withColumnRenamed("tid", "own_tid")
     rows = docs.withColumn("tid", F.xxhash64(text))
     rows = rows.join(per_text, F.col(doc_id).eqNullSafe(F.col("own_id")) & (F.col("tid") == F.col("own_tid")), "left")
@@ -138,10 +142,13 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         nonlocal id_type
         for part in text_slices(batches, text):
             id_type = id_type or part.batch.schema.field(doc_id).type
-            passages, removed, firsts, blobs = [], [], [], []
+            passages, shared, removed, firsts, blobs = [], [], [], [], []
             for i, own in enumerate(part.batch.column(part.batch.schema.get_field_index("found")).to_pylist()):
                 own = sorted(own or (), key=lambda c: c["start"])
-                runs = [r for r in merged([(c["start"], c["start"] + c["size"]) for c in own]) if r["end"] - r["start"] >= least_run]
+                runs, common = (
+                    [r for r in merged([(c["start"], c["start"] + c["size"]) for c in cs]) if r["end"] - r["start"] >= least_run]
+                    for cs in (own, [c for c in own if c["across"]])
+                )
                 inside = [c for c in own if not c["first"] and any(r["start"] <= c["start"] < r["end"] for r in runs)]
                 gone = merged([(c["start"], c["start"] + c["size"]) for c in inside])
                 raw = part.data[part.start[i] : part.end[i]]
@@ -151,12 +158,13 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                         stay[s["start"] : s["end"]] = False
                     raw = raw[stay]
                 passages.append(runs)
+                shared.append(common)
                 removed.append(gone)
                 firsts.append(sorted({c["first_id"] for c in inside if c["first_id"] is not None}))
                 blobs.append(raw.tobytes())
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             columns = [
-                *part.batch.columns[:-1], pa.array(passages, span), pa.array(removed, span),
+                *part.batch.columns[:-1], pa.array(passages, span), pa.array(shared, span), pa.array(removed, span),
                 pa.array(firsts, pa.list_(id_type)), pa.array(blobs, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.batch.schema.names[:-1], *added])

@@ -152,9 +152,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that holds a passage which also stands elsewhere, and what is left of it."""
+    """Every document that holds a passage which other documents hold as well, and what is left of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = chunk_dedup.dedup_chunks(docs).where(F.size("passages") > 0)
+    held = chunk_dedup.dedup_chunks(docs).where(F.size("shared") > 0)
 
     def length(spans: str):
         return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -162,9 +162,9 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
-        length("passages").alias("n_repeated"),
+        length("shared").alias("n_repeated"),
         length("removed").alias("n_removed"),
-        F.size("passages").cast("long").alias("n_passages"),
+        F.size("shared").cast("long").alias("n_passages"),
         "first_ids",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
