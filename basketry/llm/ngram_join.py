@@ -176,25 +176,16 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str =
 
         for part in text_slices(chosen(), "text"):
             hashes, sizes, keys = _sets(part)
-            blobs = [x.tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blobs, pa.binary())], names=["key", "held"])
+            held = _lists(hashes.view(np.int64), sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), held], names=["key", "held"])
 
     texts = docs.select(F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    full = texts.mapInArrow(sets, "key long, held binary").groupBy("key").agg(F.first("held").alias("held"))
+    full = texts.mapInArrow(sets, "key long, held array<long>").groupBy("key").agg(F.first("held").alias("held"))
     full = full.join(ends, "key", "left_semi")
     both = pairs.join(full.select(F.col("key").alias("a"), F.col("held").alias("x")), "a")
     both = both.join(full.select(F.col("key").alias("b"), F.col("held").alias("y")), "b")
-
-    def check(batches):
-        for batch in batches:
-            similar = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                similar.append(common * DEN >= NUM * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common * DEN >= NUM * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def class_links(docs: DataFrame, members: DataFrame, counts: np.ndarray, text: str = "text") -> DataFrame:
