@@ -284,10 +284,13 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
 
 def remove_repeats(
     docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST,
-    spans: str = "removed", kept: str = "kept",
+    spans: str = "removed", kept: str = "kept", as_text: bool = False,
 ) -> DataFrame:
-    """Adds the removed byte spans (maximal runs: start, end) and the kept bytes of a text column."""
-    schema = extended_schema(docs, {spans: "array<struct<start: bigint, end: bigint>>", kept: "binary"})
+    """Adds the removed byte spans (maximal runs: start, end) and what is kept of a text column, as bytes or, without
+    characters that lost some of their bytes, as text.
+    """
+    kind = "string" if as_text else "binary"
+    schema = extended_schema(docs, {spans: "array<struct<start: bigint, end: bigint>>", kept: kind})
     extended_schema(docs, {"tid": "long", "starts": "long"})
     repeats = repeated_windows(docs, text, length, anchor, most)
     per_text = repeats.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
@@ -312,8 +315,8 @@ def remove_repeats(
                         stay[s["start"] : s["end"]] = False
                     raw = raw[stay]
                 runs.append(own)
-                blobs.append(raw.tobytes())
-            columns = [*part.batch.columns[:-1], pa.array(runs, pa.list_(span)), pa.array(blobs, pa.binary())]
+                blobs.append(raw.tobytes().decode("utf-8", "ignore") if as_text else raw.tobytes())
+            columns = [*part.batch.columns[:-1], pa.array(runs, pa.list_(span)), pa.array(blobs, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.batch.schema.names[:-1], spans, kept])
 
     return rows.mapInArrow(cut, schema)
