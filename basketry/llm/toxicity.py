@@ -32,6 +32,10 @@ SAMPLE_BYTES = 1 << 16
 ROUNDS = 6
 WINDOW, STRIDE = 24, 12
 HIDDEN = 8
+#: words and 4-grams of fewer documents of the sample say nothing
+LEAST_SEEN = 3
+#: documents of either label that any word is taken to be in besides those seen
+PRIOR = 2.0
 WORD_CELLS, GRAM_CELLS = 1 << 16, 1 << 18
 WORD_VECTORS, GRAM_VECTORS, DIM = 1 << 14, 1 << 14, 4
 GRAM = 4
@@ -105,21 +109,33 @@ class Network:
             }
         self.word_odds = np.zeros(WORD_CELLS, np.float32)
         self.gram_odds = np.zeros(GRAM_CELLS, np.float32)
+        self.word_known = np.zeros(WORD_CELLS, bool)
+        self.gram_known = np.zeros(GRAM_CELLS, bool)
+        self.less: list[tuple[np.ndarray, np.ndarray]] = []
         self.empty = 0.5
 
-    def odds(self, t: Tokens) -> np.ndarray:
-        """Per distinct word its own log odds and the largest of its 4-grams."""
-        grams = self.gram_odds[(t.grams % GRAM_CELLS).astype(np.int64)]
+    def odds(self, t: Tokens, less: int | None = None) -> np.ndarray:
+        """Per distinct word its own log odds and the largest of its 4-grams, in training as if the sample had one
+        document of label ``less`` fewer.
+        """
+        word_odds, gram_odds = (self.word_odds, self.gram_odds) if less is None else self.less[less]
+        grams = gram_odds[(t.grams % GRAM_CELLS).astype(np.int64)]
         top = np.maximum.reduceat(grams, t.gram_first[:-1]) if len(t.word) else np.zeros(0, np.float32)
-        return np.stack([self.word_odds[(t.word % WORD_CELLS).astype(np.int64)], top], axis=1)
+        return np.stack([word_odds[(t.word % WORD_CELLS).astype(np.int64)], top], axis=1)
+
+    def known(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Columns that tell which words and 4-grams the sample has often enough."""
+        words, grams = (t.word % WORD_CELLS).astype(np.int64), (t.grams % GRAM_CELLS).astype(np.int64)
+        return self.word_known[words][:, None], self.gram_known[grams][:, None]
 
     def inputs(self, t: Tokens) -> np.ndarray:
         """Input vectors of the distinct words."""
         if not len(t.word):
             return np.zeros((0, IN), np.float32)
-        grams = self.p["gram"][(t.grams % GRAM_VECTORS).astype(np.int64)]
+        word_known, gram_known = self.known(t)
+        grams = self.p["gram"][(t.grams % GRAM_VECTORS).astype(np.int64)] * gram_known
         mean = np.add.reduceat(grams, t.gram_first[:-1], axis=0) / np.diff(t.gram_first)[:, None]
-        word = self.p["word"][(t.word % WORD_VECTORS).astype(np.int64)]
+        word = self.p["word"][(t.word % WORD_VECTORS).astype(np.int64)] * word_known
         return np.concatenate([word, mean, self.odds(t)], axis=1).astype(np.float32)
 
     def _layer(self, d: str, gates: np.ndarray, held: np.ndarray, keep: list | None) -> np.ndarray:
@@ -235,10 +251,19 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0, rounds: int = ROU
                 own = once[y[once // cells] == k] % cells
                 seen[name][k] += np.bincount(own, minlength=cells)
     share = np.maximum(np.array([(labels == k).sum() for k in (0, 1)]), 1)
-    for name in seen:
-        rate = (seen[name] + 0.5) / (share[:, None] + 1)
-        odds = np.log(rate[1] / rate[0]) * (seen[name].sum(axis=0) > 0)
-        setattr(net, f"{name}_odds", (np.clip(odds, -4, 6) / 4).astype(np.float32))
+
+    def odds(counts: np.ndarray) -> np.ndarray:
+        rate = (counts + PRIOR) / (share[:, None] + 2 * PRIOR)
+        return (np.clip(np.log(rate[1] / rate[0]), -4, 4) / 4).astype(np.float32)
+
+    for name, counts in seen.items():
+        known = counts.sum(axis=0) >= LEAST_SEEN
+        setattr(net, f"{name}_known", known)
+        setattr(net, f"{name}_odds", odds(counts) * known)
+    # a document's own words must not tell its label
+    for k in (0, 1):
+        minus = np.array([[1 - k], [k]])
+        net.less.append(tuple(odds(np.maximum(seen[n] - minus, 0)) * getattr(net, f"{n}_known") for n in ("word", "gram")))
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -263,11 +288,14 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0, rounds: int = ROU
             for b in rng.permutation(len(batches)):
                 n, ws = batches[b]
                 t, owner, places, held = parts[n]
-                which = t.which[places[ws]]
+                y = labels[n * 2048 + owner[ws]].astype(np.float32)
+                which = t.which[places[ws]] * 2 + y.astype(np.int64)[:, None]
                 local, back = np.unique(which, return_inverse=True)
-                back = back.reshape(which.shape)
-                x = _inputs_of(net, t, local)
-                g, dx = net.gradients(x, back, held[ws], labels[n * 2048 + owner[ws]].astype(np.float32))
+                back, of_label, local = back.reshape(which.shape), local % 2, local // 2
+                words = _sub(t, local)
+                x = net.inputs(words)
+                x[:, -2:] = np.where(of_label[:, None] == 1, net.odds(words, 1), net.odds(words, 0))
+                g, dx = net.gradients(x, back, held[ws], y)
                 _spread_inputs(net, g, t, local, back, dx)
                 step += 1
                 for name, value in g.items():
@@ -277,6 +305,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0, rounds: int = ROU
                     v *= 0.99
                     v += 0.01 * value * value
                     net.p[name] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    net.less = []
     net.empty = float(labels.mean())
     return net
 
@@ -288,19 +317,17 @@ def _sub(t: Tokens, local: np.ndarray) -> Tokens:
     return Tokens(t.word[local], t.grams[at], np.concatenate(([0], np.cumsum(counts))), t.which[:0], t.first[:1])
 
 
-def _inputs_of(net: Network, t: Tokens, local: np.ndarray) -> np.ndarray:
-    return net.inputs(_sub(t, local))
-
-
 def _spread_inputs(net: Network, g: dict, t: Tokens, local: np.ndarray, back: np.ndarray, dx: np.ndarray) -> None:
     """Adds the gradients of the word and 4-gram vectors."""
     s = _sub(t, local)
     total = np.zeros((len(local), IN), np.float32)
     np.add.at(total, back.ravel(), dx.reshape(-1, IN))
     g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-    np.add.at(g["word"], (s.word % WORD_VECTORS).astype(np.int64), total[:, :DIM])
+    word_known, gram_known = net.known(s)
+    np.add.at(g["word"], (s.word % WORD_VECTORS).astype(np.int64), total[:, :DIM] * word_known)
     counts = np.diff(s.gram_first)
-    np.add.at(g["gram"], (s.grams % GRAM_VECTORS).astype(np.int64), np.repeat(total[:, DIM : 2 * DIM] / counts[:, None], counts, axis=0))
+    each = np.repeat(total[:, DIM : 2 * DIM] / counts[:, None], counts, axis=0) * gram_known
+    np.add.at(g["gram"], (s.grams % GRAM_VECTORS).astype(np.int64), each)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1,
