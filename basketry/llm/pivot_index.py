@@ -133,14 +133,14 @@ def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array([root(k) for k in range(n)], np.int64)
 
 
-def _compare(here: int, at: np.ndarray, x: np.ndarray, lists: np.ndarray, threshold: float):
+def _compare(here: int, blocks: tuple[int, int], at: np.ndarray, x: np.ndarray, lists: np.ndarray, threshold: float):
     """Pairs of rows with a cosine of at least ``threshold`` within one block or between two blocks of the list ``here``,
     without those that meet in an earlier list too.
     """
-    first, second = np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max())
+    first, second = (np.flatnonzero(at == b) for b in blocks)
     i, j = np.nonzero(x[first] @ x[second].T >= threshold - 1e-9)
     i, j = first[i], second[j]
-    if at.min() == at.max():
+    if blocks[0] == blocks[1]:
         i, j = i[i < j], j[i < j]
     exact = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
     i, j = i[exact], j[exact]
@@ -162,7 +162,9 @@ def _compare_group(group: pa.Table, threshold: float) -> pa.Table:
         if len(rows) < 2:
             continue
         take = pa.array(rows)
-        i, j = _compare(int(where[0, rows[0]]), at[rows], _unit(_matrix(vectors.take(take))), _matrix(lists.take(take), np.int64), threshold)
+        here, *blocks = where[:, rows[0]].tolist()
+        x, own = _unit(_matrix(vectors.take(take))), _matrix(lists.take(take), np.int64)
+        i, j = _compare(here, tuple(blocks), at[rows], x, own, threshold)
         if not len(i):
             continue
         k, c = keys[rows], copies[rows]
