@@ -63,9 +63,10 @@ class Index:
         at = 0
         for k in range(self.radius + 1):
             width = (BITS * (k + 1)) // (self.radius + 1) - at
-            values = self._block(self.prints, at, width)
+            key = min(width, 16)  # of a longer block its first bits are looked up
+            values = self._block(self.prints, at, key)
             order = np.argsort(values, kind="stable")
-            self.blocks.append((at, width, order, np.searchsorted(values[order], np.arange((1 << width) + 1))))
+            self.blocks.append((at, key, order, np.searchsorted(values[order], np.arange((1 << key) + 1))))
             at += width
 
     @staticmethod
