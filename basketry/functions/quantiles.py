@@ -1,72 +1,83 @@
 """Exact quantiles of few, very large groups.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which is fine for a client's 24 months and
-not for a third of all rows.  Here a group is first counted into log-spaced bins, and only the bins that hold a wanted
-rank are opened: their values are collapsed to (value, count) pairs and ranked per bin.  Both countings combine on the
-map side and are grouped by more than the hot key.
+not for a third of all rows.  Here a group is first collapsed to (value, count) pairs, which combines on the map side.
+The pairs are counted into bins between the group's own least and greatest value, twice: the bins that hold a wanted rank
+are cut into bins again, and only those of them that hold it are opened and ranked.  Values however close together
+therefore spread over millions of bins, and no step is grouped by a hot key alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RESOLUTION = 4096  # bins per e-fold: a bin spans 0.025 percent of its values
+BINS = 4096  # per group, and again per bin with a wanted rank
 
 
-def _bin(v: Column) -> Column:
-    """Non-decreasing in v, so bins are in value order."""
-    x = v.cast("double")
-    return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * RESOLUTION)).cast("int")
+def _counted(pairs: DataFrame, names: list[str], out: str) -> DataFrame:
+    """The pairs with their bin between the least and greatest value of their group (columns ``names``)."""
+    edges = pairs.groupBy(*names).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    # halves, so that the distance of the largest numbers stays finite; one value only is one bin
+    wide = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    share = F.when(F.col("_hi") - F.col("_lo") < float("inf"), share).otherwise(wide)
+    bin_ = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+    return pairs.join(edges, names).withColumn(out, bin_.cast("int")).drop("_lo", "_hi")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], few_groups: bool = True
-) -> DataFrame:
+def _opened(pairs: DataFrame, names: list[str], bin_: str, ranks: DataFrame | None, probs: Sequence[float]) -> DataFrame:
+    """Bins that hold wanted ranks: rows (names, bin, _w), _w with the rank counted from the bin's start."""
+    group = Window.partitionBy(*names)
+    upto = group.orderBy(bin_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = pairs.groupBy(*names, bin_).agg(F.sum("_m").alias("_n"))
+    hist = hist.withColumn("_end", F.sum("_n").over(upto))
+    if ranks is None:
+        hist = hist.withColumn("_size", F.sum("_n").over(group))
+        wanted = ", ".join(
+            f"struct({2 * i + side} AS id, CAST({edge}({p}D * (_size - 1)) AS BIGINT) AS k, "
+            f"{p}D * (_size - 1) - floor({p}D * (_size - 1)) AS frac)"
+            for i, p in enumerate(probs)
+            for side, edge in enumerate(("floor", "ceil"))
+        )
+        hist = hist.withColumn("_all", F.expr(f"array({wanted})"))
+    else:
+        hist = hist.join(ranks.withColumnRenamed("_w", "_all"), names)
+    inside = "filter(_all, w -> w.k >= _end - _n AND w.k < _end)"
+    moved = f"transform({inside}, w -> struct(w.id AS id, w.k - (_end - _n) AS k, w.frac AS frac))"
+    return hist.select(*names, bin_, F.expr(moved).alias("_w")).filter("size(_w) > 0")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per ``keys``: one row per group, one column per entry of ``probs``.
 
-    Nulls in ``value`` are skipped and null keys drop out.  With ``few_groups`` the number of groups is bounded by code
-    lists (attribute codes, items, periods) and the opened bins, at most two per group and probability, are broadcast.
-    Otherwise values are collapsed first and joined by shuffle.
+    Nulls and NaN in ``value`` are skipped and null keys drop out.
     """
-    by = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
-    names = list(keys) or ["_all"]
-    rows = df.select(*by, F.col(value).alias("_v")).na.drop("any").withColumn("_bin", _bin(F.col("_v")))
+    by = [F.col(k) for k in keys] or [F.lit(0).alias("_all_rows")]
+    names = list(keys) or ["_all_rows"]
+    shares = [float(p) for p in probs.values()]
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).na.drop("any")
+    pairs = rows.groupBy(*names, "_v").agg(F.count("*").alias("_m"))
 
-    group = Window.partitionBy(*names)
-    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = rows.groupBy(*names, "_bin").agg(F.count("*").alias("_n"))
-    hist = hist.select(
-        *names, "_bin", "_n", F.sum("_n").over(upto).alias("_end"), F.sum("_n").over(group).alias("_size")
-    )
-    wanted = ", ".join(
-        f"struct({2 * i + side} AS id, {edge}({p}D * (_size - 1)) - (_end - _n) AS k, "
-        f"{p}D * (_size - 1) - floor({p}D * (_size - 1)) AS frac)"
-        for i, p in enumerate(float(x) for x in probs.values())
-        for side, edge in enumerate(("floor", "ceil"))
+    pairs = _counted(pairs, names, "_bin")
+    coarse = _opened(pairs, names, "_bin", None, shares)
+    pairs = _counted(pairs.join(coarse.select(*names, "_bin"), [*names, "_bin"], "left_semi"), [*names, "_bin"], "_part")
+    fine = _opened(pairs, [*names, "_bin"], "_part", coarse, shares)
+    within = (
+        Window.partitionBy(*names, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = f"filter(array({wanted}), w -> w.k >= 0 AND w.k < _n)"
-    opened = hist.select(*names, "_bin", F.expr(inside).alias("_w")).filter("size(_w) > 0")
-
-    size_hint = F.broadcast if few_groups else (lambda side: side)
-    if few_groups:
-        rows = rows.join(F.broadcast(opened.select(*names, "_bin")), [*names, "_bin"], "left_semi")
-    pairs = rows.groupBy(*names, "_bin", "_v").agg(F.count("*").alias("_m"))
-    if not few_groups:
-        pairs = pairs.join(opened.select(*names, "_bin"), [*names, "_bin"], "left_semi")
-    within = Window.partitionBy(*names, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = (
-        pairs.withColumn("_last", F.sum("_m").over(within))
-        .join(size_hint(opened), [*names, "_bin"])
+        pairs.join(fine, [*names, "_bin", "_part"])
+        .withColumn("_last", F.sum("_m").over(within))
         .select(*names, "_v", "_last", "_m", F.explode("_w").alias("_w"))
         .filter("_w.k < _last AND _w.k >= _last - _m")
     )
 
     out = []
     for i, name in enumerate(probs):
-        low, high = (f"max(CASE WHEN _w.id = {2 * i + side} THEN double(_v) END)" for side in (0, 1))
+        low, high = (f"max(CASE WHEN _w.id = {2 * i + side} THEN _v END)" for side in (0, 1))
         frac = f"max(CASE WHEN _w.id = {2 * i} THEN _w.frac END)"
         out.append(F.expr(f"{low} + ({high} - {low}) * {frac}").alias(name))
     result = hit.groupBy(*names).agg(*out)

@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 from basketry.config import NEVER, OLD_GAP_DEFAULT, ItemSet, LedgerSpec
 from basketry.operators.panel import densify
 
+MAX_BITS = 62
 TOGGLES = ("n00", "n01", "n10", "n11")
 
 
+def check_bits(t_end: int) -> None:
+    """Bought periods are bits of one long."""
+    if not 1 <= t_end <= MAX_BITS:
+        raise ValueError(f"behaviour features look at periods 1 to {MAX_BITS}; renumber the periods of a longer ledger")
+
+
 def history(ledger: DataFrame, t_end: int) -> DataFrame:
     """(chid, tag, first_dt, last_dt, months): months has bit dt - 1 set for every bought period up to t_end."""
+    check_bits(t_end)
     return (
         ledger.filter(F.col("dt") <= t_end)
         .groupBy("chid", "tag")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from basketry.config import ItemSet, LedgerSpec
 from basketry.functions.quantiles import exact_quantiles
 
-BROADCAST_GROUPS = 100_000
-
 
 def _quantile_of(stat: str) -> float | None:
     if stat in ("median", "nanmedian"):
@@ -29,13 +27,8 @@ def _moment(stat: str, feature: str) -> Column:
     raise ValueError(f"unknown statistic {stat!r}")
 
 
-def few_groups(spec: LedgerSpec, keys: Sequence[str]) -> bool:
-    """Code lists have at most ``max_codes`` entries, which bounds the groups of a few keys."""
-    return spec.max_codes ** len(keys) <= BROADCAST_GROUPS
-
-
 def group_stats(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], stats: Sequence[str], few: bool = True
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], stats: Sequence[str]
 ) -> DataFrame:
     """``stats`` of ``features`` per group, one row per group, columns ``{feature}_{stat}`` with dots as underscores.
 
@@ -59,7 +52,7 @@ def group_stats(
                 F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_x")) for f in features])
             ).alias("_e"),
         ).select(*keys, "_e._f", "_e._x")
-        found = exact_quantiles(long, [*keys, "_f"], "_x", probs, few)
+        found = exact_quantiles(long, [*keys, "_f"], "_x", probs)
         wide = found.groupBy(*keys).agg(
             *[
                 F.max(F.when(F.col("_f") == f, F.col(by_prob[_quantile_of(s)]))).alias(n)
@@ -86,7 +79,7 @@ def windowed_group_stats(
 ) -> DataFrame:
     """Group statistics over a period window and an item set of a ledger that carries the attributes."""
     rows = ledger.filter(F.col("dt").between(*periods) & F.col("tag").isin(*spec.item_set(which)))
-    return group_stats(rows, keys, features, stats, few_groups(spec, keys))
+    return group_stats(rows, keys, features, stats)
 
 
 def each_attribute_stats(
@@ -102,21 +95,17 @@ def each_attribute_stats(
     return group_stats(long, ["attr", "code"], features, stats)
 
 
-def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], spec: LedgerSpec) -> DataFrame:
-    """Group statistics back to rows.
-
-    Within the bound of the code lists they are broadcast, beyond it Spark shuffles both sides and splits hot groups.
-    """
-    return df.join(F.broadcast(stats) if few_groups(spec, keys) else stats, list(keys), "left")
+def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Group statistics back to rows; Spark sizes the statistics, and splits hot groups if it has to shuffle."""
+    return df.join(stats, list(keys), "left")
 
 
-def join_each_attribute(df: DataFrame, stats: DataFrame, attributes: Sequence[str], spec: LedgerSpec) -> DataFrame:
+def join_each_attribute(df: DataFrame, stats: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Statistics of :func:`each_attribute_stats` back to rows, columns prefixed with the attribute."""
     values = [c for c in stats.columns if c not in ("attr", "code")]
     for a in attributes:
         part = stats.filter(F.col("attr") == a).select(
             F.col("code").alias("_code"), *[F.col(v).alias(f"{a}_{v}") for v in values]
         )
-        side = F.broadcast(part) if few_groups(spec, [a]) else part
-        df = df.join(side, F.col(a).cast("string") == F.col("_code"), "left").drop("_code")
+        df = df.join(part, F.col(a).cast("string") == F.col("_code"), "left").drop("_code")
     return df

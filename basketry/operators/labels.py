@@ -69,14 +69,10 @@ def label_rows(
 
 
 def multi_hot(labels: DataFrame, n_labels: int) -> DataFrame:
-    """One row per client with an array of 0/1 per label."""
-    bits = labels.groupBy("chid").agg(F.bit_or(F.expr("shiftleft(1L, label)")).alias("_b"))
-    return bits.select(
-        "chid",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n_labels - 1)), lambda i: F.getbit(F.col("_b"), i).cast("int")
-        ).alias("hot"),
-    )
+    """One row per client with an array of 0/1 per label, of any number of labels."""
+    held = labels.groupBy("chid").agg(F.collect_set("label").alias("_s"))  # at most n_labels values
+    hot = F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)), lambda i: F.array_contains("_s", i).cast("int"))
+    return held.select("chid", hot.alias("hot"))
 
 
 @dataclass(frozen=True)
@@ -118,9 +114,13 @@ def fold_label_rows(ledger: DataFrame, spec: LedgerSpec, folds: Sequence[Tempora
     return rows.select("chid", "tag", "dt", F.explode(table).alias("_f")).select("_f.*", "dt", "chid", "tag")
 
 
+#: apart from each other for all items below it
+ROW_KEY_STEP = 1 << 31
+
+
 def row_folds(df: DataFrame, k: int, seed: int = 168, by_client: bool = True) -> DataFrame:
     """Shuffled fold number from a key hash.  By client, so no client sits on both sides; by row on request."""
     if k < 2:
         raise ValueError("at least two folds")
-    key = F.col("chid") if by_client else F.col("chid") * F.lit(64) + F.col("tag")
+    key = F.col("chid") if by_client else F.col("chid") * F.lit(ROW_KEY_STEP) + F.col("tag")
     return df.withColumn("fold", F.pmod(key_hash(key, seed), F.lit(k)).cast("int"))

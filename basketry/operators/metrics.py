@@ -48,7 +48,7 @@ def client_ndcg(
     """(chid, ndcg) for clients with a ranking and a legit purchase of non-zero amount in period t.
 
     A predicted item that was not bought counts 0.  A ranking that repeats an item counts it every time unless
-    ``distinct``.  A client with several ranking rows is scored once.
+    ``distinct``.  A client with several ranking rows is scored once, by the least of them.
     """
     actual = client_actuals(ledger, spec, t).filter(F.col("ideal") > 0)
     gains = []
@@ -58,7 +58,8 @@ def client_ndcg(
             seen = reduce(lambda a, b: a | b, [F.col(name) == F.col(p) for p in TOPS[:i]])
             gain = F.when(F.coalesce(seen, F.lit(False)), F.lit(0.0)).otherwise(gain)
         gains.append(gain)
-    joined = ranking.dropDuplicates(["chid"]).join(actual, "chid")
+    rankings = ranking.groupBy("chid").agg(F.min(F.struct(*TOPS, *keep)).alias("_r")).select("chid", "_r.*")
+    joined = rankings.join(actual, "chid")
     return joined.select("chid", *keep, (_gain(gains) / F.col("ideal")).alias("ndcg"))
 
 

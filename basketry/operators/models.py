@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,10 +43,13 @@ def train(
     """A multi-class model with row weights.
 
     ``lr`` is multinomial regression, ``rf`` a forest, ``gbt`` boosted trees one against the rest; with ``valid`` rows the
-    boosted trees stop early on them.
+    boosted trees stop early on them.  Missing numbers take the mean of the training rows and unknown or missing strings a
+    code of their own; both are part of the model.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm is one of {ALGORITHMS}")
+    if valid is not None and algorithm != "gbt":
+        raise ValueError("only boosted trees stop early on validation rows")
     features = list(features or feature_columns(data))
     if weight is None:
         data, weight = data.withColumn("weight", F.lit(1.0)), "weight"
@@ -56,8 +59,10 @@ def train(
         data = data.withColumn("is_valid", F.lit(False)).unionByName(
             valid.withColumn("is_valid", F.lit(True)).select(*data.columns, "is_valid")
         )
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    assembled = assembler.transform(with_label_metadata(data, len(spec.legit)))
+    stages = encoders(data, features)
+    assembled = with_label_metadata(data, len(spec.legit))
+    for stage in stages:
+        assembled = stage.transform(assembled)
     if algorithm == "lr":
         learner = LogisticRegression(family="multinomial", maxIter=rounds, regParam=0.01, weightCol=weight)
     elif algorithm == "rf":
@@ -67,7 +72,37 @@ def train(
         if valid is not None:
             boosted = boosted.setValidationIndicatorCol("is_valid")
         learner = OneVsRest(classifier=boosted, weightCol=weight)
-    return PipelineModel([assembler, learner.fit(assembled)])
+    return PipelineModel([*stages, learner.fit(assembled)])
+
+
+def encoders(data: DataFrame, features: Sequence[str]) -> list[Transformer]:
+    """Stages from feature columns to a vector, fitted on the training rows."""
+    types = dict(data.dtypes)
+    strings = [f for f in features if types[f] == "string"]
+    numbers = [f for f in features if types[f] != "string"]
+    stages: list[Transformer] = []
+    if strings:
+        indexer = StringIndexer(
+            inputCols=strings, outputCols=[f"_code_{f}" for f in strings], handleInvalid="keep", stringOrderType="alphabetAsc"
+        )
+        stages.append(indexer.fit(data))
+    if numbers:
+        means = data.agg(*[F.avg(F.col(f"`{f}`").cast("double")) for f in numbers]).first()
+        filled = [f"coalesce(double(`{f}`), {float(m or 0.0)!r}D) AS `_num_{f}`" for f, m in zip(numbers, means)]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__"))
+    inputs = [f"_code_{f}" if f in strings else f"_num_{f}" for f in features]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error")]
+
+
+def save_model(model: PipelineModel, root: str, name: str, version: int, t_end: int) -> str:
+    """Stores a model under its name, version and last training period."""
+    path = f"{root}/{name}/v{version}/t{t_end}"
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(root: str, name: str, version: int, t_end: int) -> PipelineModel:
+    return PipelineModel.load(f"{root}/{name}/v{version}/t{t_end}")
 
 
 def predict(model: PipelineModel, data: DataFrame, spec: LedgerSpec) -> DataFrame:
@@ -81,6 +116,8 @@ def predict(model: PipelineModel, data: DataFrame, spec: LedgerSpec) -> DataFram
         scored = scored.withColumn("_p", raw)
         total = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
         probs = F.transform("_p", lambda p: p / total)
+    # classes after the last one of the training rows
+    probs = F.concat(probs, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(len(spec.legit)) - F.size(probs))))
     tags = F.array(*[F.lit(t) for t in spec.legit])
     long = scored.select("chid", F.posexplode(probs).alias("label", "prob"))
     return long.select("chid", F.get(tags, F.col("label")).alias("tag"), "label", "prob")
@@ -116,9 +153,19 @@ def refit_predictions(
 
 
 def importance_table(model: PipelineModel, data: DataFrame) -> DataFrame:
-    """Normalised feature importances, one row per feature."""
-    names = model.stages[0].getInputCols()
-    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
+    """Normalised feature importances, one row per feature: of trees their own, of trees one against the rest the mean
+    over the classes, of regressions the mean absolute coefficient.
+    """
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    names = [n.removeprefix("_num_").removeprefix("_code_") for n in assembler.getInputCols()]
+    learner = model.stages[-1]
+    if isinstance(learner, OneVsRestModel):
+        found = sum(m.featureImportances.toArray() for m in learner.models) / len(learner.models)
+    elif hasattr(learner, "featureImportances"):
+        found = learner.featureImportances.toArray()
+    else:
+        found = abs(learner.coefficientMatrix.toArray()).mean(axis=0)
+    values = [float(v) for v in found]
     total = sum(values) or 1.0
     rows = [(n, v, v / total) for n, v in zip(names, values)]
     return data.sparkSession.createDataFrame(rows, "feature string, importance double, normalized double")

@@ -1,18 +1,17 @@
 """Collaborative vectors: a client's own vector blended with the mean of similar clients.
 
 Each client is compared with a random sample of clients, never with all of them.  Clients are split into pools by key
-hash; the members of a pool with the smallest second hash are its candidates.  All pools together hold
-``n_pools * n_candidates`` item vectors, a number fixed by the parameters, so they travel to the tasks as one broadcast
-and the comparison is a matrix product inside ``mapInArrow``: no pair ever becomes a row and nothing is shuffled.
+hash; the members of a pool with the smallest second hash are its candidates.  Clients and candidates of a pool meet in
+one task, where the comparison is a matrix product: no pair ever becomes a row, and nothing passes through the driver.
+A task holds one pool, so the number of pools has to grow with the clients (:func:`pool_count`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +20,12 @@ from basketry.functions.hashing import key_hash
 
 POOL_SEED, ORDER_SEED, SPREAD_SEED = 1, 2, 3
 SPREAD = 64
-MAX_POOL_CELLS = 50_000_000
+POOL_CLIENTS = 20_000
+
+
+def pool_count(n_clients: int, n_candidates: int = 1000) -> int:
+    """Pools of about POOL_CLIENTS clients each, or of twice the candidates if that is more."""
+    return max(1, n_clients // max(POOL_CLIENTS, 2 * n_candidates))
 
 
 def pool_of(n_pools: int, seed: int = 0):
@@ -61,10 +65,8 @@ def open_arrays(arrays: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
     )
 
 
-def _blender(
-    pools: Broadcast, k: int | None, alpha: float, measure: str, normalize: bool
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The task side over Arrow batches; self-contained, so workers need numpy and pyarrow only."""
+def _blender(k: int | None, alpha: float, measure: str, normalize: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The task side of one pool; self-contained, so workers need numpy and pyarrow only."""
 
     def distances(own: np.ndarray, pool: np.ndarray) -> np.ndarray:
         # undefined distances are the largest finite number, so they rank last
@@ -81,31 +83,36 @@ def _blender(
 
     def choose(own: np.ndarray, pool: np.ndarray, mine: np.ndarray) -> np.ndarray:
         # mask of the k nearest: all below the k-th distance, then ties in id order (candidates are sorted by id)
-        if k is None or k >= pool.shape[0]:
-            return ~mine
         far = np.where(mine, np.inf, distances(own, pool))
         edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
         nearer, tied = far < edge, far == edge
         room = k - nearer.sum(axis=1, keepdims=True)
         return (nearer | (tied & (np.cumsum(tied, axis=1) <= room))) & ~mine
 
-    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chids = batch.column("chid").to_numpy()
-            wide = batch.column("vec").flatten().to_numpy().reshape(len(chids), -1)
-            pool_ids = batch.column("pool").to_numpy()
-            out = alpha * (scaled(wide) if normalize else wide)
-            for pool_id in np.unique(pool_ids):
-                if int(pool_id) not in pools.value:
-                    continue
-                ids, pool = pools.value[int(pool_id)]
-                rows = np.nonzero(pool_ids == pool_id)[0]
-                chosen = choose(wide[rows], pool, np.equal.outer(chids[rows], ids)).astype(np.float64)
-                mean = (chosen @ (scaled(pool) if normalize else pool)) / np.maximum(chosen.sum(axis=1, keepdims=True), 1)
-                out[rows] += (1.0 - alpha) * mean
-            offsets = pa.array(np.arange(len(chids) + 1, dtype=np.int32) * wide.shape[1])
-            vec = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("chid"), vec], ["chid", "vec"])
+    def means(own: np.ndarray, pool: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        parts = scaled(pool) if normalize else pool
+        if k is None or k >= len(pool):
+            # all other candidates: their sum without the own part
+            inside = mine.any(axis=1, keepdims=True)
+            others = parts.sum(axis=0) - np.where(inside, scaled(own) if normalize else own, 0.0)
+            return others / np.maximum(len(pool) - inside, 1) * (len(pool) > inside)
+        chosen = choose(own, pool, mine).astype(np.float64)
+        return (chosen @ parts) / np.maximum(chosen.sum(axis=1, keepdims=True), 1)
+
+    def matrix(table: pa.Table, column: str) -> np.ndarray:
+        return table[column].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+
+    def blend(owners: pa.Table, candidates: pa.Table) -> pa.Table:
+        chids, wide = owners["chid"].to_numpy(), matrix(owners, "vec") if len(owners) else np.zeros((0, 1))
+        out = alpha * (scaled(wide) if normalize else wide)
+        if len(candidates) and len(owners):
+            candidates = candidates.sort_by("cand_chid")
+            ids, pool = candidates["cand_chid"].to_numpy(), matrix(candidates, "cand_vec")
+            for at in range(0, len(chids), 4096):
+                rows = slice(at, at + 4096)
+                out[rows] += (1.0 - alpha) * means(wide[rows], pool, np.equal.outer(chids[rows], ids))
+        offsets = pa.array(np.arange(len(chids) + 1, dtype=np.int32) * wide.shape[1])
+        return pa.table({"chid": owners["chid"], "vec": pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))})
 
     return blend
 
@@ -133,20 +140,16 @@ def neighbor_blend(
         raise ValueError("measure is cos or ed")
     if k is not None and k > n_candidates:
         raise ValueError("k exceeds the number of candidates")
-    if n_pools * n_candidates * len(spec.items) > MAX_POOL_CELLS:
-        raise ValueError("candidate pools would not fit a broadcast: lower n_pools or n_candidates")
-    members = candidate_pools(clients, n_pools, n_candidates, seed)
-    # at most n_pools * n_candidates candidates, whatever the number of clients
-    chosen = item_arrays(vectors.join(F.broadcast(members.select("chid")), "chid", "left_semi"), spec, value)
-    sample = chosen.withColumn("pool", pool_of(n_pools, seed)).toPandas().sort_values("chid")
-    pools = {
-        int(p): (g["chid"].to_numpy(np.int64), np.stack(g["vec"].to_numpy()).astype(np.float64))
-        for p, g in sample.groupby("pool")
-    }
-    shipped = vectors.sparkSession.sparkContext.broadcast(pools)
-
     pooled = item_arrays(vectors, spec, value).withColumn("pool", pool_of(n_pools, seed))
-    return open_arrays(pooled.mapInArrow(_blender(shipped, k, alpha, measure, normalize), "chid long, vec array<double>"), spec, value)
+    members = candidate_pools(clients, n_pools, n_candidates, seed)
+    candidates = pooled.join(members.select("chid"), "chid", "left_semi")
+    candidates = candidates.select(*[F.col(c).alias(f"cand_{c}") for c in ("chid", "vec", "pool")])
+    blended = (
+        pooled.groupBy("pool")
+        .cogroup(candidates.groupBy("cand_pool"))
+        .applyInArrow(_blender(k, alpha, measure, normalize), "chid long, vec array<double>")
+    )
+    return open_arrays(blended, spec, value)
 
 
 def attribute_blend(
@@ -169,13 +172,12 @@ def attribute_blend(
     scaled = vectors.withColumn("_s", F.coalesce(F.try_divide(F.col(value), top), F.lit(0.0)))
     owners = attributes.select("chid", *keys).withColumn("pool", pool_of(n_pools, seed))
     members = candidate_pools(attributes, n_pools, n_candidates, seed).select("chid", F.lit(1).alias("_in"))
-    rows = scaled.join(owners, "chid").join(F.broadcast(members), "chid", "left")
+    rows = scaled.join(owners, "chid").join(members, "chid", "left")
     group = ["pool", *keys, "tag"]
     sums = (
         rows.filter("_in = 1").groupBy(*group).agg(F.sum("_s").alias("_sum"), F.count("*").alias("_n"))
     )
-    # groups are built from the candidates only: at most n_pools * n_candidates * items rows
-    joined = rows.join(F.broadcast(sums), group, "left")
+    joined = rows.join(sums, group, "left")
     inside = F.coalesce(F.col("_in"), F.lit(0))
     n = F.coalesce(F.col("_n"), F.lit(0)) - inside
     others = F.coalesce(F.col("_sum"), F.lit(0.0)) - F.when(inside == 1, F.col("_s")).otherwise(F.lit(0.0))

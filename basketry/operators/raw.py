@@ -108,7 +108,7 @@ def client_attributes(
 
 
 def filled_limit(profile: DataFrame, limit: str, n_periods: int) -> DataFrame:
-    """Limit of every client and period: the last known one, 0 before the first.
+    """Limit of every client and period: the last known (not null) one, 0 before the first.
 
     Each known value covers the periods until the next one, so the client x period grid appears after the only shuffle.
     """
@@ -116,7 +116,7 @@ def filled_limit(profile: DataFrame, limit: str, n_periods: int) -> DataFrame:
     spans = profile.select(
         "chid",
         "dt",
-        F.col(limit).alias("_v"),
+        F.coalesce(F.last(limit, ignorenulls=True).over(w), F.lit(0)).alias("_v"),
         F.lead("dt").over(w).alias("_next"),
         F.lag("dt").over(w).alias("_prev"),
     )

@@ -43,8 +43,13 @@ def prediction_matrix(store: DataFrame, spec: LedgerSpec, models: Sequence[Model
 
 
 def restack(meta: DataFrame, features: DataFrame) -> DataFrame:
-    """Raw features next to predictions; the right side has one row per client."""
-    return meta.join(features.drop("label", "tag").dropDuplicates(["chid"]), "chid", "left")
+    """Raw features next to predictions; of a client with several feature rows the least one counts."""
+    right = features.drop("label", "tag")
+    values = [c for c in right.columns if c != "chid"]
+    if not values:
+        return meta
+    right = right.groupBy("chid").agg(F.min(F.struct(*values)).alias("_f")).select("chid", "_f.*")
+    return meta.join(right, "chid", "left")
 
 
 def meta_dataset(

@@ -18,7 +18,6 @@ from basketry.operators import behavior as beh
 from basketry.operators.filters import sample_rows
 from basketry.operators.groupstats import (
     each_attribute_stats,
-    few_groups,
     group_stats,
     join_each_attribute,
     join_group_stats,
@@ -28,7 +27,6 @@ from basketry.operators.neighbors import neighbor_blend
 from basketry.operators.decayed import decayed_features, decayed_purchases, variant_stats
 from basketry.operators.panel import pivot_items
 from basketry.operators.raw import client_attributes, flat_vector
-from basketry.session import written
 
 
 @dataclass(frozen=True)
@@ -79,8 +77,10 @@ class DatasetConfig:
     sample: tuple[float, int] | None = None
 
 
-def item_features(ledger: DataFrame, spec: LedgerSpec, cfg: DatasetConfig) -> tuple[DataFrame, dict[str, Column]]:
-    """All per-item features of a client in one wide row, and what a client without any row gets."""
+def item_features(ledger: DataFrame, spec: LedgerSpec, cfg: DatasetConfig) -> tuple[DataFrame, dict[str, Column]] | None:
+    """All per-item features of a client in one wide row, and what a client without any row gets; None if none is
+    configured.
+    """
     t = cfg.t_end
     dt = F.col("dt")
     plain = {n: p for n, p in cfg.purchases.items() if p.neighbors is None}
@@ -105,6 +105,8 @@ def item_features(ledger: DataFrame, spec: LedgerSpec, cfg: DatasetConfig) -> tu
             continue
         for part in beh.TOGGLES if name == "st_tgl" else (name,):
             columns[part] = (*known[part], which)
+    if not columns:
+        return None
     used = sorted({tag for _, _, which in columns.values() for tag in spec.item_set(which)})
     rows = ledger.filter((dt <= t) & F.col("tag").isin(*used))
     per_item = rows.groupBy("chid", "tag").agg(*aggregates)
@@ -136,8 +138,6 @@ def add_group_stats(
     prefix: str,
 ) -> DataFrame:
     """Joins the statistics of one configuration; a client without a group takes the mean over all clients.
-
-    The statistics are a small table: computed once, written, and read by the join and by the means.
     """
     first, last = trailing(t, *g.window)
     keys = list(spec.attributes) if g.keys == "each" else list(g.keys)
@@ -145,14 +145,14 @@ def add_group_stats(
     codes = profile.filter(F.col("dt").between(first, last)).select("chid", "dt", *keys)
     rows = rows.join(codes, ["chid", "dt"])
     if g.keys != "each":
-        stats = written(group_stats(rows, keys, g.features, g.stats, few_groups(spec, keys)), "group_stats")
+        stats = group_stats(rows, keys, g.features, g.stats)
         values = [c for c in stats.columns if c not in keys]
         means = _mean_over_rows(stats, attrs, keys, values)
-        out = join_group_stats(out, stats, keys, spec)
+        out = join_group_stats(out, stats, keys)
         return out.withColumns({f"{prefix}_{v}": F.coalesce(v, means.getField(v)) for v in values}).drop(*values)
-    stats = written(each_attribute_stats(rows, keys, g.features, g.stats), "attribute_stats")
+    stats = each_attribute_stats(rows, keys, g.features, g.stats)
     values = [c for c in stats.columns if c not in ("attr", "code")]
-    out = join_each_attribute(out, stats, keys, spec)
+    out = join_each_attribute(out, stats, keys)
     filled = {}
     for a in keys:
         part = stats.filter(F.col("attr") == a).withColumn(a, F.col("code"))
@@ -168,8 +168,8 @@ def build_features(
     t = cfg.t_end
     out = clients if cfg.production else ledger.filter(F.col("dt") == t).select("chid").distinct()
     spine = out
-    if cfg.purchases or cfg.features or cfg.behavior:
-        wide, fills = item_features(ledger, spec, cfg)
+    if found := item_features(ledger, spec, cfg):
+        wide, fills = found
         joined = spine.join(wide, "chid", "left")
         out = joined.select("chid", *[F.coalesce(F.col(n), f).alias(n) for n, f in fills.items()])
     for value, (window, which) in cfg.raw.items():

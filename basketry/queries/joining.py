@@ -77,7 +77,7 @@ def group_stats_to_rows(t: Tables) -> DataFrame:
     keys = ["nation", "segment"]
     stats = grp.windowed_group_stats(t.wide, SPEC, keys, (18, 23), "all", ["amt_cents", "txn_cnt"], ["mean"])
     rows = t.attributes.select("chid", *keys)
-    joined = grp.join_group_stats(rows, rounded(stats, 4), keys, SPEC)
+    joined = grp.join_group_stats(rows, rounded(stats, 4), keys)
     return joined.select("chid", *keys, "amt_cents_mean", "txn_cnt_mean")
 
 

@@ -52,7 +52,7 @@ def temporal_folds(t: Tables) -> DataFrame:
 @query(
     "l06_row_folds",
     f"""SELECT chid, tag, label, CAST({key_hash_sql('chid', 168)} % 5 AS INTEGER) AS fold,
-               CAST({key_hash_sql('chid * 64 + tag', 168)} % 5 AS INTEGER) AS row_fold FROM target_labels""",
+               CAST({key_hash_sql(f'chid * {lab.ROW_KEY_STEP} + tag', 168)} % 5 AS INTEGER) AS row_fold FROM target_labels""",
 )
 def row_folds(t: Tables) -> DataFrame:
     by_row = lab.row_folds(lab.label_rows(t.ledger, SPEC, T_END), 5, by_client=False)

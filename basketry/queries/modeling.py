@@ -16,7 +16,7 @@ from basketry.operators.ranking import rank_by_probability
 from basketry.plans import dataset as ds
 from basketry.plans import lifecycle as lc
 from basketry.plans import training as tr
-from basketry.session import written
+from basketry.session import scratch_path, written
 from basketry.queries.base import MODELS, SPEC, T_END, TARGET, Tables, query, rounded
 
 PSEUDO = 797.165663
@@ -137,7 +137,7 @@ def production(t: Tables) -> DataFrame:
 
 
 def _meta(t: Tables) -> DataFrame:
-    store = t.predictions.filter(F.col("split") == "unseen")
+    store = t.predictions.filter(F.col("split") == "oof")
     return written(stk.meta_dataset(store, SPEC, MODELS, lab.label_rows(t.ledger, SPEC, T_END)), "meta")
 
 
@@ -150,11 +150,11 @@ def out_of_fold(t: Tables) -> DataFrame:
 
 @query("p07_refit_average")
 def refit_average(t: Tables) -> DataFrame:
-    """Stacker refitted with two seeds on all rows, predictions averaged."""
+    """Stacker refitted with every seed on all rows, predictions averaged."""
     target = stk.meta_dataset(t.predictions.filter(F.col("split") == "unseen"), SPEC, MODELS)
     rounds = ml.final_rounds(4, 5)
     refits = ml.refit_predictions(
-        _meta(t), target, SPEC, lambda rows, seed: ml.train(rows, SPEC, "rf", trees=rounds, depth=4, seed=seed), ml.SEEDS[:2]
+        _meta(t), target, SPEC, lambda rows, seed: ml.train(rows, SPEC, "rf", trees=rounds, depth=4, seed=seed), ml.SEEDS
     )
     return rounded(stk.seed_average(refits))
 
@@ -187,12 +187,12 @@ def sweep(t: Tables) -> DataFrame:
 
 @query("m12_reevaluation")
 def reevaluation(t: Tables) -> DataFrame:
-    """Two stored models scored again on the complete client set, client by client."""
-    src = sources(t)
-    models = {
-        "all_clients": tr.train_model(src, _base(TRAIN_END), "amt"),
-        "warm_clients": tr.train_model(src, replace(_base(TRAIN_END), drop_cold_start=True), "amt"),
-    }
+    """Two models, stored and loaded again, scored on the complete client set, client by client."""
+    src, root = sources(t), scratch_path(t.spark, "models")
+    for name, cold in (("all_clients", False), ("warm_clients", True)):
+        model = tr.train_model(src, replace(_base(TRAIN_END), drop_cold_start=cold), "amt")
+        ml.save_model(model, root, name, 1, TRAIN_END)
+    models = {name: ml.load_model(root, name, 1, TRAIN_END) for name in ("all_clients", "warm_clients")}
     return rounded(tr.reevaluate(src, models, _base(T_END)))
 
 
@@ -206,7 +206,7 @@ def temporal_cv(t: Tables) -> DataFrame:
 @query("p08_stacker_and_blend")
 def stacker_and_blend(t: Tables) -> DataFrame:
     """Base predictions to a stacker, its predictions into the store, and a blend of both ranked."""
-    src, models = sources(t), MODELS[:2]
+    src, models = sources(t), MODELS
     store = written(t.predictions, "store")
     oof, refits = lc.train_stacker(src, store, models, T_END, "amt", folds=2, seeds=ml.SEEDS[:2], rounds=5)
     unseen = lc.predict_stacker(src, refits, store, models)

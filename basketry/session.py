@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,40 +28,21 @@ def build_session(master: str = "local[8]", app: str = "basketry", memory: str =
     return builder.getOrCreate()
 
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder every executor can read: ``spark.checkpoint.dir``; a local folder only for a local master.
-
-    On a cluster that names no folder the answer is None: nothing is written and plans stay lazy.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can read: ``spark.checkpoint.dir``, or where a session names none, one in its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="basketry-")
-    return _local[app]
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/basketry-scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    root = shared_dir(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{root}/basketry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/basketry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table below the shared folder: computed once, lineage cut, safe against lost
-    executors.  Without a shared folder the plan stays as it is.
+    executors.
     """
-    spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df
-    path = scratch_path(spark, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -71,7 +71,7 @@ class Inputs:
         return int(max(1, min(MAX_BUCKETS, max(wanted, spread))))
 
     def _listing(self, path: str) -> list[tuple[str, int, str]]:
-        """(path, size, modification time) of the files of one source."""
+        """(path, size, modification time) of the files of one source; in a store only Spark reads, their sum."""
         local = Path(path.removeprefix("file://"))
         if local.exists():
             found = [local] if local.is_file() else [f for f in local.rglob("*") if f.is_file()]
@@ -80,16 +80,14 @@ class Inputs:
             found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         except AnalysisException:
             return []  # a table that is not there; reading it will say so
-        files = found.select("path", "length", F.col("modificationTime").cast("string"))
-        # one short row per source file, as the driver lists them anyway to plan a scan
-        return [tuple(r) for r in files.collect()]
+        files = found.select("length", F.xxhash64("path", "length", "modificationTime").alias("_h"))
+        size, digest, n = files.agg(F.sum("length"), F.bit_xor("_h"), F.count("*")).first()
+        return [(path, size or 0, f"{n} files {digest}")]
 
     def _prepared(
         self, name: str, sources: tuple[str, ...], build: Callable[..., DataFrame], order: list[str]
     ) -> DataFrame:
         root = shared_dir(self.spark)
-        if root is None:
-            return build(*[self.table(s) for s in sources])
         # one folder per application: a table another application is still writing is never read
         app = "".join(c if c.isalnum() else "_" for c in self.spark.sparkContext.applicationId)
         table = f"basketry_{name}_{app}_{self._state[0]}".lower()

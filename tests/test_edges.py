@@ -97,7 +97,37 @@ def test_item_sets():
     assert len(CARDS.item_set("leg")) == 16 and len(CARDS.item_set("illeg")) == 33
     assert ORDERS.label_map[19] == 7
     with pytest.raises(ValueError):
-        LedgerSpec(n_periods=80, items=(1,), legit=(1,), amount="a")
+        LedgerSpec(n_periods=0, items=(1,), legit=(1,), amount="a")
+
+
+def test_long_ledgers(make_ledger):
+    long = LedgerSpec(n_periods=80, items=(1, 2), legit=(1,), amount="amt")
+    assert long.n_periods == 80
+    with pytest.raises(ValueError, match="renumber"):
+        beh.history(make_ledger([(1, 70, 2)]), 70)
+
+
+def test_rankings_of_a_repeated_client_do_not_depend_on_order(spark, make_ledger, spec):
+    rows = [(1, 2, 3, 5), (1, 5, 3, 2)]
+    got = set()
+    for order in (rows, rows[::-1]):
+        ranking = spark.createDataFrame(order, "chid long, top1 int, top2 int, top3 int").coalesce(1)
+        got.add(met.client_ndcg(ranking, make_ledger([(1, 4, 5, 100.0)]), spec, 4).first().ndcg)
+    assert len(got) == 1
+
+
+def test_limit_carries_the_last_known_value(spark):
+    profile = spark.createDataFrame([(1, 1, None), (1, 2, 100), (1, 3, None), (2, 2, None)], "chid long, dt int, lim long")
+    got = {(r.chid, r.dt): r.lim for r in raw.filled_limit(profile, "lim", 4).collect()}
+    assert got == {(1, 1): 0, (1, 2): 100, (1, 3): 100, (1, 4): 100, **{(2, t): 0 for t in (1, 2, 3, 4)}}
+
+
+def test_many_labels_and_high_tags(spark):
+    hot = lab.multi_hot(spark.createDataFrame([(1, 0), (1, 99), (1, 99)], "chid long, label int"), 100).first().hot
+    assert [i for i, x in enumerate(hot) if x] == [0, 99]
+    pairs = spark.createDataFrame([(1, 65), (2, 1)], "chid long, tag int")
+    folds = [r.fold for r in lab.row_folds(pairs, 1 << 30, by_client=False).orderBy("chid").collect()]
+    assert folds[0] != folds[1]
 
 
 def test_parameters_are_validated(make_ledger, spec):

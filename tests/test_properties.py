@@ -141,7 +141,7 @@ def test_attribute_neighbors_by_brute_force(spark, ledger, clients, spec):
         assert [got[c, i].v for i in range(1, 6)] == pytest.approx(list(want))
 
 
-@pytest.mark.parametrize("kind", ["cents", "doubles", "negative", "one_value", "outlier"])
+@pytest.mark.parametrize("kind", ["cents", "doubles", "negative", "one_value", "outlier", "close", "ties"])
 def test_exact_quantiles(spark, kind):
     rng = np.random.default_rng(3)
     values = {
@@ -149,6 +149,8 @@ def test_exact_quantiles(spark, kind):
         "doubles": rng.random(4001),
         "negative": rng.normal(0, 50, 3000),
         "one_value": np.full(3000, 12.5),
+        "close": 7.0 + rng.random(4000) * 1e-9,
+        "ties": np.where(rng.random(4000) < 0.8, 3.25, rng.random(4000)),
         "outlier": np.append(rng.integers(0, 40, 3000), 1e15),
     }[kind]
     # one group holds most rows
