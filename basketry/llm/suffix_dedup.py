@@ -222,7 +222,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, whole, tids, at)], names=["h", "whole", "tid", "at"])
 
     every = rows.mapInArrow(found, "h long, whole long, tid long, at long")
-    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # written, so that the join below is one of two plain shuffles, whose hot keys Spark splits
+    often = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
     shared = written(every.join(often, "h", "left_semi"), "contexts")
 
     kinds = shared.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("tid", "at")).alias("one"))
@@ -252,7 +253,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
 
     few = strings.where(F.col("held") <= most)
     groups = max(1, few.count() // SORTED_CONTEXTS)
-    few = few.withColumn("group", F.pmod(F.xxhash64("h"), F.lit(groups)))
+    # by number, as small strings mean long work: their partitions are not to be merged by size
+    few = few.withColumn("group", F.pmod(F.xxhash64("h"), F.lit(groups)).cast("int")).repartition(groups, "group")
     by_order = few.groupBy("group").applyInArrow(
         lambda g: _repeated_starts(g, length, anchor), "tid long, lo long, hi long"
     )
