@@ -62,7 +62,9 @@ def test_boosted_trees_give_probabilities(src):
 def test_out_of_fold_covers_every_client_once(spark):
     t = Tables(spark, SF)
     got = REGISTRY["p06_out_of_fold"].run(spark, SF)
-    labels = lab.label_rows(t.ledger, SPEC, T_END)
+    # the stacker learns from out-of-fold rows: labelled clients that every model has predicted out of fold
+    known = stk.prediction_matrix(t.predictions.filter("split = 'oof'"), SPEC, MODELS).select("chid")
+    labels = lab.label_rows(t.ledger, SPEC, T_END).join(known, "chid", "left_semi")
     assert got.count() == labels.select("chid").distinct().count() * len(SPEC.legit)
     assert got.groupBy("chid", "tag").count().filter("count > 1").count() == 0
 
