@@ -132,13 +132,23 @@ def prefixes(docs: DataFrame, counts: np.ndarray, text: str = "text") -> DataFra
 
 
 def shared_shingles(classes: DataFrame) -> DataFrame:
-    """Written rows (shingle, key, n, pos, leader) of prefix shingles that more than one class has."""
+    """Written rows (shingle, key, n, pos, leader) of prefix shingles that more than one class has.
+
+    The leader is the class in whose prefix the shingle comes first.  An original has no shingles of its own before those
+    it shares with its edited copies, so it leads them.
+    """
     items = classes.select("key", "n", F.posexplode(F.arrays_zip("prefix", "frequent")).alias("pos", "item"))
     salt = F.when(F.col("item.frequent"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
     rows = items.select(F.col("item.prefix").alias("shingle"), salt.alias("salt"), "key", "n", "pos")
     same = Window.partitionBy("shingle", "salt")
-    met = rows.withColumn("leader", F.min("key").over(same)).withColumn("other", F.max("key").over(same))
-    return written(met.where("leader <> other or salt >= 0").select("shingle", "key", "n", "pos", "leader"), "shingles")
+    met = rows.withColumns(
+        {
+            "leader": F.min(F.struct("pos", "n", "key")).over(same),
+            "least": F.min("key").over(same),
+            "most": F.max("key").over(same),
+        }
+    )
+    return written(met.where("least <> most or salt >= 0").select("shingle", "key", "n", "pos", "leader"), "shingles")
 
 
 def _fits(n: str, m: str):
@@ -151,6 +161,14 @@ def _least_overlap(n: str, m: str):
     return F.expr(f"(({n} + {m}) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}")
 
 
+def _reaches(n: str, pos: str, m: str, at: str):
+    """Positional filter: what follows a common shingle, itself included, can make up the least overlap.
+
+    It holds for the first common shingle of similar sets, at which nothing before is common.
+    """
+    return F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= _least_overlap(n, m)
+
+
 def filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Written pairs (a, b) that the length and suffix filters leave."""
     one, two = (classes.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("parts").alias(f"p{k}")) for k in "ab")
@@ -192,9 +210,11 @@ def class_links(docs: DataFrame, members: DataFrame, counts: np.ndarray, text: s
     """Written links (a, b) of classes; every pair of similar classes is linked or joined by a path of links."""
     classes = written(prefixes(docs, counts, text), "classes")
     shingles = shared_shingles(classes)
-    starred = shingles.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    starred = filtered(starred, classes)
-    links = written(verified(starred, docs, members, text), "found")
+    led = shingles.select("*", F.col("leader.n").alias("led_n"), F.col("leader.pos").alias("led_pos"))
+    led = led.where((F.col("key") != F.col("leader.key")) & _fits("n", "led_n") & _reaches("n", "pos", "led_n", "led_pos"))
+    starred = led.select(F.least("leader.key", "key").alias("a"), F.greatest("leader.key", "key").alias("b")).distinct()
+    starred = written(starred, "starred")
+    links = written(verified(filtered(starred, classes), docs, members, text), "found")
 
     parts = components(links)
     named = shingles.drop("leader").join(parts.withColumnRenamed("node", "key"), "key", "left")
@@ -202,16 +222,14 @@ def class_links(docs: DataFrame, members: DataFrame, counts: np.ndarray, text: s
     open_ = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     open_ = named.join(open_.where("x <> y").select("shingle"), "shingle", "left_semi")
     one, two = (open_.select("shingle", *[F.col(c).alias(c + k) for c in ("key", "n", "pos", "component")]) for k in "ab")
-    reach = 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
     rest = (
         one.join(two, "shingle")
         .where((F.col("componenta") < F.col("componentb")) & _fits("na", "nb"))
-        .where(reach >= _least_overlap("na", "nb"))
+        .where(_reaches("na", "posa", "nb", "posb"))
         .select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b"))
         .distinct()
     )
-    seen = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = filtered(rest.join(seen, ["a", "b"], "left_anti"), classes)
+    rest = filtered(rest.join(starred, ["a", "b"], "left_anti"), classes)
     return written(links.union(verified(rest, docs, members, text)), "found")
 
 
