@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
+from basketry.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -52,5 +53,5 @@ def test_names_and_contract(spark):
 
 
 def test_queries_leave_out_only_models_and_searches():
-    without = set(QUERIES) - set(SQL)
+    without = set(REGISTRY) - set(SQL)
     assert all(n.split("_")[0] in {"k06", "m12", "p01", "p02", "p03", "p06", "p07", "p08", "p10", "p11", "p12", "p13"} for n in without)
