@@ -233,12 +233,14 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
 
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("times").alias("least")).where("least = 1")
     sorted_ = written(kinds.join(mixed.select("h", "held"), "h"), "mixed")
-    wanted = spark.sparkContext.broadcast(tables.hash_set(sorted_, "whole"))
+    # one text gives each context, however many hold it
+    marked = sorted_.select(F.col("whole").bitwiseXOR(F.col("tid")).alias("mark"))
+    wanted = spark.sparkContext.broadcast(tables.hash_set(marked, "mark"))
 
     def around(batches):
         for part in text_slices(batches, "text"):
-            _, h, whole, _, (b, lo, hi) = _rows(part, length, anchor)
-            keep = np.flatnonzero(tables.held(wanted.value, whole))
+            tids, h, whole, _, (b, lo, hi) = _rows(part, length, anchor)
+            keep = np.flatnonzero(tables.held(wanted.value, whole ^ tids))
             blobs = [
                 part.data[p:q].tobytes() + part.data[q + anchor : r + length].tobytes()
                 for p, q, r in zip(lo[keep].tolist(), b[keep].tolist(), hi[keep].tolist(), strict=True)
