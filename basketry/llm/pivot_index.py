@@ -1,6 +1,8 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference vectors (pivots) are drawn from the data.  A vector is described by its nearest pivots in order.  The inverted
+Reference vectors (pivots) are drawn from the data, no two of them within twice the threshold's angle of each other:
+many pivots in one cluster of near vectors would leave the order of its members' nearest pivots to noise.  A vector is
+described by its nearest pivots in order.  The inverted
 lists hold, for every set of ``shared`` pivots among a vector's first ``length``, the vectors with that set; vectors that
 meet in a list share at least so many pivots, and are compared exactly.  A pair that meets in several lists is compared
 in the first of them only.  Long lists are cut into blocks, and each pair of blocks is a task of its own, so no task holds
@@ -26,6 +28,8 @@ from basketry.llm.frames import need
 from basketry.session import written
 
 N_PIVOTS = 256
+#: vectors that pivots are chosen from, for each pivot wanted
+DRAWN = 16
 LENGTH = 6
 SHARED = 3
 THRESHOLD = 0.95
@@ -54,16 +58,30 @@ def usable(vector: str):
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def pivots(classes: DataFrame, n_pivots: int = N_PIVOTS, seed: int = 0) -> dict[int, np.ndarray]:
-    """For each width of vector the unit vectors of ``n_pivots`` classes, those of least seeded hash.
+def spread(x: np.ndarray, n: int, reach: float) -> np.ndarray:
+    """The first ``n`` unit vectors in order, without those that have a cosine of ``reach`` or more with one before."""
+    out, free = [], np.ones(len(x), bool)
+    for k in range(len(x)):
+        if free[k]:
+            out.append(k)
+            if len(out) == n:
+                break
+            free &= x @ x[k] < reach
+    return x[out]
 
-    A bounded sample: n_pivots vectors for each of the (few) widths.
+
+def pivots(classes: DataFrame, n_pivots: int = N_PIVOTS, seed: int = 0, threshold: float = THRESHOLD) -> dict[int, np.ndarray]:
+    """For each width of vector up to ``n_pivots`` unit vectors in seeded hash order, more than twice the threshold's angle
+    apart.  Where the data are so close that there are fewer, lists are longer and more is compared.
+
+    Chosen from a bounded sample: DRAWN * n_pivots vectors for all of the (few) widths.
     """
-    sample = classes.orderBy(F.xxhash64(F.lit(seed), "key")).limit(n_pivots).select("vector").collect()
+    sample = classes.orderBy(F.xxhash64(F.lit(seed), "key")).limit(DRAWN * n_pivots).select("vector").collect()
     by_width: dict[int, list] = {}
     for r in sample:
         by_width.setdefault(len(r[0]), []).append(r[0])
-    return {w: _unit(np.array(v, np.float64)) for w, v in by_width.items()}
+    reach = 2 * max(threshold, 0.0) ** 2 - 1
+    return {w: spread(_unit(np.array(v, np.float64)), n_pivots, reach) for w, v in by_width.items()}
 
 
 def nearest(x: np.ndarray, points: np.ndarray, length: int) -> np.ndarray:
@@ -211,7 +229,7 @@ def near_vectors(
     rows = rows.withColumn("key", F.when(usable("vector"), key))
     classes = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     classes = written(classes, "vectors")
-    found = written(links(index(classes, pivots(classes, n_pivots, seed), length, shared), threshold), "near")
+    found = written(links(index(classes, pivots(classes, n_pivots, seed, threshold), length, shared), threshold), "near")
     parts = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     told = found.groupBy("key").agg(F.sum("links").alias("links"))
     classes = classes.select("key", "copies").join(told, "key", "left").join(parts.withColumnRenamed("node", "key"), "key", "left")

@@ -198,3 +198,17 @@ def test_recall_at_the_threshold(spark):
     found = pivot_index.near_vectors(df).agg(F.sum("n_links")).first()[0]
     true = int(((both @ both.T) >= 0.95).sum() - len(both))
     assert 0.9 * true <= found <= true
+
+
+@pytest.mark.parametrize("noise", [(0.2, 0.2), (0.05, 0.6)])
+def test_recall_inside_a_large_cluster(spark, noise):
+    """A third of all vectors in one noisy cluster."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1800, 64))
+    centre = x[0] / np.linalg.norm(x[0])
+    x[:600] = centre + rng.normal(size=(600, 64)) / 8 * rng.uniform(*noise, size=(600, 1))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = pivot_index.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    true = int(((x @ x.T) >= 0.95).sum() - len(x))
+    assert 0.9 * true <= found <= true
