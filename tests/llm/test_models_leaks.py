@@ -186,3 +186,34 @@ def test_leaks(spark):
     kept = {x["doc_id"] for x in decontaminate.clean(docs, table).collect()}
     assert kept == {i for i, _ in rows} - {d for d, _ in got if d is not None}
     assert decontaminate.leaks(docs, table.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), table).count() == 0
+
+
+def jaccard(a, b, weight):
+    return sum(weight(x) for x in a & b) / sum(weight(x) for x in a | b)
+
+
+def test_leaks_just_over_the_threshold(spark):
+    """Windows of similarity 0.75 to 0.85 with some foreign words, of plain and templated items, against brute force."""
+    r = random.Random(21)
+    template = prose(r, 24)
+    items = [prose(r, 44) for _ in range(60)] + [template + " " + prose(r, 20) for _ in range(60)]
+    held = {}
+    for t in items:
+        for x in shingles(t):
+            held[x] = held.get(x, 0) + 1
+
+    def weight(x):
+        return round(64 * np.log(1 + len(items) / held.get(x, 1)))
+
+    docs, want = [], set()
+    for n, t in enumerate(items):
+        for cut in range(3, 12):
+            for words in (t.split()[:-cut] + prose(r, cut).split(), prose(r, cut).split() + t.split()[cut:]):
+                if 0.75 <= jaccard(shingles(" ".join(words)), shingles(t), weight) < 0.85:
+                    want.add((len(docs), n))
+                docs.append(" ".join(words))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), table).collect()}
+    plain, templated = ({x for x in want if (x[1] >= 60) == kind} for kind in (False, True))
+    assert min(len(plain), len(templated)) > 100
+    assert len(plain & got) >= 0.995 * len(plain) and len(templated & got) >= 0.995 * len(templated)
