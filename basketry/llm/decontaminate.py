@@ -13,7 +13,9 @@ that bound are not fingerprinted.
 Cases: null and empty texts and items match nothing; an item or document of one to four words is one shingle, so it only
 matches the same whole sequence; a document shorter than an item is one window; very long texts are read whole; repeated
 rows are found each; null ids pass; an empty table gives an empty table; other columns are not read by ``leaks`` and pass
-unchanged through ``clean``.  Items are sent to the tasks in batches of bounded size, one pass over the documents each.
+unchanged through ``clean``.  Items are sent to the tasks in batches of bounded size, one pass over the documents each;
+weights are those of the whole benchmark, so results do not depend on the batches.  The shingles that several items hold
+(16 bytes each) are sent with every batch, as they alone weigh less than unknown ones.
 """
 
 from __future__ import annotations
@@ -53,6 +55,30 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray, start: np.ndarray, siz
     return out
 
 
+def _item_shingles(batches) -> list[np.ndarray]:
+    """Shingles of every text."""
+    out = []
+    for part in text_slices(batches, "text", limit=1 << 40):
+        hashes, first = shingle_hashes(words_of(part))
+        out += np.split(hashes, first[1:-1])
+    return out
+
+
+def common_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one of all items hold, in order, and how many hold them."""
+
+    def run(batches):
+        for batch in batches:
+            every = np.concatenate([np.unique(s) for s in _item_shingles([batch])] or [np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["shingle"])
+
+    held = items.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    found = held.where("held > 1").toArrow()
+    shingles = found["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found["held"].to_numpy()[order]
+
+
 @dataclass
 class Index:
     """Items of one size by the blocks of their fingerprints."""
@@ -101,21 +127,23 @@ class Index:
 
 
 class Items:
-    """A batch of benchmark items: shingles, weights by how few items of the batch hold them, and an index per size."""
-
-    def __init__(self, texts: list[bytes], radius: int) -> None:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
-        parts = list(text_slices([batch], "text", limit=1 << 40)) or []
-        per_item = []
-        for part in parts:
-            hashes, first = shingle_hashes(words_of(part))
-            per_item += np.split(hashes, first[1:-1])
-        self.shingles = per_item
-        every = np.concatenate([np.unique(s) for s in per_item] or [np.zeros(0, np.uint64)])
-        self.known, held = np.unique(every, return_counts=True)
+    """A batch of benchmark items: shingles, weights by how few items hold them, and an index per size.
+
+    ``n_items`` and ``common`` (sorted shingles of more than one item, and how many hold them) are those of the whole
+    benchmark.
+    """
+
+    def __init__(self, texts: list[bytes], radius: int, n_items: int, common: tuple[np.ndarray, np.ndarray]) -> None:
+        self.shingles = per_item = _item_shingles([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])])
+        own = np.unique(np.concatenate(per_item or [np.zeros(0, np.uint64)]))
+        # those of other batches count for the weight of a window
+        self.known = np.union1d(own, common[0])
+        self.own = np.isin(self.known, own)
+        held = np.ones(len(self.known), np.int64)
+        held[np.searchsorted(self.known, common[0])] = common[1]
         # in 64ths, so that sums of weights are exact
-        self.unknown = int(round(64 * np.log(1 + len(texts)))) if texts else 1
-        self.known_weights = np.maximum(1, np.round(64 * np.log(1 + len(texts) / held))).astype(np.int64)
+        self.unknown = int(round(64 * np.log(1 + n_items))) if n_items else 1
+        self.known_weights = np.maximum(1, np.round(64 * np.log(1 + n_items / held))).astype(np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._cell(self.known)] = True
         self.radius = radius
@@ -133,14 +161,14 @@ class Items:
         return (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
     def weights(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of each shingle, and whether an item holds it."""
+        """Weight of each shingle, and whether an item of the batch holds it."""
         may = np.flatnonzero(self.filter[self._cell(hashes)])
         out, known = np.full(len(hashes), self.unknown, np.int64), np.zeros(len(hashes), bool)
         if len(may):
             at = np.minimum(np.searchsorted(self.known, hashes[may]), len(self.known) - 1)
             right = self.known[at] == hashes[may]
             out[may[right]] = self.known_weights[at[right]]
-            known[may[right]] = True
+            known[may[right]] = self.own[at[right]]
         return out, known
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
@@ -208,6 +236,7 @@ def leaks(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).distinct()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, similarity double, first_word int, n_words int"
+    weights = spark.sparkContext.broadcast((names.count(), common_shingles(names)))
     out = None
     for batch in _batches(names, batch_chars):
         # at most batch_chars of text
@@ -215,7 +244,7 @@ def leaks(
 
         def run(batches, shared=shared):
             ids, texts = shared.value
-            own, id_type = Items(texts, radius), pa.array(ids[:1]).type if ids else pa.int64()
+            own, id_type = Items(texts, radius, *weights.value), pa.array(ids[:1]).type if ids else pa.int64()
             for part in text_slices(batches, "text"):
                 words = words_of(part)
                 hashes, first = shingle_hashes(words)

@@ -217,3 +217,17 @@ def test_leaks_just_over_the_threshold(spark):
     plain, templated = ({x for x in want if (x[1] >= 60) == kind} for kind in (False, True))
     assert min(len(plain), len(templated)) > 100
     assert len(plain & got) >= 0.995 * len(plain) and len(templated & got) >= 0.995 * len(templated)
+
+
+def test_leaks_do_not_depend_on_batches(spark):
+    """Partial leaks of templated items have the same rows and similarities however the items are batched."""
+    r = random.Random(22)
+    heads = [prose(r, 20) for _ in range(4)]
+    items = [heads[n % 4] + " " + prose(r, 18) for n in range(60)]
+    docs = [prose(r, 30) + " " + " ".join(t.split()[: -(n % 6) or None]) + " " + prose(r, 30) for n, t in enumerate(items)]
+    # the foreign words of some windows are those of other items
+    docs += [" ".join(t.split()[3:]) + " " + heads[(n + 1) % 4] for n, t in enumerate(items)]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(2)
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").repartition(2)
+    one, *others = ({tuple(x) for x in decontaminate.leaks(docs, table, batch_chars=n).collect()} for n in (8 << 20, 9000, 3000))
+    assert any(x[2] < 1 for x in one) and all(other == one for other in others)
