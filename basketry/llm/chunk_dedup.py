@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; where its upper bits are zero a chunk ends, so chunk borders depend on the 32
-bytes before them and come back after an insertion.  Chunks are told apart by a 64-bit digest.  A chunk whose digest
+A gear hash rolls over the bytes of a text; a chunk ends where it is greater than at the 16 places on either side, so
+chunk borders depend on the 32 bytes before and the 16 after them, whatever borders stand before, and come back at once
+after an insertion.  A passage loses some 40 bytes at either edge to chunks that are not wholly its own.  Chunks are told apart by a 64-bit digest.  A chunk whose digest
 occurs at another place is repeated; consecutive repeated chunks of at least ``least_run`` bytes are a repeated passage
 (shorter ones, such as a common line, are left alone).  Of each repeated chunk the first place by (document id, position)
 stays, and the others go.
@@ -23,15 +24,15 @@ from basketry.llm.frames import extended_schema, need
 from basketry.session import written
 
 GEAR = np.random.default_rng(64).integers(0, 1 << 32, 256, dtype=np.uint32)
-GEAR_WINDOW = 32
-#: a border where the upper BORDER_BITS of the hash are zero
-BORDER_BITS = 5
+GEAR_WINDOW = 16
+#: a border's hash is the greatest among so many places before and after; at most GEAR_WINDOW, so texts do not meet
+REACH = 16
 LEAST_CHUNK, LARGEST_CHUNK = 16, 256
 LEAST_RUN = 128
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """At every byte the sum of the gear values of the last 32 bytes, each shifted by its distance."""
+    """At every byte the sum of the gear values of the last GEAR_WINDOW bytes, each shifted by its distance."""
     h = GEAR[data]
     span = 1
     while span < GEAR_WINDOW:
@@ -42,13 +43,27 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _borders(part: Slice) -> np.ndarray:
+    """Whether a chunk ends after a byte; of equal hashes the first counts."""
+    data = part.data
+    h = np.concatenate((np.zeros(REACH, np.uint32), gear_hashes(data), np.zeros(REACH + 1, np.uint32)))
+    own = h[REACH : REACH + len(data)]
+    # no border inside a character, nor where the hash or its neighbours would depend on another text
+    own[:-1][(data[1:] & 0xC0) == 0x80] = 0
+    own[part.end] = 0
+    own[np.minimum(part.start[:, None] + np.arange(GEAR_WINDOW - 1), len(data) - 1).ravel()] = 0
+    most, span = h, 1  # of span places from here on
+    while span < REACH:
+        step = min(span, REACH - span)
+        most = np.maximum(most[:-step], most[step:])
+        span += step
+    return (own > most[: len(data)]) & (own >= most[REACH + 1 : REACH + 1 + len(data)]) & (own > 0)
+
+
 def chunks(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all chunks of a slice in order: text number, start and end in the slice's data."""
     data = part.data
-    border = (gear_hashes(data) >> np.uint32(32 - BORDER_BITS)) == 0
-    # no border inside a character
-    border[:-1] &= (data[1:] & 0xC0) != 0x80
-    places = np.flatnonzero(border) + 1
+    places = np.flatnonzero(_borders(part)) + 1
     inside = np.searchsorted(places, np.stack([part.start + GEAR_WINDOW, part.end]))
     whole = places.tolist()
     owner, starts, ends = [], [], []
@@ -95,6 +110,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     every = rows.mapInArrow(cut, f"digest long, doc_id {kind}, tid long, place long")
     at = F.struct("doc_id", "tid", "place")
+    # only chunks counted twice are moved with their places
+    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    every = written(every.join(twice, "digest", "left_semi"), "twice")
     often = every.groupBy("digest").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("not (least <=> most)")
     across = F.struct("least.doc_id", "least.tid") != F.struct("most.doc_id", "most.tid")
     found = every.join(often.select("digest", "least", F.coalesce(across, F.lit(True)).alias("across")), "digest")

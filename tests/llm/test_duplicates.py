@@ -145,6 +145,22 @@ def test_chunk_dedup(spark):
     assert chunk_dedup.dedup_chunks(docs.limit(0)).count() == 0
 
 
+def test_chunk_dedup_finds_short_passages(spark):
+    """Passages of 51 words, each in two documents among other words."""
+    r = random.Random(9)
+
+    def prose(n):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(n))
+
+    rows = []
+    for n in range(400):
+        passage = prose(51)
+        rows += [(2 * n + k, f"{prose(r.randrange(1, 60))} {passage} {prose(r.randrange(1, 60))}") for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"] for x in chunk_dedup.dedup_chunks(docs).where("size(shared) > 0").collect()}
+    assert len(found) >= 0.995 * len(rows)
+
+
 def brute_vectors(rows, threshold=0.95):
     good = {i: np.asarray(v, float) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = sorted(good)
