@@ -150,15 +150,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, items)
 
 
-@_query
-def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that holds a passage which other documents hold as well, and what is left of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = chunk_dedup.dedup_chunks(docs).where(F.size("shared") > 0)
+def _passages(held: DataFrame) -> DataFrame:
+    """``n_passages`` counts passages that other documents hold, ``n_inner`` those that no other document has a part of."""
 
     def length(spans: str):
         return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
+    def apart(p):
+        return ~F.exists("shared", lambda s: (s["start"] < p["end"]) & (s["end"] > p["start"]))
+
     return held.select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
@@ -167,4 +167,19 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("shared").cast("long").alias("n_passages"),
         "first_ids",
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size(F.filter("passages", apart)).cast("long").alias("n_inner"),
     )
+
+
+@_query
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage which other documents hold as well, and what is left of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _passages(chunk_dedup.dedup_chunks(docs).where(F.size("shared") > 0))
+
+
+@_query
+def op5_inner_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other documents that lose bytes: to repeats of their own, or in passages that are long enough only with them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _passages(chunk_dedup.dedup_chunks(docs).where((F.size("shared") == 0) & (F.size("removed") > 0)))

@@ -94,6 +94,16 @@ def test_op5_flags_copies_of_long_texts(spark, docs):
     assert set(rows) <= held
 
 
+def test_op5_returns_repeats_within_a_document(spark, tmp_path):
+    alone = " ".join(f"{n * 7919 % 1000} word" for n in range(60))
+    rows = [(1, alone + " and " + alone), (2, "nothing is twice here"), (3, "one " + alone[::-1]), (4, "two " + alone[::-1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    across, inner = ({r["doc_id"]: r for r in entry.queries()[n](spark, str(tmp_path)).collect()} for n in ("op5_chunk_dedup", "op5_inner_repeats"))
+    assert set(across) == {3, 4} and set(inner) == {1}
+    assert inner[1]["n_removed"] > 0 and (inner[1]["n_passages"], inner[1]["n_repeated"]) == (0, 0) and inner[1]["n_inner"] > 0
+    assert across[3]["n_passages"] > 0 and across[3]["n_inner"] == 0 and across[4]["n_removed"] > 0
+
+
 def test_op7(spark, docs):
     rows = {r["doc_id"]: r for r in run(spark, "op7_ngram_join")}
     assert {i: r["component_id"] for i, r in rows.items()} == linked(docs)
