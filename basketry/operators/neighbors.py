@@ -1,9 +1,10 @@
 """Collaborative vectors: a client's own vector blended with the mean of similar clients.
 
 Each client is compared with a random sample of clients, never with all of them.  Clients are split into pools by key
-hash; the members of a pool with the smallest second hash are its candidates.  Clients and candidates of a pool meet in
-one task, where the comparison is a matrix product: no pair ever becomes a row, and nothing passes through the driver.
-A task holds one pool, so the number of pools has to grow with the clients (:func:`pool_count`).
+hash; the members of a pool with the smallest second hash are its candidates.  The clients of a pool are dealt to slices,
+as many as the clients ask for, and each slice meets all candidates of its pool in one task, where the comparison is a
+matrix product: no pair ever becomes a row, and nothing passes through the driver.  A task holds one slice however many
+clients a pool has; the number of pools, where none is named, grows with the clients too (:func:`pool_count`).
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.config import LedgerSpec
 from basketry.functions.hashing import key_hash
 
-POOL_SEED, ORDER_SEED, SPREAD_SEED = 1, 2, 3
+POOL_SEED, ORDER_SEED, SPREAD_SEED, SLICE_SEED = 1, 2, 3, 4
 SPREAD = 64
 POOL_CLIENTS = 20_000
 
@@ -28,11 +29,33 @@ def pool_count(n_clients: int, n_candidates: int = 1000) -> int:
     return max(1, n_clients // max(POOL_CLIENTS, 2 * n_candidates))
 
 
-def pool_of(n_pools: int, seed: int = 0):
+def _counted(clients: DataFrame) -> Column:
+    """The number of clients, found when the plan runs."""
+    return clients.select(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def pools(clients: DataFrame, n_pools: int | None, n_candidates: int) -> Column:
+    """The number of pools named, or else that of :func:`pool_count`."""
+    if n_pools is not None:
+        return F.lit(n_pools)
+    each = max(POOL_CLIENTS, 2 * n_candidates)
+    return F.greatest(F.lit(1), F.floor(_counted(clients) / F.lit(each))).cast("int")
+
+
+def pool_of(n_pools: int | Column, seed: int = 0) -> Column:
     return F.pmod(key_hash(F.col("chid"), seed + POOL_SEED), F.lit(n_pools)).cast("int")
 
 
-def candidate_pools(clients: DataFrame, n_pools: int, n_candidates: int, seed: int = 0) -> DataFrame:
+def slice_count(clients: DataFrame, n_pools: int | Column) -> Column:
+    """Slices of a pool, so that one has about POOL_CLIENTS clients at most."""
+    return F.greatest(F.lit(1), F.ceil(_counted(clients) / (F.lit(n_pools) * F.lit(POOL_CLIENTS)))).cast("int")
+
+
+def slice_of(n_slices: Column, seed: int = 0) -> Column:
+    return F.pmod(key_hash(F.col("chid"), seed + SLICE_SEED), n_slices).cast("int")
+
+
+def candidate_pools(clients: DataFrame, n_pools: int | Column, n_candidates: int, seed: int = 0) -> DataFrame:
     """(chid, pool) of the candidates: the first ``n_candidates`` clients of a pool in hash order.
 
     Ranked in two steps, first within slices of a pool, so no task ranks a whole pool.
@@ -66,7 +89,7 @@ def open_arrays(arrays: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
 
 
 def _blender(k: int | None, alpha: float, measure: str, normalize: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The task side of one pool; self-contained, so workers need numpy and pyarrow only."""
+    """The task side of one slice of a pool; self-contained, so workers need numpy and pyarrow only."""
 
     def distances(own: np.ndarray, pool: np.ndarray) -> np.ndarray:
         # undefined distances are the largest finite number, so they rank last
@@ -126,7 +149,7 @@ def neighbor_blend(
     k: int | None = 10,
     alpha: float = 0.9,
     measure: str = "cos",
-    n_pools: int = 8,
+    n_pools: int | None = None,
     normalize: bool = False,
     seed: int = 0,
 ) -> DataFrame:
@@ -134,19 +157,24 @@ def neighbor_blend(
 
     Candidates are drawn from ``clients``; items a vector does not list are 0.
     Ties go to the smaller client id, a client is never its own neighbour, ``k=None`` takes all candidates.  With
-    ``normalize`` every vector is divided by its maximum before it is averaged or blended.
+    ``normalize`` every vector is divided by its maximum before it is averaged or blended.  ``n_pools`` follows
+    :func:`pool_count` unless named.
     """
     if measure not in ("cos", "ed"):
         raise ValueError("measure is cos or ed")
     if k is not None and k > n_candidates:
         raise ValueError("k exceeds the number of candidates")
+    n_pools = pools(clients, n_pools, n_candidates)
     pooled = item_arrays(vectors, spec, value).withColumn("pool", pool_of(n_pools, seed))
+    pooled = pooled.withColumn("slices", slice_count(clients, n_pools))
     members = candidate_pools(clients, n_pools, n_candidates, seed)
     candidates = pooled.join(members.select("chid"), "chid", "left_semi")
-    candidates = candidates.select(*[F.col(c).alias(f"cand_{c}") for c in ("chid", "vec", "pool")])
+    candidates = candidates.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    candidates = candidates.select(*[F.col(c).alias(f"cand_{c}") for c in ("chid", "vec", "pool", "slice")])
     blended = (
-        pooled.groupBy("pool")
-        .cogroup(candidates.groupBy("cand_pool"))
+        pooled.select("chid", "vec", "pool", slice_of(F.col("slices"), seed).alias("slice"))
+        .groupBy("pool", "slice")
+        .cogroup(candidates.groupBy("cand_pool", "cand_slice"))
         .applyInArrow(_blender(k, alpha, measure, normalize), "chid long, vec array<double>")
     )
     return open_arrays(blended, spec, value)
@@ -160,7 +188,7 @@ def attribute_blend(
     value: str,
     n_candidates: int = 1000,
     alpha: float = 0.9,
-    n_pools: int = 8,
+    n_pools: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Neighbours are the candidates of the pool with equal attributes.
@@ -168,6 +196,7 @@ def attribute_blend(
     Their scaled vectors are summed once per (pool, attributes, item); a client that is itself a candidate takes its own
     part out again, so no pair of clients is formed.
     """
+    n_pools = pools(attributes, n_pools, n_candidates)
     top = F.max(F.col(value)).over(Window.partitionBy("chid"))
     scaled = vectors.withColumn("_s", F.coalesce(F.try_divide(F.col(value), top), F.lit(0.0)))
     owners = attributes.select("chid", *keys).withColumn("pool", pool_of(n_pools, seed))

@@ -123,7 +123,7 @@ def vector_grid(
     ]
 
 
-def search_vectors(src: Sources, t_end: int, grid: Sequence[VectorParams], n_pools: int = 2) -> DataFrame:
+def search_vectors(src: Sources, t_end: int, grid: Sequence[VectorParams], n_pools: int | None = None) -> DataFrame:
     """Mean NDCG of the vector ranking at every grid point."""
     parts = []
     for p in grid:

@@ -230,3 +230,22 @@ def test_temporal_folds():
     folds = lab.temporal_folds(3, 24)
     assert [(f.t_end_train, f.t_end_valid) for f in folds] == [(20, 21), (21, 22), (22, 23)]
     assert lab.temporal_folds(1, 24, train_override=5, valid_override=9)[0].t_end_valid == 9
+
+
+def test_neighbours_do_not_depend_on_slices(spark, spec, monkeypatch):
+    """Pools are dealt to slices of bounded size, and what a client is blended with stays the same."""
+    rows = [(c, t, float((c * 37 + t * 11) % 23)) for c in range(240) for t in spec.items]
+    vectors, clients = spark.createDataFrame(rows, "chid long, tag int, v double"), spark.range(240).selectExpr("id chid")
+
+    def got(**how):
+        out = nei.neighbor_blend(vectors, clients, spec, "v", 12, 3, 0.6, "cos", **how).collect()
+        return {(r["chid"], r["tag"]): round(r["v"], 9) for r in out}
+
+    whole, one_pool = got(n_pools=2), got(n_pools=1)
+    assert got() == one_pool
+    monkeypatch.setattr(nei, "POOL_CLIENTS", 20)
+    assert got(n_pools=2) == whole
+    assert got(n_pools=nei.pool_count(240, 12)) == got() != one_pool
+    dealt = clients.withColumn("slices", nei.slice_count(clients, 2)).select(nei.pool_of(2).alias("p"), nei.slice_of(F.col("slices")).alias("s"))
+    sizes = [r["count"] for r in dealt.groupBy("p", "s").count().collect()]
+    assert len(sizes) == 12 and max(sizes) <= 40
