@@ -16,6 +16,7 @@ from basketry.llm import (
     ngram_join,
     pivot_index,
     sharding,
+    spelling,
     suffix_dedup,
     toxicity,
 )
@@ -183,3 +184,9 @@ def op5_inner_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other documents that lose bytes: to repeats of their own, or in passages that are long enough only with them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _passages(chunk_dedup.dedup_chunks(docs).where((F.size("shared") == 0) & (F.size("removed") > 0)))
+
+
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent enough word with its more frequent spelling and the root of its chain of spellings."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
