@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import (
+    block_search,
     bpe,
     chunk_dedup,
     decontaminate,
@@ -19,6 +20,7 @@ from basketry.llm import (
     spelling,
     suffix_dedup,
     toxicity,
+    whitening,
 )
 from basketry.llm.labelled import fold
 
@@ -190,3 +192,38 @@ def op5_inner_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent enough word with its more frequent spelling and the root of its chain of spellings."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: a vector with an id divisible by this asks for its nearest ones
+ASKING = 20
+
+
+@_query
+def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every vector with an id divisible by 20."""
+    return block_search.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % ASKING == 0, k=20)
+
+
+SQL["op12_block_search"] = """
+with usable as (
+    select vec_id, embedding::double[] as v
+    from embeddings
+    where vec_id is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, x -> x <> 0)) > 0
+),
+scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v) as score
+    from usable q join usable c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+),
+ranked as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 32 components of all vectors, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -32,7 +32,7 @@ def run(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
