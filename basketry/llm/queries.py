@@ -209,8 +209,8 @@ with usable as (
     select vec_id, embedding::double[] as v
     from embeddings
     where vec_id is not null and embedding is not null and len(embedding) > 0
-        and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-        and len(list_filter(embedding, x -> x <> 0)) > 0
+        and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+        and len([x for x in embedding if x <> 0]) > 0
 ),
 scored as (
     select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v) as score
