@@ -1,84 +1,116 @@
-"""Exact quantiles of few, very large groups.
+"""Exact quantiles of few, very large groups, in two passes over the rows.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task, which is fine for a client's 24 months and
-not for a third of all rows.  Here a group is first collapsed to (value, count) pairs, which combines on the map side.
-The pairs are counted into bins between the group's own least and greatest value, twice: the bins that hold a wanted rank
-are cut into bins again, and only those of them that hold it are opened and ranked.  Values however close together
-therefore spread over millions of bins, and no step is grouped by a hot key alone.
+not for a third of all rows.  Here a first pass makes a rank summary of each group, which merges on the map side and
+bounds the error of a rank by a known share of the group (``percentile_approx``).  Two values of the summary fence each
+wanted rank in.  The second pass counts what lies below the fences, and collapses the values between them to
+(value, count) pairs; only those, a share of some 6 / ACCURACY of the group, are sorted.  Ranks within them are exact, and
+a rank outside its fences would stop the query instead of giving a wrong value.  Any other aggregate of the groups can be
+made in the first pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 4096  # per group, and again per bin with a wanted rank
+#: 1 / ACCURACY is the summary's largest error of a rank, as a share of the group; its size grows with ACCURACY
+ACCURACY = 20_000
 
 
-def _counted(pairs: DataFrame, names: list[str], out: str) -> DataFrame:
-    """The pairs with their bin between the least and greatest value of their group (columns ``names``)."""
-    edges = pairs.groupBy(*names).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    # halves, so that the distance of the largest numbers stays finite; one value only is one bin
-    wide = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    share = F.when(F.col("_hi") - F.col("_lo") < float("inf"), share).otherwise(wide)
-    bin_ = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
-    return pairs.join(edges, names).withColumn(out, bin_.cast("int")).drop("_lo", "_hi")
+def _named(value: str, prob: str, single: bool) -> str:
+    return prob if single else f"{value}_{prob}"
 
 
-def _opened(pairs: DataFrame, names: list[str], bin_: str, ranks: DataFrame | None, probs: Sequence[float]) -> DataFrame:
-    """Bins that hold wanted ranks: rows (names, bin, _w), _w with the rank counted from the bin's start."""
-    group = Window.partitionBy(*names)
-    upto = group.orderBy(bin_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = pairs.groupBy(*names, bin_).agg(F.sum("_m").alias("_n"))
-    hist = hist.withColumn("_end", F.sum("_n").over(upto))
-    if ranks is None:
-        hist = hist.withColumn("_size", F.sum("_n").over(group))
-        wanted = ", ".join(
-            f"struct({2 * i + side} AS id, CAST({edge}({p}D * (_size - 1)) AS BIGINT) AS k, "
-            f"{p}D * (_size - 1) - floor({p}D * (_size - 1)) AS frac)"
-            for i, p in enumerate(probs)
-            for side, edge in enumerate(("floor", "ceil"))
-        )
-        hist = hist.withColumn("_all", F.expr(f"array({wanted})"))
-    else:
-        hist = hist.join(ranks.withColumnRenamed("_w", "_all"), names)
-    inside = "filter(_all, w -> w.k >= _end - _n AND w.k < _end)"
-    moved = f"transform({inside}, w -> struct(w.id AS id, w.k - (_end - _n) AS k, w.frac AS frac))"
-    return hist.select(*names, bin_, F.expr(moved).alias("_w")).filter("size(_w) > 0")
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles of ``value`` per ``keys``: one row per group, one column per entry of ``probs``.
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str | Sequence[str],
+    probs: dict[str, float],
+    extra: Sequence[Column] = (),
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """Linear-interpolated quantiles per ``keys``: one row per group, one column per entry of ``probs``; for a list of value
+    columns their names are put in front.  ``extra`` are further aggregates of the same groups, columns of numbers.
 
-    Nulls and NaN in ``value`` are skipped and null keys drop out.
+    Nulls and NaN in a value are skipped (no value left: null), and null keys drop out.
     """
-    by = [F.col(k) for k in keys] or [F.lit(0).alias("_all_rows")]
-    names = list(keys) or ["_all_rows"]
+    single = isinstance(value, str)
+    values = [value] if single else list(value)
+    names = list(keys)
     shares = [float(p) for p in probs.values()]
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).na.drop("any")
-    pairs = rows.groupBy(*names, "_v").agg(F.count("*").alias("_m"))
+    held = {f"_v{i}": F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")) for i, v in enumerate(values)}
+    rows = df.withColumns(held)
+    if names:
+        rows = rows.na.drop("any", subset=names)
 
-    pairs = _counted(pairs, names, "_bin")
-    coarse = _opened(pairs, names, "_bin", None, shares)
-    pairs = _counted(pairs.join(coarse.select(*names, "_bin"), [*names, "_bin"], "left_semi"), [*names, "_bin"], "_part")
-    fine = _opened(pairs, [*names, "_bin"], "_part", coarse, shares)
-    within = (
-        Window.partitionBy(*names, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    hit = (
-        pairs.join(fine, [*names, "_bin", "_part"])
-        .withColumn("_last", F.sum("_m").over(within))
-        .select(*names, "_v", "_last", "_m", F.explode("_w").alias("_w"))
-        .filter("_w.k < _last AND _w.k >= _last - _m")
-    )
+    # three times the error on either side, which beyond ``accuracy`` values is more than a rank
+    slack = 3.0 / accuracy
+    marks = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in shares for d in (-slack, slack)])
+    summary = []
+    for i in range(len(values)):
+        v = f"_v{i}"
+        summary += [
+            F.count(v).alias(f"_n{i}"),
+            F.min(v).alias(f"_min{i}"),
+            F.max(v).alias(f"_max{i}"),
+            F.percentile_approx(v, marks, accuracy).alias(f"_marks{i}"),
+        ]
+    before = set(rows.columns)
+    groups = (rows.groupBy(*names) if names else rows.groupBy()).agg(*summary, *extra)
+    kept = [c for c in groups.columns if c not in names and not c.startswith(("_min", "_max", "_marks"))]
+    clash = before & set(kept)
+    groups = groups.withColumnsRenamed({c: f"_of_{c}" for c in clash})
+    carried = {c: f"_of_{c}" if c in clash else c for c in kept}
+    if names:
+        rows = rows.join(groups, names)
+    else:
+        everything = groups.agg(F.first(F.struct(*groups.columns)).alias("_g")).scalar()
+        rows = rows.withColumn("_g", everything).withColumns({c: F.col(f"_g.{c}") for c in groups.columns})
+
+    # what each row is to each rank: below its fences (no value), between them, or nothing
+    seen = [F.struct(F.lit(-1).alias("q"), F.lit(None).cast("double").alias("v"))]
+    for i in range(len(values)):
+        for j in range(len(shares)):
+            whole = F.col(f"_n{i}") <= accuracy
+            low = F.when(whole, F.col(f"_min{i}")).otherwise(F.get(f"_marks{i}", F.lit(2 * j)))
+            high = F.when(whole, F.col(f"_max{i}")).otherwise(F.get(f"_marks{i}", F.lit(2 * j + 1)))
+            v = F.col(f"_v{i}")
+            fenced = F.struct(F.lit(i * len(shares) + j).alias("q"), F.when(v >= low, v).alias("v"))
+            seen.append(F.when(v <= high, fenced))
+    known = list(carried.values())
+    opened = rows.select(*names, *known, F.explode(F.array_compact(F.array(*seen))).alias("_e")).select(*names, *known, "_e.*")
+    pairs = opened.groupBy(*names, "q", "v").agg(F.count(F.lit(1)).alias("_m"), *[F.any_value(c).alias(c) for c in known])
+    if names:
+        pairs = pairs.repartition(*names)
+    within = Window.partitionBy(*names, "q").orderBy(F.col("v").asc_nulls_first())
+    last = F.sum("_m").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = pairs.withColumn("_last", last)
 
     out = []
-    for i, name in enumerate(probs):
-        low, high = (f"max(CASE WHEN _w.id = {2 * i + side} THEN _v END)" for side in (0, 1))
-        frac = f"max(CASE WHEN _w.id = {2 * i} THEN _w.frac END)"
-        out.append(F.expr(f"{low} + ({high} - {low}) * {frac}").alias(name))
-    result = hit.groupBy(*names).agg(*out)
-    return result.select(*keys, *probs)
+    for i, name in enumerate(values):
+        n = F.col(f"_n{i}")
+        for j, (prob, p) in enumerate(zip(probs, shares, strict=True)):
+            place = F.lit(p) * (n - 1)
+            here = (F.col("q") == i * len(shares) + j) & F.col("v").isNotNull()
+
+            def at(rank: Column) -> Column:
+                k = rank.cast("long")
+                return F.max(F.when(here & (k < F.col("_last")) & (k >= F.col("_last") - F.col("_m")), F.col("v")))
+
+            frac = F.max(F.when(F.col("q") == -1, place - F.floor(place)))
+            low, high = at(F.floor(place)), at(F.ceil(place))
+            found = low + (high - low) * frac
+            lost = F.max(n) > 0
+            error = F.raise_error(F.lit(f"a quantile of {name} lies outside its fences"))
+            out.append(F.when(found.isNull() & lost, error.cast("double")).otherwise(found).alias(_named(name, prob, single)))
+    named = [_named(v, p, single) for v in values for p in probs]
+    further = {c: s for c, s in carried.items() if not c.startswith("_n")}
+    result = (ranked.groupBy(*names) if names else ranked.groupBy()).agg(
+        *out, *[F.max(F.when(F.col("q") == -1, F.col(s))).alias(c) for c, s in further.items()]
+    )
+    result = result.select(*names, *named, *further)
+    # a group of all rows has no row where there are none
+    return result if names else result.where(F.coalesce(*[F.col(c) for c in named]).isNotNull())

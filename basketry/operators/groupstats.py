@@ -19,9 +19,15 @@ def _quantile_of(stat: str) -> float | None:
     return None
 
 
-def _moment(stat: str, feature: str) -> Column:
+def exact_mean(value: Column) -> Column:
+    """Mean that does not depend on the order of adding up: numbers are added with six decimal places."""
+    return F.sum(value.cast("decimal(28,6)")).cast("double") / F.count(value)
+
+
+def _moment(stat: str, feature: str, kind: str) -> Column:
     if stat in ("mean", "nanmean"):
-        return F.avg(feature)
+        # whole numbers add up exactly as they are
+        return exact_mean(F.col(feature)) if kind in ("double", "float") else F.avg(feature)
     if stat in ("std", "nanstd"):
         return F.stddev_samp(feature)
     raise ValueError(f"unknown statistic {stat!r}")
@@ -33,39 +39,28 @@ def group_stats(
     """``stats`` of ``features`` per group, one row per group, columns ``{feature}_{stat}`` with dots as underscores.
 
     ``std`` is the sample one, quantiles are linear; ``quantile_q`` is null as soon as one value is null, the ``nan``
-    forms skip nulls.  Null keys drop out.  Moments come from one grouped aggregate; quantiles of all features from one
-    exact distributed pass, so a group with a third of all rows is never held by one task.
+    forms skip nulls.  Null keys drop out.  Moments come from the pass that also summarises the ranks, so everything
+    takes two passes over the rows, and a group with a third of all rows is never held by one task.
     """
-    rows = df.na.drop("any", subset=list(keys))
+    rows = df.na.drop("any", subset=list(keys)).select(*keys, *features)
+    kinds = dict(rows.dtypes)
     named = {(f, s): f"{f}_{s}".replace(".", "_") for f in features for s in stats}
-    moments = [_moment(s, f).alias(n) for (f, s), n in named.items() if _quantile_of(s) is None]
+    moments = [_moment(s, f, kinds[f]).alias(n) for (f, s), n in named.items() if _quantile_of(s) is None]
+    wanted = sorted({_quantile_of(s) for s in stats} - {None})
+    if not wanted:
+        return rows.groupBy(*keys).agg(*moments) if moments else rows.select(*keys).distinct()
     strict = sorted({f for f, s in named if s.startswith("quantile_")})
     gaps = [(F.count("*") > F.count(f)).alias(f"_gap_{f}") for f in strict]
-    out = rows.groupBy(*keys).agg(*moments, *gaps) if moments or gaps else rows.select(*keys).distinct()
-    wanted = sorted({_quantile_of(s) for s in stats} - {None})
     probs = {f"q{i}": q for i, q in enumerate(wanted)}
-    if probs:
-        by_prob = {q: name for name, q in probs.items()}
-        long = rows.select(
-            *keys,
-            F.explode(
-                F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_x")) for f in features])
-            ).alias("_e"),
-        ).select(*keys, "_e._f", "_e._x")
-        found = exact_quantiles(long, [*keys, "_f"], "_x", probs)
-        wide = found.groupBy(*keys).agg(
-            *[
-                F.max(F.when(F.col("_f") == f, F.col(by_prob[_quantile_of(s)]))).alias(n)
-                for (f, s), n in named.items()
-                if _quantile_of(s) is not None
-            ]
-        )
-        out = out.join(wide, list(keys), "left")
-    columns = [
-        F.when(~F.col(f"_gap_{f}"), F.col(n)).alias(n) if s.startswith("quantile_") else F.col(n)
-        for (f, s), n in named.items()
-    ]
-    return out.select(*keys, *columns)
+    by_prob = {q: name for name, q in probs.items()}
+    out = exact_quantiles(rows, keys, list(features), probs, [*moments, *gaps])
+
+    def column(feature: str, stat: str, name: str) -> Column:
+        q = _quantile_of(stat)
+        found = F.col(name) if q is None else F.col(f"{feature}_{by_prob[q]}")
+        return (F.when(~F.col(f"_gap_{feature}"), found) if stat.startswith("quantile_") else found).alias(name)
+
+    return out.select(*keys, *[column(f, s, n) for (f, s), n in named.items()])
 
 
 def windowed_group_stats(

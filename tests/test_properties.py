@@ -141,8 +141,9 @@ def test_attribute_neighbors_by_brute_force(spark, ledger, clients, spec):
         assert [got[c, i].v for i in range(1, 6)] == pytest.approx(list(want))
 
 
+@pytest.mark.parametrize("accuracy", [40, 300, 20_000])
 @pytest.mark.parametrize("kind", ["cents", "doubles", "negative", "one_value", "outlier", "close", "ties"])
-def test_exact_quantiles(spark, kind):
+def test_exact_quantiles(spark, kind, accuracy):
     rng = np.random.default_rng(3)
     values = {
         "cents": rng.integers(1, 10**7, 4000).astype(float),
@@ -157,15 +158,34 @@ def test_exact_quantiles(spark, kind):
     keys = np.where(rng.random(len(values)) < 0.8, "hot", "cold")
     df = spark.createDataFrame([(str(k), float(v)) for k, v in zip(keys, values)] + [("hot", None), (None, 1.0)], "k string, v double")
     probs = {"lo": 0.0, "a": 0.1, "m": 0.5, "b": 0.93, "hi": 1.0}
-    got = rows_by(exact_quantiles(df, ["k"], "v", probs), "k")
+    got = rows_by(exact_quantiles(df.repartition(6), ["k"], "v", probs, accuracy=accuracy), "k")
     assert set(got) == {"hot", "cold"}
     for k, r in got.items():
         want = np.quantile(values[keys == k], list(probs.values()))
         assert [r[p] for p in probs] == pytest.approx(list(want), rel=1e-12)
-    total = exact_quantiles(df.filter("k IS NOT NULL"), [], "v", {"m": 0.5}).first()
+    total = exact_quantiles(df.filter("k IS NOT NULL"), [], "v", {"m": 0.5}, accuracy=accuracy).first()
     assert total.m == pytest.approx(np.quantile(values, 0.5))
 
 
+def test_quantiles_of_many_columns_with_other_aggregates(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(a), None if b < 0.1 else float(b), int(c)) for k, a, b, c in zip(rng.integers(0, 3, 900), rng.normal(size=900), rng.random(900), rng.integers(0, 9, 900))]
+    rows += [(7, None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c int")
+    extra = [F.count("*").alias("n"), F.stddev_samp("c").alias("sd"), (F.count("*") > F.count("b")).alias("gap")]
+    got = rows_by(exact_quantiles(df, ["k"], ["a", "b", "c"], {"q1": 0.25, "q9": 0.9}, extra, accuracy=50), "k")
+    assert set(got) == {0, 1, 2, 7}
+    for k in (0, 1, 2):
+        own = [r for r in rows if r[0] == k]
+        for at, name in ((1, "a"), (2, "b"), (3, "c")):
+            want = np.quantile([r[at] for r in own if r[at] is not None], [0.25, 0.9])
+            assert [got[k][f"{name}_q1"], got[k][f"{name}_q9"]] == pytest.approx(list(want), rel=1e-12)
+        assert (got[k].n, got[k].gap) == (len(own), True) and got[k].sd == pytest.approx(np.std([r[3] for r in own], ddof=1))
+    assert got[7].a_q1 is None and got[7].b_q9 is None and got[7].n == 1
+    assert exact_quantiles(df.filter("k > 9"), ["k"], "a", {"m": 0.5}).collect() == []
+    assert exact_quantiles(df.filter("k > 9"), [], "a", {"m": 0.5}).collect() == []
+
+
 def test_hash_is_spread_and_repeatable(spark):
     ids = spark.range(20000)
     a = ids.select(key_hash(F.col("id"), 3).alias("h"))
