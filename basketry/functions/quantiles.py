@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: 1 / ACCURACY is the summary's largest error of a rank, as a share of the group; its size grows with ACCURACY
-ACCURACY = 20_000
+ACCURACY = 4_000
 
 
 def _named(value: str, prob: str, single: bool) -> str:
@@ -70,16 +70,18 @@ def exact_quantiles(
         everything = groups.agg(F.first(F.struct(*groups.columns)).alias("_g")).scalar()
         rows = rows.withColumn("_g", everything).withColumns({c: F.col(f"_g.{c}") for c in groups.columns})
 
-    # what each row is to each rank: below its fences (no value), between them, or nothing
-    seen = [F.struct(F.lit(-1).alias("q"), F.lit(None).cast("double").alias("v"))]
+    # what each row is to each rank: below its fences (no value), between them, or nothing; of a group of up to
+    # ``accuracy`` values every value is opened, once for all ranks
+    step = len(shares) + 1
+    none = F.greatest(*[F.col(f"_n{i}") for i in range(len(values))], F.lit(0)) == 0
+    seen = [F.when(none, F.struct(F.lit(-1).alias("q"), F.lit(None).cast("double").alias("v")))]
     for i in range(len(values)):
+        whole, v = F.col(f"_n{i}") <= accuracy, F.col(f"_v{i}")
+        seen.append(F.when(whole & v.isNotNull(), F.struct(F.lit(i * step + len(shares)).alias("q"), v.alias("v"))))
         for j in range(len(shares)):
-            whole = F.col(f"_n{i}") <= accuracy
-            low = F.when(whole, F.col(f"_min{i}")).otherwise(F.get(f"_marks{i}", F.lit(2 * j)))
-            high = F.when(whole, F.col(f"_max{i}")).otherwise(F.get(f"_marks{i}", F.lit(2 * j + 1)))
-            v = F.col(f"_v{i}")
-            fenced = F.struct(F.lit(i * len(shares) + j).alias("q"), F.when(v >= low, v).alias("v"))
-            seen.append(F.when(v <= high, fenced))
+            low, high = F.get(f"_marks{i}", F.lit(2 * j)), F.get(f"_marks{i}", F.lit(2 * j + 1))
+            fenced = F.struct(F.lit(i * step + j).alias("q"), F.when(v >= low, v).alias("v"))
+            seen.append(F.when(~whole & (v <= high), fenced))
     known = list(carried.values())
     opened = rows.select(*names, *known, F.explode(F.array_compact(F.array(*seen))).alias("_e")).select(*names, *known, "_e.*")
     pairs = opened.groupBy(*names, "q", "v").agg(F.count(F.lit(1)).alias("_m"), *[F.any_value(c).alias(c) for c in known])
@@ -94,22 +96,22 @@ def exact_quantiles(
         n = F.col(f"_n{i}")
         for j, (prob, p) in enumerate(zip(probs, shares, strict=True)):
             place = F.lit(p) * (n - 1)
-            here = (F.col("q") == i * len(shares) + j) & F.col("v").isNotNull()
+            here = F.col("q").isin(i * step + j, i * step + len(shares)) & F.col("v").isNotNull()
 
             def at(rank: Column) -> Column:
                 k = rank.cast("long")
                 return F.max(F.when(here & (k < F.col("_last")) & (k >= F.col("_last") - F.col("_m")), F.col("v")))
 
-            frac = F.max(F.when(F.col("q") == -1, place - F.floor(place)))
+            frac = F.max(place - F.floor(place))
             low, high = at(F.floor(place)), at(F.ceil(place))
             found = low + (high - low) * frac
-            lost = F.max(n) > 0
             error = F.raise_error(F.lit(f"a quantile of {name} lies outside its fences"))
-            out.append(F.when(found.isNull() & lost, error.cast("double")).otherwise(found).alias(_named(name, prob, single)))
+            found = F.when(found.isNull() & (F.max(n) > 0), error.cast("double")).otherwise(found)
+            out.append(found.alias(_named(name, prob, single)))
     named = [_named(v, p, single) for v in values for p in probs]
     further = {c: s for c, s in carried.items() if not c.startswith("_n")}
     result = (ranked.groupBy(*names) if names else ranked.groupBy()).agg(
-        *out, *[F.max(F.when(F.col("q") == -1, F.col(s))).alias(c) for c, s in further.items()]
+        *out, *[F.max(s).alias(c) for c, s in further.items()]
     )
     result = result.select(*names, *named, *further)
     # a group of all rows has no row where there are none

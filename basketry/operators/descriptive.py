@@ -73,21 +73,25 @@ def amount_quartiles(ledger: DataFrame, amount: str) -> DataFrame:
 def code_shares(rows: DataFrame, groups: DataFrame, code: str) -> DataFrame:
     """Share of each code among the rows of each client group (chid, grp); absent codes are 0.
 
-    Rows are collapsed per client and code before the group join.
+    One pass over rows and groups: rows are collapsed per client and code before the group join, whose counts, one per
+    group and code, make up the grid as well.
     """
     per_client = rows.groupBy("chid", F.col(code).alias("code")).agg(F.count("*").alias("_n"))
-    counts = per_client.join(groups, "chid").groupBy("grp", "code").agg(F.sum("_n").alias("n"))
-    codes = rows.agg(F.array_sort(F.collect_set(code))).scalar()  # the code list of one attribute
-    labels = groups.select("grp").distinct()
-    grid = labels.select("grp", F.explode(codes).alias("code"))
-    sizes = counts.groupBy("grp").agg(F.sum("n").alias("_size"))
-    dense = grid.join(counts, ["grp", "code"], "left").join(sizes, "grp", "left")
-    return dense.select(
-        "grp",
-        "code",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-        F.coalesce(F.try_divide(F.col("n"), F.col("_size")), F.lit(0.0)).alias("share"),
+    # also codes without a group and groups without a code
+    joined = groups.select("chid", "grp").join(per_client, "chid", "full")
+    counts = joined.groupBy("grp", "code").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n"))
+    cells = counts.agg(F.collect_list(F.struct("grp", "code", "n")).alias("_c"))
+    codes = F.array_sort(F.array_distinct(F.array_compact(F.transform("_c", lambda c: c["code"]))))
+    labels = F.array_distinct(F.array_compact(F.transform("_c", lambda c: c["grp"])))
+    grid = cells.select("_c", codes.alias("_codes"), F.explode(labels).alias("grp"))
+    grid = grid.select("grp", "_codes", F.filter("_c", lambda c: c["grp"] == F.col("grp")).alias("_c"))
+    size = F.aggregate("_c", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    found = F.map_from_entries(
+        F.transform(F.filter("_c", lambda c: c["code"].isNotNull()), lambda c: F.struct(c["code"], c["n"]))
     )
+    dense = grid.select("grp", size.alias("_size"), found.alias("_found"), F.explode("_codes").alias("code"))
+    n = F.coalesce(F.try_element_at("_found", F.col("code")), F.lit(0).cast("long"))
+    return dense.select("grp", "code", n.alias("n"), F.coalesce(F.try_divide(n, F.col("_size")), F.lit(0.0)).alias("share"))
 
 
 def with_global_group(groups: DataFrame, clients: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.config import LedgerSpec
@@ -95,23 +95,27 @@ def temporal_folds(
     return out
 
 
-def fold_label_rows(ledger: DataFrame, spec: LedgerSpec, folds: Sequence[TemporalFold]) -> DataFrame:
-    """Label rows of all folds at once: each row of a target period is repeated for the folds that use it."""
-    uses: dict[int, list[tuple[int, str, int]]] = {}
-    for f in folds:
-        uses.setdefault(f.t_end_train + spec.horizon, []).append((f.fold, "train", f.t_end_train))
-        uses.setdefault(f.t_end_valid + spec.horizon, []).append((f.fold, "valid", f.t_end_valid))
-    table = F.lit(None)
-    for dt, entries in uses.items():
-        structs = F.array(
-            *[
-                F.struct(F.lit(a).alias("fold"), F.lit(b).alias("split"), F.lit(c).alias("t_end"))
-                for a, b, c in entries
-            ]
-        )
-        table = F.when(F.col("dt") == dt, structs).otherwise(table)
-    rows = ledger.filter(F.col("dt").isin(*uses) & F.col("tag").isin(*spec.legit))
-    return rows.select("chid", "tag", "dt", F.explode(table).alias("_f")).select("_f.*", "dt", "chid", "tag")
+def fold_table(spark: SparkSession, spec: LedgerSpec, folds: Sequence[TemporalFold]) -> DataFrame:
+    """Target periods of the folds: (dt, fold, split, t_end), two rows per fold."""
+    rows = [
+        (t_end + spec.horizon, f.fold, split, t_end)
+        for f in folds
+        for split, t_end in (("train", f.t_end_train), ("valid", f.t_end_valid))
+    ]
+    return spark.createDataFrame(rows, "dt int, fold int, split string, t_end int")
+
+
+def fold_label_rows(ledger: DataFrame, spec: LedgerSpec, folds: Sequence[TemporalFold] | DataFrame) -> DataFrame:
+    """Label rows of all folds at once: each row of a target period is repeated for the folds that use it.
+
+    ``folds`` may be a table as of :func:`fold_table`.  Of a ledger partitioned by period only the periods of the table are
+    read: its rows are two per fold, so they are sent to all tasks, and Spark prunes by them at run time.
+    """
+    table = folds if isinstance(folds, DataFrame) else fold_table(ledger.sparkSession, spec, folds)
+    # Spark prunes by a joined table only where that table is filtered itself
+    table = table.select("dt", "fold", "split", "t_end").filter("fold >= 0")
+    rows = ledger.filter(F.col("tag").isin(*spec.legit)).select("chid", "tag", "dt")
+    return rows.join(F.broadcast(table), "dt").select("fold", "split", "t_end", "dt", "chid", "tag")
 
 
 #: apart from each other for all items below it

@@ -100,8 +100,8 @@ def ndcg_bands(per_client: DataFrame, edges: Sequence[float] = BAND_EDGES) -> Da
 
 def performance_groups(per_client: DataFrame) -> DataFrame:
     """(chid, grp): every client's band, and once more ``perfect`` for clients at exactly 1."""
-    bands = per_client.select("chid", band_of(F.col("ndcg")).alias("grp"))
-    return bands.unionByName(per_client.filter(F.col("ndcg") == 1).select("chid", F.lit("perfect").alias("grp")))
+    groups = F.array_compact(F.array(band_of(F.col("ndcg")), F.when(F.col("ndcg") == 1, F.lit("perfect"))))
+    return per_client.select("chid", F.explode(groups).alias("grp"))
 
 
 def compare_models(a: DataFrame, b: DataFrame, ndcg_a: DataFrame, ndcg_b: DataFrame) -> DataFrame:

@@ -43,14 +43,15 @@ def rank_by_amount(ledger: DataFrame, clients: DataFrame, spec: LedgerSpec) -> D
     """Top items by total amount; short rankings repeat their last item, clients without history get the popular items."""
     legit = ledger.filter(F.col("tag").isin(*spec.legit))
     tops = top_items(total_amounts(legit, spec.amount), [F.col("total").desc(), F.col("tag")])
-    popular = popular_items(legit)
     top1, top2, top3 = (F.col(c) for c in TOPS)
+    # the popular items are found once, not once for every place
+    ranked = clients.join(tops, "chid", "left").withColumn("_p", F.when(top1.isNull(), popular_items(legit)))
     none = top1.isNull()
-    return clients.join(tops, "chid", "left").select(
+    return ranked.select(
         "chid",
-        F.coalesce(top1, F.get(popular, F.lit(0))).alias("top1"),
-        F.when(none, F.get(popular, F.lit(1))).otherwise(F.coalesce(top2, top1)).alias("top2"),
-        F.when(none, F.get(popular, F.lit(2))).otherwise(F.coalesce(top3, top2, top1)).alias("top3"),
+        F.coalesce(top1, F.get("_p", F.lit(0))).alias("top1"),
+        F.when(none, F.get("_p", F.lit(1))).otherwise(F.coalesce(top2, top1)).alias("top2"),
+        F.when(none, F.get("_p", F.lit(2))).otherwise(F.coalesce(top3, top2, top1)).alias("top3"),
     )
 
 

@@ -21,9 +21,32 @@ def mean_weights(ledger: DataFrame, t_end: int, amount: str, scale: float = 1.0)
 
 
 def active_weights(ledger: DataFrame, spec: LedgerSpec, t_end: int, amount: str, scale: float = 1.0) -> DataFrame:
-    """Mean weights RIGHT JOIN the clients active in the target period; clients without history keep a null row."""
-    active = ledger.filter(F.col("dt") == t_end + spec.horizon).select("chid").distinct()
-    return mean_weights(ledger, t_end, amount, scale).join(active, "chid", "right")
+    """Mean weights RIGHT JOIN the clients active in the target period; clients without history keep a null row.
+
+    One pass over the ledger: past cells and presence come from one aggregate, and a client's cells, at most one per
+    item, from one window.
+    """
+    target = t_end + spec.horizon
+    past, here = F.col("dt") <= t_end, F.col("dt") == target
+    cells = (
+        ledger.filter(past | here)
+        .groupBy("chid", "tag")
+        .agg(
+            (F.avg(F.when(past, F.col(amount))) / F.lit(scale)).alias("weight"),
+            F.max(past).alias("_past"),
+            F.max(here).alias("_here"),
+        )
+    )
+    own = Window.partitionBy("chid")
+    cells = cells.withColumns(
+        {
+            "_active": F.max("_here").over(own),
+            "_known": F.max("_past").over(own),
+            "_first": F.min("tag").over(own) == F.col("tag"),
+        }
+    )
+    kept = cells.filter(F.col("_active") & (F.col("_past") | (~F.col("_known") & F.col("_first"))))
+    return kept.select("chid", F.when(F.col("_past"), F.col("tag")).alias("tag"), "weight")
 
 
 def item_imputation(weights: DataFrame, method: str) -> DataFrame:

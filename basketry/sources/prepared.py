@@ -1,8 +1,9 @@
 """Ledgers prepared once and shared by all queries.
 
 Deriving the ledger reads every order line, so it is done once per state of the source files and written below the
-shared folder as a table bucketed by client and sorted by period.  Grouping by client (or client and item) then needs no
-shuffle, ledger, profile and clients join without moving, and a period filter skips row groups by their statistics.  A
+shared folder as a table partitioned by period and, within a period, bucketed by client.  A query over some periods opens
+their files only, also where the periods come from a joined table and are known at run time only.  Grouping by client (or
+client and item) needs no shuffle, and ledger, profile and clients join without moving, as all use one bucket count.  A
 written table also survives lost executors.
 """
 
@@ -20,18 +21,22 @@ from pyspark.sql import functions as F
 from basketry.session import shared_dir
 from basketry.sources import orders as src
 
-BYTES_PER_BUCKET = 128 << 20
+#: bytes of the source files for each bucket: a bucket has a file in every period
+BYTES_PER_BUCKET = 1 << 30
 SMALL_BUCKET = 1 << 20
 MAX_BUCKETS = 65536
+PERIOD = "dt"
 SOURCES = ("lineitem", "orders", "part", "customer", "nation")
 
 
 class Inputs:
     """Lazy access to the given tables and the ledgers derived from them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, buckets: int | None = None) -> None:
+        """``buckets`` is the bucket count of new tables; by default it follows the size of the sources."""
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.buckets = buckets
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -41,15 +46,15 @@ class Inputs:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return self._prepared("ledger", ("lineitem", "orders", "part"), src.orders_ledger, ["dt", "chid"])
+        return self._prepared("ledger", ("lineitem", "orders", "part"), src.orders_ledger, by_period=True)
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self._prepared("profile", ("orders", "customer", "nation"), src.orders_profile, ["dt", "chid"])
+        return self._prepared("profile", ("orders", "customer", "nation"), src.orders_profile, by_period=True)
 
     @cached_property
     def attributes(self) -> DataFrame:
-        return self._prepared("clients", ("customer", "nation"), src.client_attributes, ["chid"])
+        return self._prepared("clients", ("customer", "nation"), src.client_attributes)
 
     @cached_property
     def clients(self) -> DataFrame:
@@ -65,6 +70,8 @@ class Inputs:
     @cached_property
     def _buckets(self) -> int:
         """One bucket count for all tables, so they join on the client without moving."""
+        if self.buckets is not None:
+            return self.buckets
         size = self._state[1]
         wanted = -(-size // BYTES_PER_BUCKET)
         spread = min(self.spark.sparkContext.defaultParallelism, -(-size // SMALL_BUCKET))
@@ -85,21 +92,19 @@ class Inputs:
         return [(path, size or 0, f"{n} files {digest}")]
 
     def _prepared(
-        self, name: str, sources: tuple[str, ...], build: Callable[..., DataFrame], order: list[str]
+        self, name: str, sources: tuple[str, ...], build: Callable[..., DataFrame], by_period: bool = False
     ) -> DataFrame:
         root = shared_dir(self.spark)
         # one folder per application: a table another application is still writing is never read
         app = "".join(c if c.isalnum() else "_" for c in self.spark.sparkContext.applicationId)
-        table = f"basketry_{name}_{app}_{self._state[0]}".lower()
+        table = f"basketry_{name}_{app}_{self._state[0]}_{self._buckets}".lower()
         if not self.spark.catalog.tableExists(table):
-            (
-                build(*[self.table(s) for s in sources])
-                .repartition(self._buckets, "chid")
-                .write.mode("overwrite")
-                .bucketBy(self._buckets, "chid")
-                .sortBy(*order)
-                .option("path", f"{root}/basketry/{app}/{table}")
-                .format("parquet")
-                .saveAsTable(table)
-            )
-        return self.spark.table(table)
+            # a task holds a bucket of all periods, so a period has one file per bucket
+            rows = build(*[self.table(s) for s in sources]).repartition(self._buckets, "chid")
+            writer = rows.write.mode("overwrite").bucketBy(self._buckets, "chid").sortBy("chid")
+            if by_period:
+                writer = writer.partitionBy(PERIOD)
+            writer.option("path", f"{root}/basketry/{app}/{table}").format("parquet").saveAsTable(table)
+        out = self.spark.table(table)
+        # a partition column is stored last
+        return out.select("chid", PERIOD, *[c for c in out.columns if c not in ("chid", PERIOD)]) if by_period else out

@@ -7,6 +7,7 @@ import re
 import pytest
 
 from basketry.operators import behavior as beh
+from basketry.operators import labels as lab
 from basketry.operators import panel as pan
 from basketry.queries import REGISTRY
 from basketry.queries.base import SPEC, T_END, Tables
@@ -18,6 +19,27 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def files_read(df) -> list[int]:
+    """Files each scan of a query opened, from the metrics of the finished plan."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    found = []
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            found.append(node.metrics().apply("numFiles").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(execution.executedPlan())
+    return found
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return Tables(spark, SF)
@@ -31,8 +53,41 @@ def test_client_aggregates_need_no_shuffle(tables):
 
 def test_period_filter_and_columns_reach_the_scan(tables):
     plan = plan_of(REGISTRY["s06_pruned_read"].run(tables.spark, SF))
-    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(dt,12\), LessThanOrEqual\(dt,23\)", plan)
-    assert "ReadSchema: struct<chid:bigint,dt:int,txn_cnt:bigint>" in plan
+    assert re.search(r"PartitionFilters: \[.*\(dt#\d+ >= 12\), \(dt#\d+ <= 23\)", plan)
+    assert "ReadSchema: struct<chid:bigint,txn_cnt:bigint>" in plan
+
+
+def test_queries_open_the_files_of_their_periods_only(tables):
+    periods = tables.ledger.select("dt").distinct().count()
+    (every,) = files_read(tables.ledger.select("chid"))
+    (one,) = files_read(tables.ledger.filter("dt = 20").select("chid"))
+    assert every > periods and 0 < one <= every // periods + 1
+    (some,) = files_read(REGISTRY["s06_pruned_read"].run(tables.spark, SF))
+    assert 0 < some <= 12 * one
+    (labels,) = files_read(REGISTRY["l01_label_rows"].run(tables.spark, SF))
+    assert 0 < labels <= one
+
+
+def test_folds_prune_periods_at_run_time(tables):
+    """The periods stand in a table that only the running query knows."""
+    (one,) = files_read(tables.ledger.filter("dt = 20").select("chid"))
+    rows = REGISTRY["l05_temporal_folds"].run(tables.spark, SF)
+    plan = plan_of(rows)
+    assert "dynamicpruning" in plan and "BroadcastHashJoin" in plan
+    (opened,) = files_read(rows)
+    assert 0 < opened <= 4 * one  # periods 21 to 24
+    folds = tables.spark.createDataFrame([(24, 0, "train", 23)], "dt int, fold int, split string, t_end int")
+    (opened,) = files_read(lab.fold_label_rows(tables.ledger, SPEC, folds))
+    assert 0 < opened <= one
+
+
+def test_scans_of_quantiles_and_shares(spark):
+    """Two passes over the rows for any number of quantiles; one over what is shared out."""
+    most = {"a10_amount_quartiles": 2, "w04_final_weights": 4, "a12_item_shares": 6}
+    for name, scans in most.items():
+        plan = plan_of(REGISTRY[name].run(spark, SF))
+        assert plan.count("FileScan") <= scans, name
+        assert len(re.findall(r"Exchange ", plan)) <= 8, name
 
 
 def test_item_filter_reaches_the_scan(tables):

@@ -141,8 +141,10 @@ def test_attribute_neighbors_by_brute_force(spark, ledger, clients, spec):
         assert [got[c, i].v for i in range(1, 6)] == pytest.approx(list(want))
 
 
-@pytest.mark.parametrize("accuracy", [40, 300, 20_000])
-@pytest.mark.parametrize("kind", ["cents", "doubles", "negative", "one_value", "outlier", "close", "ties"])
+@pytest.mark.parametrize(
+    "kind,accuracy",
+    [(k, 60) for k in ("cents", "doubles", "negative", "one_value", "outlier", "close", "ties")] + [("cents", 400), ("ties", 20_000)],
+)
 def test_exact_quantiles(spark, kind, accuracy):
     rng = np.random.default_rng(3)
     values = {
