@@ -20,7 +20,7 @@ def model_name(model: Model) -> str:
     return f"{model[0]}{model[1]}"
 
 
-def _is(model: Model) -> Column:
+def is_model(model: Model) -> Column:
     return (F.col("model") == model[0]) & (F.col("version") == model[1])
 
 
@@ -29,7 +29,7 @@ def prediction_matrix(store: DataFrame, spec: LedgerSpec, models: Sequence[Model
     width = max(spec.items) + 1
     position = F.lit(None).cast("int")
     for i, m in enumerate(models):
-        position = F.when(_is(m), F.lit(i)).otherwise(position)
+        position = F.when(is_model(m), F.lit(i)).otherwise(position)
     keyed = store.filter(F.col("tag").isin(*spec.legit)).select(
         "chid", (position * width + F.col("tag")).alias("_cell"), "prob"
     )
@@ -72,7 +72,7 @@ def blend(store: DataFrame, weights: dict[Model, float] | Sequence[Model]) -> Da
         weights = {m: 1.0 / len(weights) for m in weights}
     weight = F.lit(None).cast("double")
     for m, w in weights.items():
-        weight = F.when(_is(m), F.lit(float(w))).otherwise(weight)
+        weight = F.when(is_model(m), F.lit(float(w))).otherwise(weight)
     rows = store.withColumn("_w", weight).filter(F.col("_w").isNotNull())
     return rows.groupBy("chid", "tag").agg(F.sum(F.col("_w") * F.col("prob")).alias("prob"))
 
@@ -95,7 +95,7 @@ def blend_search(
     Each client becomes one row with its items (at most the legit ones) and all model probabilities.  The candidates
     are opened on that row after the only shuffle, so the data is not multiplied on the network.
     """
-    prob = [F.max(F.when(_is(m), F.col("prob"))).alias(f"p{i}") for i, m in enumerate(models)]
+    prob = [F.max(F.when(is_model(m), F.col("prob"))).alias(f"p{i}") for i, m in enumerate(models)]
     cells = store.filter(F.col("tag").isin(*spec.legit)).groupBy("chid", "tag").agg(*prob)
     probs = F.array(*[F.coalesce(f"p{i}", F.lit(0.0)) for i in range(len(models))])
     packed = cells.groupBy("chid").agg(F.collect_list(F.struct("tag", probs.alias("p"))).alias("items"))
