@@ -18,30 +18,41 @@ from basketry.operators.neighbors import neighbor_blend
 from basketry.operators.ranking import rank_by_probability, rank_by_vector
 from basketry.operators.weights import active_weights, label_weights
 from basketry.operators.labels import label_rows
-from basketry.session import written
+from basketry.session import scratch_path, written
+from basketry.plans.blocks import BlockStore
 from basketry.plans.dataset import DatasetConfig, build_dataset, build_features
 
 
 @dataclass(frozen=True)
 class Sources:
-    """The three tables every plan starts from."""
+    """The three tables every plan starts from; with ``blocks`` features are written once and shared by all plans."""
 
     ledger: DataFrame
     profile: DataFrame
     clients: DataFrame
     spec: LedgerSpec
+    blocks: BlockStore | None = None
 
 
 def weighted_dataset(
     src: Sources, cfg: DatasetConfig, amount: str, imputation: str = "denoise", blocked: DataFrame | None = None
 ) -> DataFrame:
-    """Training rows with the sample weight of their label, written once: a learner reads them many times."""
-    data = build_dataset(src.ledger, src.profile, src.clients, src.spec, cfg, blocked)
-    labels = label_rows(src.ledger, src.spec, cfg.t_end)
-    weights = label_weights(labels, active_weights(src.ledger, src.spec, cfg.t_end, amount), imputation)
-    # an item without any history has no weight; exp(0) keeps its rows
-    known = weights.select("chid", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    return written(data.join(known, ["chid", "label"]), "training")
+    """Training rows with the sample weight of their label, written once: a learner reads them many times.
+
+    With blocks the rows are one as well, so all algorithms of a sweep share them.
+    """
+
+    def rows() -> DataFrame:
+        data = build_dataset(src.ledger, src.profile, src.clients, src.spec, cfg, blocked, src.blocks)
+        labels = label_rows(src.ledger, src.spec, cfg.t_end)
+        weights = label_weights(labels, active_weights(src.ledger, src.spec, cfg.t_end, amount), imputation)
+        # an item without any history has no weight; exp(0) keeps its rows
+        known = weights.select("chid", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+        return data.join(known, ["chid", "label"])
+
+    if src.blocks is None or blocked is not None:
+        return written(rows(), "training")
+    return src.blocks.keep("training", (src.spec, cfg, amount, imputation), rows)
 
 
 def train_model(
@@ -53,8 +64,8 @@ def train_model(
 
 def predict_clients(src: Sources, model: PipelineModel, cfg: DatasetConfig) -> DataFrame:
     """Production inference: long probabilities of every client at ``cfg.t_end``."""
-    data = build_features(src.ledger, src.profile, src.clients, src.spec, replace(cfg, labels=False, production=True))
-    return ml.predict(model, data, src.spec)
+    cfg = replace(cfg, labels=False, production=True)
+    return ml.predict(model, build_features(src.ledger, src.profile, src.clients, src.spec, cfg, src.blocks), src.spec)
 
 
 def evaluate(src: Sources, predictions: DataFrame, t: int) -> DataFrame:
@@ -74,24 +85,42 @@ def reevaluate(src: Sources, models: dict[str, PipelineModel], cfg: DatasetConfi
     return out
 
 
+RESULTS = "feature_set string, algorithm string, t_end int, n_clients long, ndcg double"
+
+
 def sweep(
     src: Sources,
     feature_sets: dict[str, DatasetConfig],
-    algorithms: Sequence[str],
+    algorithms: Sequence[str] | dict[str, dict],
     amount: str,
+    results: str | None = None,
     **params,
 ) -> DataFrame:
-    """Mean NDCG of every feature set x algorithm on the period after training; the driver only loops over the list."""
-    parts = []
-    for (name, cfg), algorithm in product(feature_sets.items(), algorithms):
-        model = train_model(src, cfg, amount, algorithm, **params)
+    """Mean NDCG of every feature set x algorithm on the period after training.
+
+    ``algorithms`` may give parameters of their own.  With blocks a feature set is built once for all algorithms.  Every
+    point is appended to the table at ``results`` as soon as it is scored, and points that stand there already are not
+    repeated, so a sweep that was cut short goes on where it stopped.
+    """
+    spark = src.ledger.sparkSession
+    path = results or scratch_path(spark, "sweep")
+    own = algorithms if isinstance(algorithms, dict) else {a: {} for a in algorithms}
+    spark.createDataFrame([], RESULTS).write.mode("append").parquet(path)
+    table = spark.read.schema(RESULTS).parquet(path)
+    done = {(r[0], r[1], r[2]) for r in table.select("feature_set", "algorithm", "t_end").collect()}
+    for (name, cfg), (algorithm, extra) in product(feature_sets.items(), own.items()):
+        if (name, algorithm, cfg.t_end) in done:
+            continue
+        model = train_model(src, cfg, amount, algorithm, **params, **extra)
         valid = replace(cfg, t_end=cfg.t_end + 1)
         score = mean_ndcg(evaluate(src, predict_clients(src, model, valid), valid.t_end + src.spec.horizon))
-        parts.append(score.select(F.lit(name).alias("feature_set"), F.lit(algorithm).alias("algorithm"), "n_clients", "ndcg"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        point = [F.lit(name).alias("feature_set"), F.lit(algorithm).alias("algorithm"), F.lit(cfg.t_end).alias("t_end")]
+        score.select(*point, "n_clients", "ndcg").write.mode("append").parquet(path)
+    points = F.lit(False)
+    for name, cfg in feature_sets.items():
+        points = points | ((F.col("feature_set") == name) & (F.col("t_end") == cfg.t_end) & F.col("algorithm").isin(*own))
+    # read again: the files have been added to
+    return spark.read.schema(RESULTS).parquet(path).where(points)
 
 
 @dataclass(frozen=True)

@@ -7,24 +7,30 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.config import Decay
+from basketry.config import PSEUDO_ZERO, Decay
 from basketry.operators import labels as lab
 from basketry.operators import models as ml
 from basketry.operators import stacking as stk
 from basketry.operators.metrics import client_ndcg
 from basketry.operators.ranking import rank_by_probability
 from basketry.plans import dataset as ds
+from basketry.plans.blocks import BlockStore
 from basketry.plans import lifecycle as lc
 from basketry.plans import training as tr
 from basketry.session import scratch_path, written
 from basketry.queries.base import MODELS, SPEC, T_END, TARGET, Tables, query, rounded
 
-PSEUDO = 797.165663
+PSEUDO = PSEUDO_ZERO
 TRAIN_END = T_END - 1
 
 
-def sources(t: Tables) -> tr.Sources:
-    return tr.Sources(t.priced, t.profile, t.clients, SPEC)
+def sources(t: Tables, blocks: BlockStore | None = None) -> tr.Sources:
+    return tr.Sources(t.priced, t.profile, t.clients, SPEC, blocks)
+
+
+def block_store(t: Tables) -> BlockStore:
+    """Blocks of the ledger with the amount in whole units."""
+    return BlockStore(t.spark, f"{t.state}/priced", t.bucket_count)
 
 
 CONFIG = ds.DatasetConfig(
@@ -52,9 +58,7 @@ _P13_CELLS = {
 _P13_SQL = ", ".join(sql.format(x=x) + f" AS {name}_tag{x}" for name, sql in _P13_CELLS.items() for x in SPEC.legit)
 
 
-@query(
-    "p13_dataset",
-    f"""WITH st AS (SELECT *, lag(dt) OVER w AS prev, lead(dt) OVER w AS nxt FROM past WINDOW w AS (PARTITION BY chid, tag ORDER BY dt)),
+_P13_DATASET = f"""WITH st AS (SELECT *, lag(dt) OVER w AS prev, lead(dt) OVER w AS nxt FROM past WINDOW w AS (PARTITION BY chid, tag ORDER BY dt)),
         per AS (SELECT chid, tag, coalesce({_P13_PURCHASE}, 0) AS freq,
                   {PSEUDO} * 4.98 + coalesce(sum((amt_cents / CAST(100 AS DOUBLE) - {PSEUDO}) * pow(0.5, (23 - dt) // 3) * pow(0.9, (23 - dt) % 3)) FILTER (dt >= 13 AND amt_cents <> 0), 0) AS amt_vec,
                   coalesce(sum(txn_cnt * pow(0.5, (23 - dt) // 3) * pow(0.9, (23 - dt) % 3)) FILTER (dt >= 13), 0) AS cnt_vec,
@@ -66,13 +70,21 @@ _P13_SQL = ", ".join(sql.format(x=x) + f" AS {name}_tag{x}" for name, sql in _P1
         latest AS (SELECT chid, nation, region, prio FROM (SELECT *, row_number() OVER (PARTITION BY chid ORDER BY dt DESC) AS rn FROM profile WHERE dt <= 23) WHERE rn = 1),
         gs AS (SELECT nation, avg(amt) AS g1, quantile_cont(amt, 0.75) AS g2 FROM wide WHERE dt BETWEEN 18 AND 23 AND tag IN (SELECT tag FROM leg) GROUP BY nation)
         SELECT f.*, latest.nation AS nation, latest.region AS region, latest.prio AS prio, round(g1, 4) AS g0_amt_nanmean, round(g2, 4) AS g0_amt_nanquantile_0_75, label
-        FROM target_labels JOIN warm USING (chid) JOIN f USING (chid) JOIN latest USING (chid) JOIN gs ON gs.nation = latest.nation""",
-)
+        FROM target_labels JOIN warm USING (chid) JOIN f USING (chid) JOIN latest USING (chid) JOIN gs ON gs.nation = latest.nation"""
+
+
+@query("p13_dataset", _P13_DATASET)
 def dataset(t: Tables) -> DataFrame:
     """The whole training set of one fold as one plan."""
     return rounded(ds.build_dataset(t.priced, t.profile, t.clients, SPEC, CONFIG), 4)
 
 
+@query("p13_block_dataset", _P13_DATASET)
+def block_dataset(t: Tables) -> DataFrame:
+    """The same training set joined from blocks that are written once per state of the sources."""
+    return rounded(ds.build_dataset(t.priced, t.profile, t.clients, SPEC, CONFIG, blocks=block_store(t)), 4)
+
+
 @query("p13_all_blocks")
 def all_blocks(t: Tables) -> DataFrame:
     """Every kind of feature block at once, with neighbours, variants and per-attribute statistics."""
@@ -177,12 +189,13 @@ def multi_label(t: Tables) -> DataFrame:
 
 @query("p12_sweep")
 def sweep(t: Tables) -> DataFrame:
-    """Feature sets x algorithms, scored on the next period."""
+    """Feature sets x all algorithms, scored on the next period; every block is built once."""
     sets = {
         "vectors": replace(_base(TRAIN_END), behavior={}),
         "behavior": replace(_base(TRAIN_END), purchases={}, features={}),
     }
-    return rounded(tr.sweep(sources(t), sets, ("lr",), "amt", rounds=10))
+    algorithms = {"lr": {"rounds": 10}, "rf": {"trees": 10}, "gbt": {"rounds": 3, "depth": 3}}
+    return rounded(tr.sweep(sources(t, block_store(t)), sets, algorithms, "amt"))
 
 
 @query("m12_reevaluation")

@@ -67,6 +67,15 @@ class Inputs:
         digest = hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:16]
         return digest, sum(size for _, size, _ in files)
 
+    @property
+    def state(self) -> str:
+        """Names the state of the source files."""
+        return self._state[0]
+
+    @property
+    def bucket_count(self) -> int:
+        return self._buckets
+
     @cached_property
     def _buckets(self) -> int:
         """One bucket count for all tables, so they join on the client without moving."""
