@@ -129,8 +129,12 @@ def ranking_csv(t: Tables) -> DataFrame:
        WHERE split = 'oof' AND (model = 'lgbm' AND version = 2 OR model = 'xgb' AND version = 3)""",
 )
 def prediction_store(t: Tables) -> DataFrame:
+    """A store written in two parts, of which one is then replaced."""
     path = scratch_path(t.spark, "predictions")
-    files.write_predictions(t.predictions, path)
+    lgbm = F.col("model") == "lgbm"
+    files.write_predictions(t.predictions.filter(lgbm).withColumn("prob", F.lit(0.5)), path)
+    files.write_predictions(t.predictions.filter(~lgbm), path)
+    files.write_predictions(t.predictions.filter(lgbm), path)
     stored = files.read_predictions(t.spark, path, "oof", [("lgbm", 2), ("xgb", 3)])
     return rounded(stored.select("model", "version", "split", "chid", "tag", "prob"), 9)
 

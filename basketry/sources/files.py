@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,20 +75,50 @@ def read_block_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").cast("long").alias("chid")).na.drop()
 
 
+STORE_KEY = ("model", "version", "split")
+_MANIFEST = "model string, version int, split string, generation string, written long"
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Prediction store: one folder per model, version and split."""
-    predictions.write.mode("overwrite").partitionBy("model", "version", "split").parquet(path)
+    """Adds to a prediction store: one folder per model, version and split, and in it one per writing.
+
+    The (model, version, split) of the rows get a new generation, which replaces the one before for readers; all others
+    stay as they are.  Files of a generation are complete before the manifest names it, in one small file, so a reader
+    sees whole versions only, and a writing that fails changes nothing.
+    """
+    spark = predictions.sparkSession
+    generation, now = uuid.uuid4().hex, time.time_ns()
+    rows = predictions.withColumn("generation", F.lit(generation))
+    rows.hint("rebalance", *STORE_KEY).write.mode("append").partitionBy(*STORE_KEY, "generation").parquet(f"{path}/rows")
+    # of these columns the folders' names are read, not the files
+    new = spark.read.parquet(f"{path}/rows").filter(F.col("generation") == generation).select(*STORE_KEY).distinct()
+    entry = ["CAST(model AS STRING) AS model", "CAST(version AS INT) AS version", "CAST(split AS STRING) AS split"]
+    entries = new.selectExpr(*entry, f"'{generation}' AS generation", f"{now}L AS written")
+    entries.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def stored_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(model, version, split, generation): the newest generation of everything in a store."""
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    newest = F.max(F.struct("written", "generation")).alias("_g")
+    return manifest.groupBy(*STORE_KEY).agg(newest).select(*STORE_KEY, F.col("_g.generation").alias("generation"))
 
 
 def read_predictions(spark: SparkSession, path: str, split: str, models: Sequence[tuple[str, int]] = ()) -> DataFrame:
-    """Predictions of a split, all or for some (model, version) pairs; only their folders are listed."""
-    store = spark.read.parquet(path).filter(F.col("split") == split)
+    """Predictions of a split, all or for some (model, version) pairs, of their newest generation.
+
+    Only the folders of those generations are read: the manifest, one row per folder ever written, is sent to all tasks,
+    and Spark prunes the folders by it at run time.
+    """
+    wanted = F.col("split") == split
     if models:
-        wanted = F.lit(False)
+        named = F.lit(False)
         for model, version in models:
-            wanted = wanted | ((F.col("model") == model) & (F.col("version") == version))
-        store = store.filter(wanted)
-    return store
+            named = named | ((F.col("model") == model) & (F.col("version") == version))
+        wanted = wanted & named
+    newest = stored_versions(spark, path).filter(wanted)
+    store = spark.read.parquet(f"{path}/rows").filter(wanted)
+    return store.join(F.broadcast(newest), [*STORE_KEY, "generation"], "left_semi").drop("generation")
 
 
 # What a version label means.

@@ -91,3 +91,31 @@ def test_listing_by_spark_equals_the_file_system(spark):
     t = Tables(spark, SF)
     (path, size, stamp), = t._listing(f"file:{SF}/orders.parquet")
     assert size == os.stat(f"{SF}/orders.parquet").st_size and path.endswith("orders.parquet") and stamp
+
+
+def test_a_prediction_store_is_added_to(spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = "model string, version int, split string, chid long, tag int, prob double"
+
+    def rows(model, version, split, prob, n=3):
+        return [(model, version, split, c, 2, prob) for c in range(n)]
+
+    def seen(split, models=()):
+        return sorted((r["model"], r["version"], r["chid"], r["prob"]) for r in files.read_predictions(spark, path, split, models).collect())
+
+    files.write_predictions(spark.createDataFrame(rows("a", 1, "oof", 0.1) + rows("a", 1, "unseen", 0.2), schema), path)
+    files.write_predictions(spark.createDataFrame(rows("b", 2, "oof", 0.3), schema), path)
+    assert seen("oof") == sorted([("a", 1, c, 0.1) for c in range(3)] + [("b", 2, c, 0.3) for c in range(3)])
+    # another version, then fewer rows of the first in place of the old ones
+    files.write_predictions(spark.createDataFrame(rows("a", 3, "oof", 0.4), schema), path)
+    files.write_predictions(spark.createDataFrame(rows("a", 1, "oof", 0.9, 2), schema), path)
+    assert seen("oof", [("a", 1)]) == [("a", 1, 0, 0.9), ("a", 1, 1, 0.9)]
+    assert seen("unseen") == [("a", 1, c, 0.2) for c in range(3)] and len(seen("oof")) == 8
+    # a writing that ends before its manifest entry is not seen; one without rows changes nothing
+    lost = spark.createDataFrame(rows("b", 2, "oof", 7.0), schema).withColumn("generation", F.lit("lost"))
+    lost.write.mode("append").partitionBy(*files.STORE_KEY, "generation").parquet(f"{path}/rows")
+    files.write_predictions(spark.createDataFrame([], schema), path)
+    assert seen("oof", [("b", 2)]) == [("b", 2, c, 0.3) for c in range(3)]
+    plan = files.read_predictions(spark, path, "oof", [("a", 1)])._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert files.stored_versions(spark, path).count() == 4
