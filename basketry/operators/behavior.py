@@ -1,7 +1,8 @@
 """Purchase behaviour per client and item, as of one period.
 
-All features come from one aggregate per (client, item): first and last period, and the bought periods as bits of one
-long.  Bits combine with OR, so the aggregate is map-side combined and its size does not depend on the history.
+All features come from one aggregate per (client, item): first and last period, and the bought periods as bits of longs,
+one long for every 62 periods.  Bits combine with OR, so the aggregate is map-side combined and its size does not depend
+on how often a client bought.
 """
 
 from __future__ import annotations
@@ -12,39 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.config import NEVER, OLD_GAP_DEFAULT, ItemSet, LedgerSpec
+from basketry.functions.bitmaps import count_periods, count_successions, period_bits
 from basketry.operators.panel import densify
 
-MAX_BITS = 62
 TOGGLES = ("n00", "n01", "n10", "n11")
 
 
-def check_bits(t_end: int) -> None:
-    """Bought periods are bits of one long."""
-    if not 1 <= t_end <= MAX_BITS:
-        raise ValueError(f"behaviour features look at periods 1 to {MAX_BITS}; renumber the periods of a longer ledger")
+def history_columns(t_end: int) -> list[Column]:
+    """Aggregates over the rows of a client and item up to t_end: first and last period, and the bought periods."""
+    return [F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"), *period_bits(t_end)]
 
 
 def history(ledger: DataFrame, t_end: int) -> DataFrame:
-    """(chid, tag, first_dt, last_dt, months): months has bit dt - 1 set for every bought period up to t_end."""
-    check_bits(t_end)
-    return (
-        ledger.filter(F.col("dt") <= t_end)
-        .groupBy("chid", "tag")
-        .agg(
-            F.min("dt").alias("first_dt"),
-            F.max("dt").alias("last_dt"),
-            F.bit_or(F.expr("shiftleft(1L, dt - 1)")).alias("months"),
-        )
-    )
-
-
-def _bought() -> Column:
-    return F.bit_count(F.col("months"))
+    """(chid, tag, first_dt, last_dt, months0..) of every bought item up to t_end."""
+    return ledger.filter(F.col("dt") <= t_end).groupBy("chid", "tag").agg(*history_columns(t_end))
 
 
 def _toggle_columns(t_end: int) -> dict[str, Column]:
-    n = _bought()
-    n11 = F.bit_count(F.col("months").bitwiseAND(F.shiftright("months", 1)))
+    n, n11 = count_periods(t_end), count_successions(t_end)
     n10 = n - n11 - (F.col("last_dt") == t_end).cast("int")
     n01 = n - n11 - (F.col("first_dt") == 1).cast("int")
     return {"n00": F.lit(t_end - 1) - n10 - n01 - n11, "n01": n01, "n10": n10, "n11": n11}
@@ -52,7 +38,7 @@ def _toggle_columns(t_end: int) -> dict[str, Column]:
 
 def feature_columns(t_end: int) -> dict[str, tuple[Column, Column]]:
     """Feature name to (expression over :func:`history`, value of an item that was never bought)."""
-    n = _bought()
+    n = count_periods(t_end)
     gap = F.try_divide((F.col("last_dt") - F.col("first_dt")).cast("double"), n - 1) - 1.0
     columns = {
         "gap_since_first": (F.lit(t_end) - F.col("first_dt"), F.lit(NEVER)),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.config import ItemSet, LedgerSpec
+from basketry.functions.bitmaps import period_bits, period_flags, words
 
 
 def item_grid(clients: DataFrame, spec: LedgerSpec, which: ItemSet = "leg") -> DataFrame:
@@ -47,22 +48,10 @@ def densify(
 
 def purchase_map(ledger: DataFrame, clients: DataFrame, spec: LedgerSpec, t_end: int, which: ItemSet = "all") -> DataFrame:
     """Dense 0/1 map (chid, tag, dt, bought): a row of the ledger exists, whatever its amount."""
-    bits = (
-        ledger.filter(F.col("dt") <= t_end)
-        .groupBy("chid", "tag")
-        .agg(F.bit_or(F.expr("shiftleft(1L, dt)")).alias("_months"))
-    )
-    cells = densify(bits, clients, spec, which, {"_months": F.lit(0).cast("long")})
-    return cells.select(
-        "chid",
-        "tag",
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(t_end)),
-                lambda dt: F.getbit(F.col("_months"), dt).cast("int"),
-            )
-        ).alias("dt", "bought"),
-    ).withColumn("dt", F.col("dt") + 1)
+    bits = ledger.filter(F.col("dt") <= t_end).groupBy("chid", "tag").agg(*period_bits(t_end))
+    cells = densify(bits, clients, spec, which, {w: F.lit(0).cast("long") for w in words(t_end)})
+    flags = F.posexplode(period_flags(t_end)).alias("dt", "bought")
+    return cells.select("chid", "tag", flags).withColumn("dt", F.col("dt") + 1)
 
 
 def feature_map(

@@ -87,11 +87,7 @@ def item_features(ledger: DataFrame, spec: LedgerSpec, cfg: DatasetConfig) -> tu
     dt = F.col("dt")
     plain = {n: p for n, p in cfg.purchases.items() if p.neighbors is None}
     valued = {n: p for n, p in cfg.features.items() if p.neighbors is None}
-    aggregates = [
-        F.min("dt").alias("first_dt"),
-        F.max("dt").alias("last_dt"),
-        F.bit_or(F.expr("shiftleft(1L, dt - 1)")).alias("months"),
-    ]
+    aggregates = beh.history_columns(t)
     columns: dict[str, tuple[Column, Column, ItemSet]] = {}
     for name, p in plain.items():
         aggregates.append(F.sum(decay_weight(dt, p.decay, t)).alias(f"_{name}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from basketry.operators import neighbors as nei
 from basketry.operators import panel as pan
 from basketry.operators import raw
 from basketry.operators import stacking as stk
-from tests.conftest import rows_by
+from basketry.plans import dataset as ds
+from tests.conftest import SMALL, rows_by
 
 N_CLIENTS, T = 30, 20
 
@@ -271,3 +274,33 @@ def test_neighbours_do_not_depend_on_slices(spark, spec, monkeypatch):
     dealt = clients.withColumn("slices", nei.slice_count(clients, 2)).select(nei.pool_of(2).alias("p"), nei.slice_of(F.col("slices")).alias("s"))
     sizes = [r["count"] for r in dealt.groupBy("p", "s").count().collect()]
     assert len(sizes) == 12 and max(sizes) <= 40
+
+
+@pytest.mark.parametrize("t_end", [61, 62, 63, 65, 124, 125, 130])
+def test_ledgers_of_many_periods(make_ledger, make_clients, t_end):
+    """Bought periods fill several words; toggles are counted across their borders."""
+    spec = replace(SMALL, n_periods=130)
+    rng = np.random.default_rng(t_end)
+    bought = rng.random((6, 130)) < np.array([0.5, 0.05, 0.95, 0.5, 1.0, 0.02])[:, None]
+    bought[3, 60:66] = bought[3, 122:127] = True
+    bought[5, :] = False
+    rows = [(int(c), int(d) + 1, 2) for c, d in zip(*np.nonzero(bought))]
+    led, cli = make_ledger(rows), make_clients(range(6))
+    names = ["gap_since_first", "gap_since_last", "avg_gap", "st_tgl", "made_ratio", "purch_t_end"]
+    got = {r.chid: r for r in beh.behavior(led, cli, spec, t_end, names).collect() if r.tag == 2}
+    maps = rows_by(pan.purchase_map(led, cli, spec, t_end, [2]), "chid", "dt")
+    cfg = ds.DatasetConfig(t_end, behavior={"st_tgl": "leg", "made_ratio": "leg"}, labels=False)
+    wide = rows_by(ds.build_features(led, led, cli, spec, cfg), "chid")
+    for c in range(6):
+        b = bought[c, :t_end]
+        assert [maps[c, d + 1].bought for d in range(t_end)] == b.astype(int).tolist()
+        pairs = list(zip(b[:-1], b[1:]))
+        want = [sum(1 for p in pairs if p == (x, y)) for x in (False, True) for y in (False, True)]
+        assert [got[c].n00, got[c].n01, got[c].n10, got[c].n11] == want
+        assert [wide[c][f"{n}_tag2"] for n in beh.TOGGLES] == want
+        assert got[c].made_ratio == pytest.approx(b.mean()) == wide[c].made_ratio_tag2
+        periods = np.flatnonzero(b) + 1
+        if len(periods):
+            assert (got[c].gap_since_first, got[c].gap_since_last) == (t_end - periods[0], t_end - periods[-1])
+        if len(periods) > 1:
+            assert got[c].avg_gap == pytest.approx(np.mean(np.diff(periods) - 1))
