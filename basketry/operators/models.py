@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.config import LedgerSpec
@@ -126,12 +127,111 @@ def predict(model: PipelineModel, data: DataFrame, spec: LedgerSpec) -> DataFram
 def out_of_fold(
     data: DataFrame, spec: LedgerSpec, folds: int, fit: Callable[[DataFrame], PipelineModel]
 ) -> DataFrame:
-    """Predictions of each fold by the model of the other folds; ``data`` has a ``fold`` column by client."""
-    parts = [predict(fit(data.filter(F.col("fold") != i)), data.filter(F.col("fold") == i), spec) for i in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Predictions of each fold by the model of the other folds; ``data`` has a ``fold`` column by client.
+
+    A fold that holds all rows has no model, and no predictions.
+    """
+    parts = [predict(fit(inside), outside, spec) for inside, outside in _splits(data, folds)]
+    none = "chid long, tag int, label int, prob double"
+    return reduce(DataFrame.unionByName, parts) if parts else data.sparkSession.createDataFrame([], none)
+
+
+def _splits(data: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(rows of the other folds, rows of the fold) for every fold where neither is empty."""
+    sizes = dict(data.groupBy("fold").count().collect())
+    at = [i for i in range(folds) if 0 < sizes.get(i, 0) < sum(sizes.values())]
+    return [(data.filter(F.col("fold") != i).drop("fold"), data.filter(F.col("fold") == i).drop("fold")) for i in at]
+
+
+def _assembled(model: PipelineModel, data: DataFrame, labels: int) -> DataFrame:
+    rows = with_label_metadata(data, labels)
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    return rows
+
+
+def _true_by_tree(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, Column, int]:
+    """Rows, the probability of the true label after the first ``round`` trees, and the number of trees."""
+    learner, label = model.stages[-1], F.col("label").cast("int")
+    if not isinstance(learner, OneVsRestModel):
+        votes = []
+        for i, tree in enumerate(learner.trees):
+            names = {tree.probabilityCol: f"_p{i}", tree.rawPredictionCol: f"_r{i}", tree.predictionCol: f"_y{i}"}
+            rows = tree.copy(names).transform(rows).drop(f"_r{i}", f"_y{i}")
+            votes.append(F.coalesce(F.get(vector_to_array(f"_p{i}"), label), F.lit(0.0)))
+        rows = rows.select("label", "weight", F.array(*votes).alias("_votes"))
+        seen = F.aggregate(F.slice("_votes", F.lit(1), F.col("round")), F.lit(0.0), lambda a, x: a + x)
+        return rows, seen / F.col("round"), len(votes)
+    margins, kept = [], rows.columns
+    for c, boosted in enumerate(learner.models):
+        steps = []
+        for i, (tree, weight) in enumerate(zip(boosted.trees, boosted.treeWeights, strict=True)):
+            rows = tree.copy({tree.predictionCol: f"_t{i}"}).transform(rows)
+            steps.append(F.col(f"_t{i}") * F.lit(float(weight)))
+        rows = rows.withColumn(f"_m{c}", F.array(*steps)).select(*kept, *[f"_m{k}" for k in range(c + 1)])
+        margins.append(f"_m{c}")
+    most = max(len(m.trees) for m in learner.models)
+    rows = rows.select("label", "weight", *margins)
+    sums = [F.aggregate(F.slice(m, F.lit(1), F.col("round")), F.lit(0.0), lambda a, x: a + x) for m in margins]
+    probs = F.array(*[F.lit(1.0) / (F.lit(1.0) + F.exp(s * -2.0)) for s in sums])
+    return rows, F.get(probs, label) / F.aggregate(probs, F.lit(0.0), lambda a, x: a + x), most
+
+
+def _loss(probability: Column) -> Column:
+    """Weighted mean log loss."""
+    rows = F.col("weight") * -F.log(F.greatest(probability, F.lit(1e-15)))
+    return (F.sum(rows) / F.sum("weight")).alias("loss")
+
+
+def validation_curve(
+    data: DataFrame,
+    valid: DataFrame,
+    spec: LedgerSpec,
+    algorithm: str = "lr",
+    rounds: int = 20,
+    steps: Sequence[int] | None = None,
+    **params,
+) -> DataFrame:
+    """Weighted log loss of the validation rows after each round of training: rows (round, loss).
+
+    Trees are trained once with ``rounds`` rounds, and all rounds are scored in one pass, as the first trees of an ensemble
+    are those of a shorter training.  A regression is trained anew for each of ``steps`` iterations (all up to ``rounds``).
+    Both sides have a ``weight``, or count 1 each.
+    """
+    if "weight" not in data.columns:
+        data = data.withColumn("weight", F.lit(1.0))
+    if "weight" not in valid.columns:
+        valid = valid.withColumn("weight", F.lit(1.0))
+    if algorithm != "lr":
+        size = {"trees": rounds} if algorithm == "rf" else {"rounds": rounds}
+        model = train(data, spec, algorithm, weight="weight", **size, **params)
+        scored, probability, most = _true_by_tree(model, _assembled(model, valid, len(spec.legit)))
+        each = scored.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(most))))
+        return each.groupBy("round").agg(_loss(probability))
+    parts = []
+    for r in steps or range(1, rounds + 1):
+        model = train(data, spec, "lr", weight="weight", rounds=r, **params)
+        scored = model.transform(valid.withColumn("label", F.col("label").cast("double")))
+        found = F.coalesce(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0))
+        parts.append(scored.agg(_loss(found)).select(F.lit(r).alias("round"), "loss"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_rounds(curves: DataFrame) -> int:
+    """The round with the least mean loss over all curves (rows (round, loss), one per fold), the earliest of equals; rounds
+    that a fold did not reach do not count.
+    """
+    folds = curves.groupBy("round").agg(F.avg("loss").alias("loss"), F.count("loss").alias("n"))
+    top = folds.agg(F.max("n")).first()[0]
+    if not top:
+        raise ValueError("no round has a loss")
+    return folds.where(F.col("n") == top).orderBy("loss", "round").first()["round"]
+
+
+def cross_validated_rounds(data: DataFrame, spec: LedgerSpec, folds: int, algorithm: str = "lr", **params) -> int:
+    """Best rounds over the folds of ``data`` (column ``fold``, by client); 1 where no fold can be left out."""
+    curves = [validation_curve(inside, outside, spec, algorithm, **params) for inside, outside in _splits(data, folds)]
+    return best_rounds(reduce(DataFrame.unionByName, curves)) if curves else 1
 
 
 def final_rounds(best: int, folds: int) -> int:
@@ -171,14 +271,17 @@ def importance_table(model: PipelineModel, data: DataFrame) -> DataFrame:
     return data.sparkSession.createDataFrame(rows, "feature string, importance double, normalized double")
 
 
-def train_multi_label(data: DataFrame, spec: LedgerSpec, features: Sequence[str], rounds: int = 20) -> list[PipelineModel]:
-    """One binary regression per label on a multi-hot target ``hot``."""
+def train_multi_label(
+    data: DataFrame, spec: LedgerSpec, features: Sequence[str], rounds: int = 20, weight: str | None = None
+) -> list[PipelineModel]:
+    """One binary regression per label on a multi-hot target ``hot``, with row weights on request."""
     models = []
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    assembled = assembler.transform(data).select("features", "hot")
+    weights = F.lit(1.0) if weight is None else F.col(weight)
+    assembled = assembler.transform(data).select("features", "hot", weights.alias("weight"))
     for i in range(len(spec.legit)):
         rows = assembled.withColumn("y", F.get("hot", F.lit(i)).cast("double"))
-        learner = LogisticRegression(labelCol="y", maxIter=rounds, regParam=0.01, family="binomial")
+        learner = LogisticRegression(labelCol="y", maxIter=rounds, regParam=0.01, family="binomial", weightCol="weight")
         models.append(PipelineModel([assembler, learner.fit(rows)]))
     return models
 

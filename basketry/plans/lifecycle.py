@@ -54,6 +54,26 @@ def cross_validate(
     return out
 
 
+def stacker_rows(
+    src: Sources,
+    store: DataFrame,
+    models: Sequence[stk.Model],
+    t_end: int,
+    amount: str,
+    folds: int = 5,
+    features: DataFrame | None = None,
+) -> DataFrame:
+    """The base models' out-of-fold predictions with the labels and weights of the target period and a fold by client,
+    written once.
+    """
+    labels = label_rows(src.ledger, src.spec, t_end)
+    weights = label_weights(labels, active_weights(src.ledger, src.spec, t_end, amount)).select(
+        "chid", "label", F.coalesce("weight", F.lit(1.0)).alias("weight")
+    )
+    meta = stk.meta_dataset(store.filter(F.col("split") == "oof"), src.spec, models, labels, features)
+    return written(row_folds(meta.join(weights, ["chid", "label"]), folds), "stacker")
+
+
 def train_stacker(
     src: Sources,
     store: DataFrame,
@@ -64,24 +84,25 @@ def train_stacker(
     algorithm: str = "lr",
     seeds: Sequence[int] = ml.SEEDS,
     features: DataFrame | None = None,
+    rounds: int = 20,
+    steps: Sequence[int] | None = None,
     **params,
 ) -> tuple[DataFrame, list[PipelineModel]]:
     """Out-of-fold predictions of a stacker and its refits on all rows, one per seed.
 
-    The meta rows are the base models' out-of-fold predictions with the labels and weights of the target period, written
-    once; folds are by client.
+    The rounds, ``rounds`` at most, are those with the least mean loss over the folds; a refit has more rows, and takes
+    more rounds in proportion.
     """
-    labels = label_rows(src.ledger, src.spec, t_end)
-    weights = label_weights(labels, active_weights(src.ledger, src.spec, t_end, amount)).select(
-        "chid", "label", F.coalesce("weight", F.lit(1.0)).alias("weight")
-    )
-    meta = stk.meta_dataset(store.filter(F.col("split") == "oof"), src.spec, models, labels, features)
-    meta = written(row_folds(meta.join(weights, ["chid", "label"]), folds), "stacker")
+    meta = stacker_rows(src, store, models, t_end, amount, folds, features)
+    chosen = {} if algorithm != "lr" else {"steps": steps}
+    best = ml.cross_validated_rounds(meta, src.spec, folds, algorithm, rounds=rounds, **chosen, **params)
+    size = "trees" if algorithm == "rf" else "rounds"
 
-    def fit(rows: DataFrame, seed: int = ml.SEEDS[0]) -> PipelineModel:
-        return ml.train(rows.drop("fold"), src.spec, algorithm, weight="weight", seed=seed, **params)
+    def fit(rows: DataFrame, n: int, seed: int = ml.SEEDS[0]) -> PipelineModel:
+        return ml.train(rows.drop("fold"), src.spec, algorithm, weight="weight", seed=seed, **{size: n}, **params)
 
-    return ml.out_of_fold(meta, src.spec, folds, fit), [fit(meta, s) for s in seeds]
+    oof = ml.out_of_fold(meta, src.spec, folds, lambda rows: fit(rows, best))
+    return oof, [fit(meta, ml.final_rounds(best, folds), s) for s in seeds]
 
 
 def predict_stacker(

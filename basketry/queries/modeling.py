@@ -118,15 +118,21 @@ def _scored(predictions: DataFrame) -> DataFrame:
 
 @query("p01_train_models")
 def train_models(t: Tables) -> DataFrame:
-    """Regression, forest and early-stopped boosted trees trained on one fold, scored on the next period."""
-    src = sources(t)
-    valid = written(ds.build_dataset(src.ledger, src.profile, src.clients, SPEC, _base(T_END)), "valid")
+    """Regression, forest and boosted trees trained on one fold, with the rounds that serve the next period best, and
+    scored on it.
+    """
+    src = sources(t, block_store(t))
+    data = tr.weighted_dataset(src, _base(TRAIN_END), "amt")
+    valid = tr.weighted_dataset(src, _base(T_END), "amt")
     out = None
-    for algorithm, params in (("lr", {}), ("rf", {"trees": 10}), ("gbt", {"rounds": 4, "depth": 3, "valid": valid})):
-        model = tr.train_model(src, _base(TRAIN_END), "amt", algorithm, **params)
+    tries = {"lr": {"steps": (2, 4, 8, 16)}, "rf": {"rounds": 12}, "gbt": {"rounds": 4, "depth": 3}}
+    for algorithm, params in tries.items():
+        rounds = ml.best_rounds(ml.validation_curve(data, valid, SPEC, algorithm, **params))
+        size = {"trees" if algorithm == "rf" else "rounds": rounds}
+        model = ml.train(data, SPEC, algorithm, weight="weight", **size, **{k: v for k, v in params.items() if k == "depth"})
         ndcg = tr.evaluate(src, tr.predict_clients(src, model, _base(T_END)), TARGET)
         row = ndcg.agg(F.count("*").alias("n_clients"), F.avg("ndcg").alias("ndcg")).select(
-            F.lit(algorithm).alias("algorithm"), "n_clients", "ndcg"
+            F.lit(algorithm).alias("algorithm"), F.lit(rounds).alias("rounds"), "n_clients", "ndcg"
         )
         out = row if out is None else out.unionByName(row)
     return rounded(out)
@@ -148,27 +154,19 @@ def production(t: Tables) -> DataFrame:
     return rank_by_probability(tr.predict_clients(src, model, _base(T_END + 1)), SPEC)
 
 
-def _meta(t: Tables) -> DataFrame:
-    store = t.predictions.filter(F.col("split") == "oof")
-    return written(stk.meta_dataset(store, SPEC, MODELS, lab.label_rows(t.ledger, SPEC, T_END)), "meta")
-
-
 @query("p06_out_of_fold")
 def out_of_fold(t: Tables) -> DataFrame:
-    """Stacker: out-of-fold probabilities over three client folds."""
-    data = lab.row_folds(_meta(t), 3)
-    return _scored(ml.out_of_fold(data, SPEC, 3, lambda rows: ml.train(rows, SPEC, "lr", rounds=10)))
+    """Stacker: out-of-fold probabilities over three client folds, weighted, with cross-validated rounds."""
+    oof, _ = lc.train_stacker(sources(t), t.predictions, MODELS, T_END, "amt", folds=3, seeds=(), steps=(2, 4, 8))
+    return _scored(oof)
 
 
 @query("p07_refit_average")
 def refit_average(t: Tables) -> DataFrame:
-    """Stacker refitted with every seed on all rows, predictions averaged."""
-    target = stk.meta_dataset(t.predictions.filter(F.col("split") == "unseen"), SPEC, MODELS)
-    rounds = ml.final_rounds(4, 5)
-    refits = ml.refit_predictions(
-        _meta(t), target, SPEC, lambda rows, seed: ml.train(rows, SPEC, "rf", trees=rounds, depth=4, seed=seed), ml.SEEDS
-    )
-    return rounded(stk.seed_average(refits))
+    """Stacker refitted with every seed on all rows, predictions averaged; rounds by cross-validation, scaled up."""
+    src, store = sources(t), t.predictions
+    _, refits = lc.train_stacker(src, store, MODELS, T_END, "amt", folds=5, algorithm="rf", rounds=8, depth=4)
+    return rounded(lc.predict_stacker(src, refits, store, MODELS))
 
 
 @query("p10_feature_importance")
@@ -180,11 +178,16 @@ def feature_importance(t: Tables) -> DataFrame:
 
 @query("p11_multi_label")
 def multi_label(t: Tables) -> DataFrame:
-    """One regression per label on the multi-hot target."""
-    meta = stk.meta_dataset(t.predictions.filter(F.col("split") == "unseen"), SPEC, MODELS)
+    """One regression per label on the multi-hot target, trained on out-of-fold predictions, for all clients."""
+    src = sources(t)
+    rows = lc.stacker_rows(src, t.predictions, MODELS, T_END, "amt")
+    features = ml.feature_columns(rows)
+    # a client counts by the mean weight of its labels
+    clients = rows.groupBy("chid").agg(*[F.first(f).alias(f) for f in features], F.avg("weight").alias("weight"))
     hot = lab.multi_hot(lab.label_rows(t.ledger, SPEC, T_END), len(SPEC.legit))
-    models = ml.train_multi_label(meta.join(hot, "chid"), SPEC, ml.feature_columns(meta), rounds=10)
-    return _scored(ml.predict_multi_label(models, meta, SPEC))
+    models = ml.train_multi_label(clients.join(hot, "chid"), SPEC, features, rounds=10, weight="weight")
+    unseen = stk.meta_dataset(t.predictions.filter(F.col("split") == "unseen"), SPEC, MODELS)
+    return _scored(ml.predict_multi_label(models, unseen, SPEC))
 
 
 @query("p12_sweep")
@@ -221,7 +224,7 @@ def stacker_and_blend(t: Tables) -> DataFrame:
     """Base predictions to a stacker, its predictions into the store, and a blend of both ranked."""
     src, models = sources(t), MODELS
     store = written(t.predictions, "store")
-    oof, refits = lc.train_stacker(src, store, models, T_END, "amt", folds=2, seeds=ml.SEEDS[:2], rounds=5)
+    oof, refits = lc.train_stacker(src, store, models, T_END, "amt", folds=2, steps=(2, 4, 8))
     unseen = lc.predict_stacker(src, refits, store, models)
     stacked = lc.store_rows(oof, "meta", 1, "oof").unionByName(lc.store_rows(unseen, "meta", 1, "unseen"))
     ranking, _ = lc.blend_and_score(src, store.unionByName(stacked), [*models, ("meta", 1)], TARGET)
