@@ -41,6 +41,8 @@ TILE_CANDIDATES = 2048
 EXACT_RUN = 1024
 #: components of the pairs that are computed exactly at a time
 EXACT_CELLS = 1 << 20
+#: partitions of tiles; with more tiles a partition has several, one after the other
+MOST_PARTITIONS = 1 << 15
 #: strips whose lists one task merges first
 MERGED = 64
 
@@ -243,7 +245,10 @@ def nearest_vectors(
     candidates = rows.select(
         *columns, F.lit(False).alias("asks"), every("query_strips").alias("query_strip"), own("candidate_strips").alias("candidate_strip")
     )
-    tiles = queries.unionByName(candidates).groupBy("width", "query_strip", "candidate_strip")
+    # by number, as few rows mean long work: partitions of tiles are not to be merged by size
+    tile = ["width", "query_strip", "candidate_strip"]
+    n_tiles = min(sum(q * c for _, q, c in layout), MOST_PARTITIONS)
+    tiles = queries.unionByName(candidates).repartition(n_tiles, *tile).groupBy(*tile)
     found = tiles.applyInArrow(lambda g: _tile(g, k), schema)
     # a query's lists of up to MERGED strips are merged in one task, and so on until one is left
     most = max(s for _, _, s in layout)
