@@ -26,9 +26,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_per_group(docs)
 
 
+#: bytes of a repeated string: passages of 51 words are hardly ever shorter
+PASSAGE = 250
+#: bytes of it that bring equal strings together
+PASSAGE_ANCHOR = 150
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their 400-byte strings that occur twice; documents of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs, kept="kept_text", spans="removed_spans", as_text=True)
+    """Texts without their strings of PASSAGE bytes that occur twice; documents of which nothing is left go."""
+    cut = suffix_dedup.remove_repeats(
+        docs, length=PASSAGE, anchor=PASSAGE_ANCHOR, kept="kept_text", spans="removed_spans", as_text=True
+    )
     touched = F.size("removed_spans") > 0
     left = cut.where(~touched | (F.octet_length("kept_text") > 0))
     text = F.when(touched, F.col("kept_text")).otherwise(F.col("text"))
