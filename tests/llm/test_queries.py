@@ -143,7 +143,7 @@ def test_pipeline_equals_plain_stages(spark, docs):
     least = linked(kept)
     kept = {i: t for i, t in kept.items() if least[i] == i}
     ids = sorted(kept)
-    cut = without_repeats([kept[i].encode() for i in ids], 400)
+    cut = without_repeats([kept[i].encode() for i in ids], corpus_pipeline.PASSAGE)
     kept = {i: (raw.decode("utf-8", "ignore") if runs else kept[i]) for i, (runs, raw) in zip(ids, cut, strict=True) if not runs or raw}
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaking = {i for i, t in kept.items() if any(x in t for x in items)}
@@ -164,3 +164,21 @@ def test_stages_take_odd_rows(spark):
             assert docs_out.count() <= docs.count()
         tokens = corpus_pipeline.tokens(spark, docs, SF)
         assert tokens.count() == docs.count()
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    rng = np.random.default_rng(51)
+    letters = np.array(list("abcdefghijklmnoprstuvw"))
+
+    def prose(n):
+        return " ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(n))
+
+    shared = [prose(51) for _ in range(40)]
+    texts = [f"{prose(30)} {shared[i % 40]} {prose(30)}" for i in range(120)] + [prose(90) for _ in range(20)]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    long = [p for p in shared if len(p) >= corpus_pipeline.PASSAGE]
+    assert len(long) >= 38 and set(kept) == set(range(140))
+    assert not [i for i, t in kept.items() if i < 120 and shared[i % 40] in long and shared[i % 40][5:-5] in t]
+    assert all(kept[i] == texts[i] for i in range(120, 140))
