@@ -229,8 +229,13 @@ def nearest_vectors(
     layout = [(w, _strips(q, w, 1, strip_cells), _strips(n, w, slots, strip_cells)) for w, q, n in _widths(rows)]
     if not layout:
         layout = [(0, 1, 1)]
-    strips = spark.createDataFrame(layout, "width int, query_strips int, candidate_strips int")
-    rows = rows.withColumn("width", F.size("vector")).join(strips, "width")
+    # a table of one entry for each width, in the plan: joined by width, all rows would share a key
+    widths = F.size("vector")
+    strips = {
+        name: F.element_at(F.create_map(*[F.lit(v) for entry in layout for v in (entry[0], entry[at])]), widths).alias(name)
+        for at, name in ((1, "query_strips"), (2, "candidate_strips"))
+    }
+    rows = rows.select("*", widths.alias("width"), *strips.values())
 
     def own(strips: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(strips), "key"), F.col(strips)).cast("int")
