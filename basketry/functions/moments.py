@@ -47,3 +47,13 @@ def row_stat(columns: Sequence[str], stat: str) -> Column:
         raw = F.try_divide(central(4) * scale, m2 * m2)
         return F.coalesce(raw - shift, F.lit(0.0))
     raise ValueError(f"unknown statistic {stat!r}")
+
+
+def exact_sum(value: Column) -> Column:
+    """Aggregate: the sum of a double column as decimals with 18 places, so that it does not depend on the order of adding
+    up.  Columns that do not fit (no number, beyond 10**20, or nothing over a thousandth) are added up as doubles.
+    """
+    whole = value.try_cast("decimal(38,18)")
+    total = F.try_sum(whole).cast("double")
+    fits = (F.count(whole) == F.count(value)) & (F.max(F.abs(value)) >= 1e-3) & total.isNotNull()
+    return F.when(fits, total).otherwise(F.sum(value))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.config import ItemSet, LedgerSpec
+from basketry.functions.moments import exact_sum
 from basketry.functions.quantiles import exact_quantiles
 
 
@@ -19,15 +20,10 @@ def _quantile_of(stat: str) -> float | None:
     return None
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean that does not depend on the order of adding up: numbers are added with six decimal places."""
-    return F.sum(value.cast("decimal(28,6)")).cast("double") / F.count(value)
-
-
 def _moment(stat: str, feature: str, kind: str) -> Column:
     if stat in ("mean", "nanmean"):
         # whole numbers add up exactly as they are
-        return exact_mean(F.col(feature)) if kind in ("double", "float") else F.avg(feature)
+        return exact_sum(F.col(feature)) / F.count(feature) if kind in ("double", "float") else F.avg(feature)
     if stat in ("std", "nanstd"):
         return F.stddev_samp(feature)
     raise ValueError(f"unknown statistic {stat!r}")

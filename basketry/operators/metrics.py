@@ -43,12 +43,18 @@ def client_actuals(ledger: DataFrame, spec: LedgerSpec, t: int) -> DataFrame:
 
 
 def client_ndcg(
-    ranking: DataFrame, ledger: DataFrame, spec: LedgerSpec, t: int, distinct: bool = False, keep: Sequence[str] = ()
+    ranking: DataFrame,
+    ledger: DataFrame,
+    spec: LedgerSpec,
+    t: int,
+    distinct: bool = False,
+    keep: Sequence[str] = (),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """(chid, ndcg) for clients with a ranking and a legit purchase of non-zero amount in period t.
 
     A predicted item that was not bought counts 0.  A ranking that repeats an item counts it every time unless
-    ``distinct``.  A client with several ranking rows is scored once, by the least of them.
+    ``distinct``.  A client with several ranking rows is scored once, by the least of them, or once per ``by``.
     """
     actual = client_actuals(ledger, spec, t).filter(F.col("ideal") > 0)
     gains = []
@@ -58,9 +64,9 @@ def client_ndcg(
             seen = reduce(lambda a, b: a | b, [F.col(name) == F.col(p) for p in TOPS[:i]])
             gain = F.when(F.coalesce(seen, F.lit(False)), F.lit(0.0)).otherwise(gain)
         gains.append(gain)
-    rankings = ranking.groupBy("chid").agg(F.min(F.struct(*TOPS, *keep)).alias("_r")).select("chid", "_r.*")
+    rankings = ranking.groupBy("chid", *by).agg(F.min(F.struct(*TOPS, *keep)).alias("_r")).select("chid", *by, "_r.*")
     joined = rankings.join(actual, "chid")
-    return joined.select("chid", *keep, (_gain(gains) / F.col("ideal")).alias("ndcg"))
+    return joined.select("chid", *by, *keep, (_gain(gains) / F.col("ideal")).alias("ndcg"))
 
 
 def mean_ndcg(per_client: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ clients a pool has; the number of pools, where none is named, grows with the cli
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +57,11 @@ def slice_of(n_slices: Column, seed: int = 0) -> Column:
     return F.pmod(key_hash(F.col("chid"), seed + SLICE_SEED), n_slices).cast("int")
 
 
-def candidate_pools(clients: DataFrame, n_pools: int | Column, n_candidates: int, seed: int = 0) -> DataFrame:
-    """(chid, pool) of the candidates: the first ``n_candidates`` clients of a pool in hash order.
+def candidate_pools(
+    clients: DataFrame, n_pools: int | Column, n_candidates: int, seed: int = 0, rank: str | None = None
+) -> DataFrame:
+    """(chid, pool) of the candidates: the first ``n_candidates`` clients of a pool in hash order, with their ``rank``
+    (from 1) on request.
 
     Ranked in two steps, first within slices of a pool, so no task ranks a whole pool.
     """
@@ -70,7 +75,8 @@ def candidate_pools(clients: DataFrame, n_pools: int | Column, n_candidates: int
     in_slice = F.row_number().over(Window.partitionBy("pool", "_slice").orderBy(*order))
     in_pool = F.row_number().over(Window.partitionBy("pool").orderBy(*order))
     kept = ranked.withColumn("_r", in_slice).filter(F.col("_r") <= n_candidates)
-    return kept.withColumn("_r", in_pool).filter(F.col("_r") <= n_candidates).select("chid", "pool")
+    kept = kept.withColumn("_r", in_pool).filter(F.col("_r") <= n_candidates)
+    return kept.select("chid", "pool", *([F.col("_r").alias(rank)] if rank else []))
 
 
 def item_arrays(vectors: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
@@ -88,58 +94,163 @@ def open_arrays(arrays: DataFrame, spec: LedgerSpec, value: str) -> DataFrame:
     )
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    top = m.max(axis=1, keepdims=True)
+    return np.divide(m, top, out=np.zeros_like(m), where=top != 0)
+
+
+def _distances(own: np.ndarray, pool: np.ndarray, measure: str) -> np.ndarray:
+    # undefined distances are the largest finite number, so they rank last
+    own_sq, pool_sq = (own * own).sum(axis=1)[:, None], (pool * pool).sum(axis=1)[None, :]
+    dot = own @ pool.T
+    if measure == "ed":
+        return np.maximum(own_sq + pool_sq - 2.0 * dot, 0.0)
+    norms = np.sqrt(own_sq) * np.sqrt(pool_sq)
+    return np.divide(-dot, norms, out=np.full_like(dot, np.finfo(np.float64).max), where=norms > 0)
+
+
+def _nearest(far: np.ndarray, mine: np.ndarray, k: int) -> np.ndarray:
+    # mask of the k nearest: all below the k-th distance, then ties in id order (candidates are sorted by id)
+    far = np.where(mine, np.inf, far)
+    edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+    nearer, tied = far < edge, far == edge
+    room = k - nearer.sum(axis=1, keepdims=True)
+    return (nearer | (tied & (np.cumsum(tied, axis=1) <= room))) & ~mine
+
+
+def _neighbor_means(
+    own: np.ndarray, pool: np.ndarray, mine: np.ndarray, k: int | None, far: Callable[[], np.ndarray], normalize: bool
+) -> np.ndarray:
+    """Mean vector of the k nearest of a pool, or of all others; ``far`` gives the distances."""
+    parts = _scaled(pool) if normalize else pool
+    if k is None or k >= len(pool):
+        # all other candidates: their sum without the own part
+        inside = mine.any(axis=1, keepdims=True)
+        others = parts.sum(axis=0) - np.where(inside, _scaled(own) if normalize else own, 0.0)
+        return others / np.maximum(len(pool) - inside, 1) * (len(pool) > inside)
+    chosen = _nearest(far(), mine, k).astype(np.float64)
+    return (chosen @ parts) / np.maximum(chosen.sum(axis=1, keepdims=True), 1)
+
+
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    return table[column].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+
+
+def _arrays(chids: pa.ChunkedArray, rows: np.ndarray) -> pa.Table:
+    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.table({"chid": chids, "vec": pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))})
+
+
 def _blender(k: int | None, alpha: float, measure: str, normalize: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The task side of one slice of a pool; self-contained, so workers need numpy and pyarrow only."""
-
-    def distances(own: np.ndarray, pool: np.ndarray) -> np.ndarray:
-        # undefined distances are the largest finite number, so they rank last
-        own_sq, pool_sq = (own * own).sum(axis=1)[:, None], (pool * pool).sum(axis=1)[None, :]
-        dot = own @ pool.T
-        if measure == "ed":
-            return np.maximum(own_sq + pool_sq - 2.0 * dot, 0.0)
-        norms = np.sqrt(own_sq) * np.sqrt(pool_sq)
-        return np.divide(-dot, norms, out=np.full_like(dot, np.finfo(np.float64).max), where=norms > 0)
-
-    def scaled(m: np.ndarray) -> np.ndarray:
-        top = m.max(axis=1, keepdims=True)
-        return np.divide(m, top, out=np.zeros_like(m), where=top != 0)
-
-    def choose(own: np.ndarray, pool: np.ndarray, mine: np.ndarray) -> np.ndarray:
-        # mask of the k nearest: all below the k-th distance, then ties in id order (candidates are sorted by id)
-        far = np.where(mine, np.inf, distances(own, pool))
-        edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
-        nearer, tied = far < edge, far == edge
-        room = k - nearer.sum(axis=1, keepdims=True)
-        return (nearer | (tied & (np.cumsum(tied, axis=1) <= room))) & ~mine
-
-    def means(own: np.ndarray, pool: np.ndarray, mine: np.ndarray) -> np.ndarray:
-        parts = scaled(pool) if normalize else pool
-        if k is None or k >= len(pool):
-            # all other candidates: their sum without the own part
-            inside = mine.any(axis=1, keepdims=True)
-            others = parts.sum(axis=0) - np.where(inside, scaled(own) if normalize else own, 0.0)
-            return others / np.maximum(len(pool) - inside, 1) * (len(pool) > inside)
-        chosen = choose(own, pool, mine).astype(np.float64)
-        return (chosen @ parts) / np.maximum(chosen.sum(axis=1, keepdims=True), 1)
-
-    def matrix(table: pa.Table, column: str) -> np.ndarray:
-        return table[column].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+    """The task side of one slice of a pool."""
 
     def blend(owners: pa.Table, candidates: pa.Table) -> pa.Table:
-        chids, wide = owners["chid"].to_numpy(), matrix(owners, "vec") if len(owners) else np.zeros((0, 1))
-        out = alpha * (scaled(wide) if normalize else wide)
+        chids, wide = owners["chid"].to_numpy(), _matrix(owners, "vec") if len(owners) else np.zeros((0, 1))
+        out = alpha * (_scaled(wide) if normalize else wide)
         if len(candidates) and len(owners):
             candidates = candidates.sort_by("cand_chid")
-            ids, pool = candidates["cand_chid"].to_numpy(), matrix(candidates, "cand_vec")
+            ids, pool = candidates["cand_chid"].to_numpy(), _matrix(candidates, "cand_vec")
             for at in range(0, len(chids), 4096):
                 rows = slice(at, at + 4096)
-                out[rows] += (1.0 - alpha) * means(wide[rows], pool, np.equal.outer(chids[rows], ids))
-        offsets = pa.array(np.arange(len(chids) + 1, dtype=np.int32) * wide.shape[1])
-        return pa.table({"chid": owners["chid"], "vec": pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))})
+                mine = np.equal.outer(chids[rows], ids)
+                far = partial(_distances, wide[rows], pool, measure)
+                out[rows] += (1.0 - alpha) * _neighbor_means(wide[rows], pool, mine, k, far, normalize)
+        return _arrays(owners["chid"], out)
+
+    return blend
+
+
+@dataclass(frozen=True)
+class GridPoint:
+    """One way to blend: which of the vectors of a client, how many candidates, neighbours, weight, measure."""
+
+    vector: int
+    n_candidates: int
+    k: int | None
+    alpha: float
+    measure: str
+
+
+def _grid_blender(points: Sequence[GridPoint], n_items: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The task side of one slice of a pool for all points: distances are found once for all k and alpha, and for fewer
+    candidates are those of the first ones.
+    """
+
+    def blend(owners: pa.Table, candidates: pa.Table) -> pa.Table:
+        chids = owners["chid"].to_numpy()
+        wide = _matrix(owners, "vec") if len(owners) else np.zeros((0, n_items))
+        out = np.zeros((len(chids), len(points) * n_items))
+        cells = [slice(i * n_items, (i + 1) * n_items) for i in range(len(points))]
+        for cell, p in zip(cells, points, strict=True):
+            out[:, cell] = p.alpha * wide[:, p.vector * n_items : (p.vector + 1) * n_items]
+        if not len(candidates) or not len(owners):
+            return _arrays(owners["chid"], out)
+        candidates = candidates.sort_by("cand_chid")
+        ids, ranks, every = candidates["cand_chid"].to_numpy(), candidates["cand_rank"].to_numpy(), _matrix(candidates, "cand_vec")
+        for at in range(0, len(chids), 2048):
+            rows = slice(at, at + 2048)
+            mine = np.equal.outer(chids[rows], ids)
+            for vector, measure in sorted({(p.vector, p.measure) for p in points}):
+                part = slice(vector * n_items, (vector + 1) * n_items)
+                own, pool = wide[rows, part], every[:, part]
+                far = _distances(own, pool, measure)
+                means: dict[tuple[int, int | None], np.ndarray] = {}
+                for cell, p in zip(cells, points, strict=True):
+                    if (p.vector, p.measure) != (vector, measure):
+                        continue
+                    if (p.n_candidates, p.k) not in means:
+                        first = ranks <= p.n_candidates
+                        near = _neighbor_means(own, pool[first], mine[:, first], p.k, partial(far.__getitem__, (slice(None), first)), False)
+                        means[p.n_candidates, p.k] = near
+                    out[rows, cell] += (1.0 - p.alpha) * means[p.n_candidates, p.k]
+        return _arrays(owners["chid"], out)
 
     return blend
 
 
+def grid_blend(
+    vectors: DataFrame,
+    clients: DataFrame,
+    spec: LedgerSpec,
+    values: Sequence[str],
+    points: Sequence[GridPoint],
+    n_pools: int | None = None,
+    seed: int = 0,
+) -> DataFrame:
+    """:func:`neighbor_blend` at many points in one pass: rows (chid, point, tag, value), point by its place in ``points``.
+
+    A client's vectors (one per column of ``values``) travel as one array, and every slice of a pool meets its candidates
+    once for all points.  Points share the pools, so all have to ask for the same number of them.
+    """
+    if any(p.measure not in ("cos", "ed") for p in points):
+        raise ValueError("measure is cos or ed")
+    if any(p.k is not None and p.k > p.n_candidates for p in points):
+        raise ValueError("k exceeds the number of candidates")
+    most = max(p.n_candidates for p in points)
+    if n_pools is None and len({max(POOL_CLIENTS, 2 * p.n_candidates) for p in points}) > 1:
+        raise ValueError("points with so many candidates have pools of their own; name n_pools, or search them apart")
+    count = pools(clients, n_pools, most)
+    wide = vectors.groupBy("chid").pivot("tag", list(spec.items)).agg(*[F.max(F.col(v).cast("double")).alias(v) for v in values])
+    cell = "`{t}_{v}`" if len(values) > 1 else "`{t}`"
+    cells = ", ".join(f"coalesce({cell.format(t=t, v=v)}, 0D)" for v in values for t in spec.items)
+    pooled = wide.select("chid", F.expr(f"array({cells})").alias("vec")).withColumn("pool", pool_of(count, seed))
+    pooled = pooled.withColumn("slices", slice_count(clients, count))
+    members = candidate_pools(clients, count, most, seed, rank="rank")
+    candidates = pooled.join(members.select("chid", "rank"), "chid")
+    candidates = candidates.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    candidates = candidates.select(*[F.col(c).alias(f"cand_{c}") for c in ("chid", "vec", "pool", "slice", "rank")])
+    blended = (
+        pooled.select("chid", "vec", "pool", slice_of(F.col("slices"), seed).alias("slice"))
+        .groupBy("pool", "slice")
+        .cogroup(candidates.groupBy("cand_pool", "cand_slice"))
+        .applyInArrow(_grid_blender(list(points), len(spec.items)), "chid long, vec array<double>")
+    )
+    tags = F.array(*[F.lit(t) for t in spec.items])
+    opened = blended.select("chid", F.posexplode("vec").alias("_at", "value"))
+    place = F.floor(F.col("_at") / len(spec.items)).cast("int")
+    return opened.select("chid", place.alias("point"), F.get(tags, F.col("_at") % len(spec.items)).alias("tag"), "value")
+
+
 def neighbor_blend(
     vectors: DataFrame,
     clients: DataFrame,

@@ -18,11 +18,11 @@ from basketry.operators.filters import label_index
 TOPS = tuple(f"top{i}" for i in range(1, TOP_N + 1))
 
 
-def top_items(rows: DataFrame, order: Sequence[Column], value: str = "tag") -> DataFrame:
-    """First three rows per client in the given order, as (chid, top1, top2, top3)."""
-    rank = F.row_number().over(Window.partitionBy("chid").orderBy(*order))
+def top_items(rows: DataFrame, order: Sequence[Column], value: str = "tag", by: Sequence[str] = ()) -> DataFrame:
+    """First three rows per client (and ``by``) in the given order, as (chid, top1, top2, top3)."""
+    rank = F.row_number().over(Window.partitionBy("chid", *by).orderBy(*order))
     kept = rows.withColumn("_r", rank).filter(F.col("_r") <= TOP_N)
-    return kept.groupBy("chid").agg(
+    return kept.groupBy("chid", *by).agg(
         *[F.max(F.when(F.col("_r") == i, F.col(value))).alias(name) for i, name in enumerate(TOPS, 1)]
     )
 
@@ -82,21 +82,22 @@ def rank_by_vector(
     value: str,
     start: int,
     stop: int,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rank by a predicted item vector over all items.
+    """Rank by a predicted item vector over all items, one ranking per client and ``by``.
 
     k is the client's mean number of items per active period in [start, stop), rounded half to even.  The k best items
     come first, by mean amount; the others follow by score.  Only legit items are returned.
     """
     k = mean_items_per_period(ledger, clients, start, stop).select("chid", F.bround("mean_items").alias("_k"))
     amounts = mean_amounts(ledger, start, stop, spec.amount)
-    score_rank = F.row_number().over(Window.partitionBy("chid").orderBy(F.col(value).desc(), F.col("tag").desc()))
-    ranked = vectors.select("chid", "tag", score_rank.alias("_rank"))
+    score_rank = F.row_number().over(Window.partitionBy("chid", *by).orderBy(F.col(value).desc(), F.col("tag").desc()))
+    ranked = vectors.select("chid", *by, "tag", score_rank.alias("_rank"))
     rows = ranked.join(k, "chid").join(amounts, ["chid", "tag"], "left")
     late = F.col("_rank") > F.col("_k")
     amount = F.when(~late, F.coalesce("mean_amt", F.lit(0.0)))
     return top_items(
-        rows.filter(F.col("tag").isin(*spec.legit)), [late, amount.desc_nulls_last(), F.col("_rank")]
+        rows.filter(F.col("tag").isin(*spec.legit)), [late, amount.desc_nulls_last(), F.col("_rank")], by=by
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from basketry.config import PSEUDO_ZERO, Decay, ItemSet, LedgerSpec, trailing
 from basketry.functions.decay import decay_weight
+from basketry.functions.moments import exact_sum
 from basketry.operators import behavior as beh
 from basketry.operators.filters import sample_rows
 from basketry.operators.groupstats import (
@@ -122,9 +123,7 @@ def _mean_over_rows(stats: DataFrame, rows: DataFrame, keys: Sequence[str], valu
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     known = stats.join(sizes, list(keys))
     means = [
-        F.try_divide(
-            F.sum((F.col(v) * F.col("_n")).cast("decimal(32,6)")).cast("double"), F.sum(F.when(F.col(v).isNotNull(), F.col("_n")))
-        ).alias(v)
+        F.try_divide(exact_sum(F.col(v) * F.col("_n")), F.sum(F.when(F.col(v).isNotNull(), F.col("_n")))).alias(v)
         for v in values
     ]
     return known.agg(F.struct(*means).alias("m")).scalar()

@@ -14,7 +14,7 @@ from basketry.config import Decay, LedgerSpec
 from basketry.operators import models as ml
 from basketry.operators.decayed import decayed_purchases
 from basketry.operators.metrics import client_ndcg, mean_ndcg
-from basketry.operators.neighbors import neighbor_blend
+from basketry.operators.neighbors import GridPoint, grid_blend
 from basketry.operators.ranking import rank_by_probability, rank_by_vector
 from basketry.operators.weights import active_weights, label_weights
 from basketry.operators.labels import label_rows
@@ -153,27 +153,24 @@ def vector_grid(
 
 
 def search_vectors(src: Sources, t_end: int, grid: Sequence[VectorParams], n_pools: int | None = None) -> DataFrame:
-    """Mean NDCG of the vector ranking at every grid point."""
-    parts = []
-    for p in grid:
-        own = decayed_purchases(src.ledger, src.clients, src.spec, t_end, {"v": p.decay}, "all")
-        vectors = neighbor_blend(own, src.clients, src.spec, "v", p.n_candidates, p.k, p.alpha, p.measure, n_pools)
-        ranking = rank_by_vector(vectors, src.ledger, src.clients, src.spec, "v", 1, t_end + 1)
-        score = mean_ndcg(client_ndcg(ranking, src.ledger, src.spec, t_end + src.spec.horizon))
-        parts.append(
-            score.select(
-                F.lit(p.decay.gp_size).alias("gp_size"),
-                F.lit(p.decay.decay_g).alias("decay_g"),
-                F.lit(p.decay.decay_b).alias("decay_b"),
-                F.lit(p.alpha).alias("alpha"),
-                F.lit(p.measure).alias("measure"),
-                F.lit(p.k).alias("k"),
-                F.lit(p.n_candidates).alias("n_candidates"),
-                "n_clients",
-                "ndcg",
-            )
-        )
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.unionByName(q)
-    return out
+    """Mean NDCG of the vector ranking at every grid point, in one job.
+
+    All decays are aggregated together, every pool is compared once for all points, and rankings and their scores are
+    grouped by point; the ledger is read as often for a grid as for one point.
+    """
+    decays = list(dict.fromkeys(p.decay for p in grid))
+    names = {d: f"v{i}" for i, d in enumerate(decays)}
+    own = decayed_purchases(src.ledger, src.clients, src.spec, t_end, {names[d]: d for d in decays}, "all")
+    points = [GridPoint(decays.index(p.decay), p.n_candidates, p.k, p.alpha, p.measure) for p in grid]
+    vectors = grid_blend(own, src.clients, src.spec, list(names.values()), points, n_pools)
+    ranking = rank_by_vector(vectors, src.ledger, src.clients, src.spec, "value", 1, t_end + 1, ("point",))
+    scored = client_ndcg(ranking, src.ledger, src.spec, t_end + src.spec.horizon, by=("point",))
+    found = scored.groupBy("point").agg(F.count("*").alias("n_clients"), F.avg("ndcg").alias("ndcg"))
+    rows = [
+        (i, p.decay.gp_size, float(p.decay.decay_g), float(p.decay.decay_b), float(p.alpha), p.measure, p.k, p.n_candidates)
+        for i, p in enumerate(grid)
+    ]
+    named = src.ledger.sparkSession.createDataFrame(
+        rows, "point int, gp_size int, decay_g double, decay_b double, alpha double, measure string, k int, n_candidates int"
+    )
+    return named.join(found, "point", "left").drop("point").na.fill(0, subset=["n_clients"])

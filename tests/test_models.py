@@ -75,7 +75,7 @@ def test_rounds_of_the_refit():
         ml.final_rounds(100, 1)
 
 
-@pytest.mark.parametrize("name,rows", [("p01_temporal_folds", 2), ("p12_sweep", 2), ("k06_vector_grid", 4)])
+@pytest.mark.parametrize("name,rows", [("p01_temporal_folds", 2), ("p12_sweep", 6), ("k06_vector_grid", 4)])
 def test_scored_tables(spark, name, rows):
     got = REGISTRY[name].run(spark, SF).collect()
     assert len(got) == rows

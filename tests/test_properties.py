@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.config import Decay
 from basketry.functions.hashing import key_fraction, key_hash
+from basketry.functions.moments import exact_sum
 from basketry.functions.quantiles import exact_quantiles
 from basketry.operators import behavior as beh
 from basketry.operators import decayed as dec
@@ -304,3 +305,20 @@ def test_ledgers_of_many_periods(make_ledger, make_clients, t_end):
             assert (got[c].gap_since_first, got[c].gap_since_last) == (t_end - periods[0], t_end - periods[-1])
         if len(periods) > 1:
             assert got[c].avg_gap == pytest.approx(np.mean(np.diff(periods) - 1))
+
+
+@pytest.mark.parametrize(
+    "values",
+    [[0.1] * 7 + [1e15, -1e15, 0.3], [1e-9, 3e-9, 5e-9], [1e300, 2.0], [float("nan"), 1.0], [None, 2.5], [None, None]],
+    ids=["cancelling", "tiny", "huge", "nan", "null", "nothing"],
+)
+def test_sums_do_not_depend_on_the_order(spark, values):
+    frames = [spark.createDataFrame([(v,) for v in vs], "v double").repartition(n) for vs in (values, values[::-1]) for n in (1, 3)]
+    got = [df.agg(exact_sum(F.col("v")).alias("s")).first().s for df in frames]
+    known = [v for v in values if v is not None]
+    if not known:
+        assert got == [None] * 4
+    elif values[0] == 0.1:
+        assert got == [1.0] * 4
+    else:
+        assert got == pytest.approx([float(np.sum(known))] * 4, rel=1e-12, nan_ok=True)
