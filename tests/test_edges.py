@@ -103,8 +103,10 @@ def test_item_sets():
 def test_long_ledgers(make_ledger):
     long = LedgerSpec(n_periods=80, items=(1, 2), legit=(1,), amount="amt")
     assert long.n_periods == 80
-    with pytest.raises(ValueError, match="renumber"):
-        beh.history(make_ledger([(1, 70, 2)]), 70)
+    (row,) = beh.history(make_ledger([(1, 70, 2), (1, 3, 2)]), 70).collect()
+    assert (row.first_dt, row.last_dt, row.months0, row.months1) == (3, 70, 1 << 2, 1 << (70 - 62 - 1))
+    with pytest.raises(ValueError):
+        beh.history(make_ledger([(1, 70, 2)]), 0)
 
 
 def test_rankings_of_a_repeated_client_do_not_depend_on_order(spark, make_ledger, spec):
