@@ -119,3 +119,14 @@ def test_a_prediction_store_is_added_to(spark, tmp_path):
     plan = files.read_predictions(spark, path, "oof", [("a", 1)])._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
     assert files.stored_versions(spark, path).count() == 4
+
+
+def test_a_bucket_does_not_grow_with_the_sources(spark):
+    """One task sorts and groups a bucket, so 6 GiB of sources have more buckets, not larger ones."""
+    counts = []
+    for size in (1 << 30, 6 << 30):
+        t = Tables(spark, SF)
+        t.__dict__["_state"] = ("grown", size)
+        counts.append(t.bucket_count)
+        assert size / t.bucket_count <= 16 << 20
+    assert counts[1] == 6 * counts[0]
