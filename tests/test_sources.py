@@ -130,3 +130,19 @@ def test_a_bucket_does_not_grow_with_the_sources(spark):
         counts.append(t.bucket_count)
         assert size / t.bucket_count <= 16 << 20
     assert counts[1] == 6 * counts[0]
+
+
+def test_tables_are_prepared_in_small_partitions(spark):
+    """While a table is prepared its shuffles have partitions of a fixed size; the session's settings come back."""
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before, seen = [spark.conf.get(k, None) for k in keys], []
+    t = Tables(spark, SF, buckets=3)
+    t.__dict__["_state"] = ("partitions", 60 << 30)
+
+    def build(orders):
+        seen.extend(int(spark.conf.get(k)) for k in keys)
+        return orders.groupBy("o_custkey").count().withColumnRenamed("o_custkey", "chid")
+
+    assert t._prepared("probe", ("orders",), build).count() > 0
+    assert seen[0] <= 16 << 20 and seen[0] * seen[1] >= 60 << 30
+    assert [spark.conf.get(k, None) for k in keys] == before
