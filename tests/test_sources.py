@@ -146,3 +146,14 @@ def test_tables_are_prepared_in_small_partitions(spark):
     assert t._prepared("probe", ("orders",), build).count() > 0
     assert seen[0] <= 16 << 20 and seen[0] * seen[1] >= 60 << 30
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_lines_meet_their_parts_first(spark):
+    """Lines go to their parts, then with the item to their orders: the second join moves no part key."""
+    t = Tables(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = orders_ledger(t.table("lineitem"), t.table("orders"), t.table("part"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("hashpartitioning(l_orderkey") < plan.index("hashpartitioning(l_partkey")
