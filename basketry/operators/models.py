@@ -9,13 +9,14 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.config import LedgerSpec
 
 ALGORITHMS = ("lr", "rf", "gbt")
 SEEDS = (8, 168, 88, 888, 2022)  # fixed values: seeds of the refits
+CLASSES_AT_ONCE = 4  # classes trained side by side one against the rest; each holds its own copy of the binned rows
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -40,12 +41,13 @@ def train(
     trees: int = 20,
     seed: int = 168,
     valid: DataFrame | None = None,
+    stages: Sequence[Transformer] | None = None,
 ) -> PipelineModel:
     """A multi-class model with row weights.
 
     ``lr`` is multinomial regression, ``rf`` a forest, ``gbt`` boosted trees one against the rest; with ``valid`` rows the
     boosted trees stop early on them.  Missing numbers take the mean of the training rows and unknown or missing strings a
-    code of their own; both are part of the model.
+    code of their own; both are part of the model.  ``stages`` are the :func:`encoders` of the same rows, if they are known.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm is one of {ALGORITHMS}")
@@ -60,7 +62,7 @@ def train(
         data = data.withColumn("is_valid", F.lit(False)).unionByName(
             valid.withColumn("is_valid", F.lit(True)).select(*data.columns, "is_valid")
         )
-    stages = encoders(data, features)
+    stages = encoders(data, features) if stages is None else stages
     assembled = with_label_metadata(data, len(spec.legit))
     for stage in stages:
         assembled = stage.transform(assembled)
@@ -72,7 +74,7 @@ def train(
         boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed)
         if valid is not None:
             boosted = boosted.setValidationIndicatorCol("is_valid")
-        learner = OneVsRest(classifier=boosted, weightCol=weight)
+        learner = OneVsRest(classifier=boosted, weightCol=weight, parallelism=CLASSES_AT_ONCE)
     return PipelineModel([*stages, learner.fit(assembled)])
 
 
@@ -190,13 +192,14 @@ def validation_curve(
     algorithm: str = "lr",
     rounds: int = 20,
     steps: Sequence[int] | None = None,
+    fitted: dict[int, PipelineModel] | None = None,
     **params,
 ) -> DataFrame:
     """Weighted log loss of the validation rows after each round of training: rows (round, loss).
 
     Trees are trained once with ``rounds`` rounds, and all rounds are scored in one pass, as the first trees of an ensemble
     are those of a shorter training.  A regression is trained anew for each of ``steps`` iterations (all up to ``rounds``).
-    Both sides have a ``weight``, or count 1 each.
+    Both sides have a ``weight``, or count 1 each.  ``fitted`` takes the models that were trained, by their rounds.
     """
     if "weight" not in data.columns:
         data = data.withColumn("weight", F.lit(1.0))
@@ -205,12 +208,17 @@ def validation_curve(
     if algorithm != "lr":
         size = {"trees": rounds} if algorithm == "rf" else {"rounds": rounds}
         model = train(data, spec, algorithm, weight="weight", **size, **params)
+        if fitted is not None:
+            fitted[rounds] = model
         scored, probability, most = _true_by_tree(model, _assembled(model, valid, len(spec.legit)))
         each = scored.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(most))))
         return each.groupBy("round").agg(_loss(probability))
     parts = []
+    stages = encoders(data, params.get("features") or feature_columns(data))
     for r in steps or range(1, rounds + 1):
-        model = train(data, spec, "lr", weight="weight", rounds=r, **params)
+        model = train(data, spec, "lr", weight="weight", rounds=r, stages=stages, **params)
+        if fitted is not None:
+            fitted[r] = model
         scored = model.transform(valid.withColumn("label", F.col("label").cast("double")))
         found = F.coalesce(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0))
         parts.append(scored.agg(_loss(found)).select(F.lit(r).alias("round"), "loss"))
@@ -222,10 +230,12 @@ def best_rounds(curves: DataFrame) -> int:
     that a fold did not reach do not count.
     """
     folds = curves.groupBy("round").agg(F.avg("loss").alias("loss"), F.count("loss").alias("n"))
-    top = folds.agg(F.max("n")).first()[0]
-    if not top:
+    # one job, as each scores the validation rows anew
+    top = F.max("n").over(Window.partitionBy(F.lit(0)))
+    best = folds.withColumn("_top", top).where((F.col("n") == F.col("_top")) & (F.col("n") > 0)).orderBy("loss", "round").first()
+    if best is None:
         raise ValueError("no round has a loss")
-    return folds.where(F.col("n") == top).orderBy("loss", "round").first()["round"]
+    return best["round"]
 
 
 def cross_validated_rounds(data: DataFrame, spec: LedgerSpec, folds: int, algorithm: str = "lr", **params) -> int:

@@ -57,3 +57,33 @@ def test_cross_validated_rounds(rows, spec):
         curves.append({n: loss_of(ml.train(inside, spec, "lr", weight="weight", rounds=n), outside, spec) for n in (1, 3, 9)})
     want = min((1, 3, 9), key=lambda n: (curves[0][n] + curves[1][n], n))
     assert ml.cross_validated_rounds(data, spec, 2, "lr", steps=(1, 3, 9)) == want
+
+
+def test_curves_are_scored_once(spark):
+    """Choosing a round scores the validation rows in one job, not once for the folds and once for the best."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def loss(r):
+        seen.add(1)
+        return abs(r - 3) / 10
+
+    curves = spark.range(1, 6).select(F.col("id").cast("int").alias("round"), F.udf(loss, "double")("id").alias("loss"))
+    assert ml.best_rounds(curves) == 3
+    assert seen.value == 5
+
+
+@pytest.mark.parametrize("algorithm,steps", [("lr", (1, 3)), ("rf", None), ("gbt", None)])
+def test_models_of_a_curve_are_those_of_a_training(spark, spec, algorithm, steps):
+    rows = [(i, float(i % 7), float(i * i % 11), i % 3) for i in range(90)]
+    data = spark.createDataFrame(rows, "chid long, x double, y double, label int")
+    fitted = {}
+    params = {} if algorithm == "lr" else {"depth": 2}
+    ml.validation_curve(data, data, spec, algorithm, 2, steps=steps, fitted=fitted, **params).collect()
+    assert sorted(fitted) == sorted(steps or (2,))
+    for rounds, model in fitted.items():
+        size = {"trees" if algorithm == "rf" else "rounds": rounds}
+        alone = ml.train(data, spec, algorithm, **size, **params)
+        got, want = (
+            {(r.chid, r.tag): r.prob for r in ml.predict(m, data, spec).collect()} for m in (model, alone)
+        )
+        assert got == pytest.approx(want)
