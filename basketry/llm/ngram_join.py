@@ -4,7 +4,8 @@ Documents with equal shingle sets are one class; only classes are joined.  The s
 first (by counts over all documents in a table of fixed size, then by hash), and two classes can only be similar if they
 share a shingle within their prefixes.  Rows (shingle, class, set size, position) meet by shingle; candidate pairs pass
 the length filter, the positional filter (what can follow two positions bounds the overlap) and the suffix filter (the
-sets are cut at fixed pivots; differences of the part sizes bound the overlap), and each is verified once on the full sets.
+sets are cut at pivots, the more the larger they are; differences of the part sizes bound the overlap), and each is
+verified once on the full sets.
 
 A group of many near copies would give a quadratic number of pairs.  So the classes that share a shingle are first
 compared with one of them, the leader; then all pairs that share a shingle but are still in different components.  A pair
@@ -31,7 +32,12 @@ from basketry.session import written
 
 #: similarity of at least 75 / 100
 NUM, DEN = 3, 4
-PIVOT_PARTS = 64
+#: a set is cut into the least power of two of parts that hold PART_ITEMS shingles at most on average, LEAST_PARTS at least:
+#: parts of a fixed number would tell large sets apart the less, the larger they are
+PART_ITEMS = 4
+LEAST_PARTS = 64
+#: larger parts count as this
+MOST_IN_PART = 127
 #: a shingle in so many more documents than usual is dealt to SALTS tasks
 HOT_EXCESS = 10_000
 SALTS = 64
@@ -59,6 +65,15 @@ def _sets(part):
     return hashes, counts, set_keys(hashes, counts)
 
 
+def part_sizes(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the parts of each set between its pivots, one after the other, and the numbers of parts."""
+    bits = np.ceil(np.log2(np.maximum(counts / PART_ITEMS, LEAST_PARTS))).astype(np.int64)
+    parts = np.int64(1) << bits
+    owner = np.repeat(np.arange(len(counts)), counts)
+    at = (hashes >> (64 - bits).astype(np.uint64)[owner]).astype(np.int64) + (np.cumsum(parts) - parts)[owner]
+    return np.minimum(np.bincount(at, minlength=int(parts.sum())), MOST_IN_PART), parts
+
+
 def _lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 
@@ -114,41 +129,48 @@ def prefixes(docs: DataFrame, counts: np.ndarray, text: str = "text") -> DataFra
             place = ranks_within(sizes)
             length = sizes - (NUM * sizes + DEN - 1) // DEN + 1
             chosen = order[place < length[owner]]
-            parts = np.bincount(owner * PIVOT_PARTS + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(sizes) * PIVOT_PARTS)
             per = np.where(sizes > 0, length, 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array(sizes, pa.int64()),
-                 _lists(np.minimum(parts, 32767), np.full(len(sizes), PIVOT_PARTS), pa.int16()),
+                 _lists(*part_sizes(hashes, sizes), pa.int8()),
                  _lists(hashes[chosen].view(np.int64), per, pa.int64()),
                  _lists(often[chosen] > usual + HOT_EXCESS, per, pa.bool_())],
                 names=["key", "n", "parts", "prefix", "frequent"],
             ).filter(pa.array(sizes > 0))
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(
-        run, "key long, n long, parts array<smallint>, prefix array<long>, frequent array<boolean>"
+        run, "key long, n long, parts array<tinyint>, prefix array<long>, frequent array<boolean>"
     )
     # copies collapse before anything moves
     return rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "parts", "prefix", "frequent")])
 
 
 def shared_shingles(classes: DataFrame) -> DataFrame:
-    """Written rows (shingle, key, n, pos, leader) of prefix shingles that more than one class has.
+    """Written rows (shingle, key, place, leader) of prefix shingles that more than one class has; leader is (place, key).
 
     The leader is the class in whose prefix the shingle comes first.  An original has no shingles of its own before those
-    it shares with its edited copies, so it leads them.
+    it shares with its edited copies, so it leads them.  These are the most rows that move, so position and set size are
+    one number (pos << 32 | n), and what hardly varies stands first, where it compresses.
     """
     items = classes.select("key", "n", F.posexplode(F.arrays_zip("prefix", "frequent")).alias("pos", "item"))
     salt = F.when(F.col("item.frequent"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    rows = items.select(F.col("item.prefix").alias("shingle"), salt.alias("salt"), "key", "n", "pos")
+    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n"))
+    rows = items.select(salt.alias("salt"), F.col("item.prefix").alias("shingle"), "key", place.alias("place"))
     same = Window.partitionBy("shingle", "salt")
     met = rows.withColumns(
         {
-            "leader": F.min(F.struct("pos", "n", "key")).over(same),
+            "leader": F.min(F.struct("place", "key")).over(same),
             "least": F.min("key").over(same),
             "most": F.max("key").over(same),
         }
     )
-    return written(met.where("least <> most or salt >= 0").select("shingle", "key", "n", "pos", "leader"), "shingles")
+    return written(met.where("least <> most or salt >= 0").select("shingle", "key", "place", "leader"), "shingles")
+
+
+def _placed(place: str, k: str = "") -> list:
+    """Set size and position of a place, as columns n and pos."""
+    n = F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
+    return [n.alias(f"n{k}"), F.shiftright(place, 32).alias(f"pos{k}")]
 
 
 def _fits(n: str, m: str):
@@ -169,11 +191,26 @@ def _reaches(n: str, pos: str, m: str, at: str):
     return F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= _least_overlap(n, m)
 
 
+def _apart(p: str, q: str) -> str:
+    """Sum of the differences of part sizes."""
+    return f"aggregate(zip_with({p}, {q}, (x, y) -> abs(int(x) - int(y))), 0L, (s, x) -> s + x)"
+
+
+def _halved(p: str) -> str:
+    """Part sizes of half as many parts."""
+    both = f"int({p}[int(2 * i)]) + int({p}[int(2 * i + 1)])"
+    return f"transform(sequence(0, int(size({p}) div 2) - 1), i -> least({both}, {MOST_IN_PART}))"
+
+
 def filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Written pairs (a, b) that the length and suffix filters leave."""
+    """Written pairs (a, b) that the length and suffix filters leave.
+
+    Sets that pass the length filter have as many parts, or one has twice as many.
+    """
     one, two = (classes.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("parts").alias(f"p{k}")) for k in "ab")
-    differ = F.aggregate(
-        F.zip_with("pa", "pb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
+    differ = F.expr(
+        f"case when size(pa) > size(pb) then {_apart(_halved('pa'), 'pb')} "
+        f"when size(pa) < size(pb) then {_apart('pa', _halved('pb'))} else {_apart('pa', 'pb')} end"
     )
     kept = pairs.join(one, "a").join(two, "b").where(_fits("na", "nb"))
     return written(kept.where(differ <= F.col("na") + F.col("nb") - 2 * _least_overlap("na", "nb")).select("a", "b"), "pairs")
@@ -210,8 +247,8 @@ def class_links(docs: DataFrame, members: DataFrame, counts: np.ndarray, text: s
     """Written links (a, b) of classes; every pair of similar classes is linked or joined by a path of links."""
     classes = written(prefixes(docs, counts, text), "classes")
     shingles = shared_shingles(classes)
-    led = shingles.select("*", F.col("leader.n").alias("led_n"), F.col("leader.pos").alias("led_pos"))
-    led = led.where((F.col("key") != F.col("leader.key")) & _fits("n", "led_n") & _reaches("n", "pos", "led_n", "led_pos"))
+    led = shingles.select("key", "leader", *_placed("place"), *_placed("leader.place", "_led"))
+    led = led.where((F.col("key") != F.col("leader.key")) & _fits("n", "n_led") & _reaches("n", "pos", "n_led", "pos_led"))
     starred = led.select(F.least("leader.key", "key").alias("a"), F.greatest("leader.key", "key").alias("b")).distinct()
     starred = written(starred, "starred")
     links = written(verified(filtered(starred, classes), docs, members, text), "found")
@@ -221,10 +258,12 @@ def class_links(docs: DataFrame, members: DataFrame, counts: np.ndarray, text: s
     named = written(named.withColumn("component", F.coalesce("component", "key")), "parts")
     open_ = named.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     open_ = named.join(open_.where("x <> y").select("shingle"), "shingle", "left_semi")
-    one, two = (open_.select("shingle", *[F.col(c).alias(c + k) for c in ("key", "n", "pos", "component")]) for k in "ab")
+    one, two = (open_.select("shingle", *[F.col(c).alias(c + k) for c in ("key", "place", "component")]) for k in "ab")
     rest = (
         one.join(two, "shingle")
-        .where((F.col("componenta") < F.col("componentb")) & _fits("na", "nb"))
+        .where("componenta < componentb")
+        .select("keya", "keyb", *_placed("placea", "a"), *_placed("placeb", "b"))
+        .where(_fits("na", "nb"))
         .where(_reaches("na", "posa", "nb", "posb"))
         .select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b"))
         .distinct()

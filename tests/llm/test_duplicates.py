@@ -64,6 +64,35 @@ def test_ngram_join_frequent_shingles(spark, monkeypatch):
     assert got == linked(dict(rows))
 
 
+def test_ngram_join_large_sets_meet_once_filtered(spark):
+    """Long texts that share half of their shingles are told apart by their parts; near copies are not."""
+    r = random.Random(7)
+    half = [f"h{i}" for i in range(2000)]
+    texts = [half + [f"t{k}w{i}" for i in range(2000)] for k in range(6)]
+    texts += [[*t[:-50], *(f"e{r.random()}" for _ in range(50))] for t in texts[:2]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    members, counts = ngram_join.memberships(docs)
+    classes = ngram_join.prefixes(docs, counts)
+    keys = {x["key"]: x["doc_id"] for x in members.collect()}
+    one, two = (classes.select(F.col("key").alias(k)) for k in "ab")
+    left = ngram_join.filtered(one.join(two, F.col("a") < F.col("b")), classes).collect()
+    assert sorted(tuple(sorted((keys[x["a"]], keys[x["b"]]))) for x in left) == [(0, 6), (1, 7)]
+
+
+def test_ngram_join_sets_of_different_parts(spark, monkeypatch):
+    """Near copies on either side of a size where the number of parts doubles, with parts beyond the largest count."""
+    monkeypatch.setattr(ngram_join, "MOST_IN_PART", 5)
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        words = [f"k{k // 6}w{i}" for i in range(r.randrange(215, 300) + 256 * (k // 30))]
+        for _ in range(r.randrange(8)):
+            words[r.randrange(len(words))] = f"e{r.random()}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(docs).collect()} == linked(dict(rows))
+
+
 def test_ngram_join_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (3, None), (None, "alone here")], "doc_id int, text string")
