@@ -135,7 +135,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the 400-byte strings that occur twice."""
+    """What is left of every document without the 400-byte strings that occur twice.
+
+    ``kept_text`` is the text of the bytes that are left; where a cut went through a character, U+FFFD stands for its rest.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select(
         "doc_id",
@@ -143,6 +146,7 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
     )
 
 

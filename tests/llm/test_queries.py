@@ -119,6 +119,22 @@ def test_op8(spark, docs):
         assert r["kept_sha256"] == digest(kept)
 
 
+def test_op8_tells_what_is_left(spark, tmp_path):
+    words = [f"{n * 7919 % 1000:03d} word{n}" for n in range(60)]
+    # 60 words of over 400 bytes go, 30 words of fewer stay; the last passage begins and ends within a character
+    long, short, within = " ".join(words), " ".join(words[::-1][:30]), "é" * 300
+    texts = ["one " + long + " 1", "two " + long + " 2", "three " + short, "four " + short, None, "", "ȩ" + within + "ĩ", "\u0329" + within + "é"]
+    rows = list(enumerate(texts))
+    assert len(long) > 400 > len(short)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in entry.queries()["op8_suffix_array"](spark, str(tmp_path)).collect()}
+    for (i, t), (runs, kept) in zip(rows, without_repeats([(t or "").encode() for t in texts], 400), strict=True):
+        assert (got[i]["n_removed"], got[i]["n_spans"]) == (sum(b - a for a, b in runs), len(runs))
+        assert (got[i]["kept_sha256"], got[i]["kept_text"]) == (digest(kept), kept.decode("utf-8", "replace"))
+    assert got[0]["n_removed"] >= len(long) and got[2]["kept_text"] == texts[2] and got[4]["kept_text"] == ""
+    assert any("\ufffd" in r["kept_text"] for r in got.values())
+
+
 def test_op9(spark, docs):
     library = tokenizers.Tokenizer.from_file(vocabulary_path())
     for r in run(spark, "op9_bpe"):
