@@ -133,19 +133,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _length(spans: str):
+    """Bytes of all spans of a column."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
 @_query
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that occur twice.
 
     ``kept_text`` is the text of the bytes that are left; where a cut went through a character, U+FFFD stands for its rest.
+    Passages of over 50 words may be shorter than 400 bytes and then stay: ``n_passages`` counts the maximal runs of strings
+    of 250 bytes that occur twice, ``n_repeated`` their bytes.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select(
+    return suffix_dedup.remove_repeats(docs, passages="passages").select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        _length("removed").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        _length("passages").alias("n_repeated"),
+        F.size("passages").cast("long").alias("n_passages"),
         F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
     )
 
@@ -160,17 +169,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _passages(held: DataFrame) -> DataFrame:
     """``n_passages`` counts passages that other documents hold, ``n_inner`` those that no other document has a part of."""
 
-    def length(spans: str):
-        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-
     def apart(p):
         return ~F.exists("shared", lambda s: (s["start"] < p["end"]) & (s["end"] > p["start"]))
 
     return held.select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
-        length("shared").alias("n_repeated"),
-        length("removed").alias("n_removed"),
+        _length("shared").alias("n_repeated"),
+        _length("removed").alias("n_removed"),
         F.size("shared").cast("long").alias("n_passages"),
         "first_ids",
         F.sha2("kept", 256).alias("kept_sha256"),

@@ -14,6 +14,10 @@ groups in descending order, points every suffix of the group to the previous suf
 groups of the suffixes pointed at.  Phase 2 emits suffixes in ascending order: with each suffix the order within the
 groups of those whose prefix ends there is known.  No names are assigned recursively.
 
+Shorter passages can be reported beside the removed strings.  A repeated string of ``length`` bytes holds only repeated
+strings of ``passage`` bytes, at both of its places, so it lies within their runs: those are found first, and the strings of
+``length`` bytes are looked for in the runs alone.
+
 An anchor with more than ``most`` distinct contexts (a passage with as many surroundings) would make one long string; its
 windows are counted by hash over all tasks instead.
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,10 @@ from basketry.session import written
 LENGTH = 400
 ANCHOR = 300
 MOST = 1000
+#: bytes of a passage that is reported: 51 words are hardly ever shorter
+PASSAGE = 250
+#: bytes of it that bring equal strings together
+PASSAGE_ANCHOR = 150
 #: contexts whose joined string is sorted at once, on average
 SORTED_CONTEXTS = 1200
 _PACK = 7
@@ -236,8 +245,11 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
     # one text gives each context, however many hold it
     marked = sorted_.select(F.col("whole").bitwiseXOR(F.col("tid")).alias("mark"))
     wanted = spark.sparkContext.broadcast(tables.hash_set(marked, "mark"))
+    # most texts give none, so they are not hashed again
+    giving = spark.sparkContext.broadcast(tables.hash_set(sorted_.select("tid"), "tid"))
 
     def around(batches):
+        batches = (batch.filter(pa.array(tables.held(giving.value, batch.column(0).to_numpy()))) for batch in batches)
         for part in text_slices(batches, "text"):
             tids, h, whole, _, (b, lo, hi) = _rows(part, length, anchor)
             keep = np.flatnonzero(tables.held(wanted.value, whole ^ tids))
@@ -286,41 +298,101 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
     return written(full.union(by_order).union(by_hash), "repeats")
 
 
+def byte_runs(windows: pa.ListArray, length: int) -> pa.ListArray:
+    """Maximal runs (start, end) of the bytes in windows of ``length`` bytes starting at lo..hi, in order; null is empty."""
+    owner = np.repeat(np.arange(len(windows)), pc.fill_null(pc.list_value_length(windows), 0).to_numpy())
+    flat = windows.flatten()
+    lo, hi = (flat.field(flat.type.get_field_index(c)).to_numpy() for c in ("lo", "hi"))
+    hi = hi + length
+    # texts one after the other, so that none reaches into the next
+    shift = owner * (int(hi.max(initial=0)) + 1)
+    order = np.argsort(lo + shift, kind="stable")
+    lo, hi, shift = (lo + shift)[order], (hi + shift)[order], shift[order]
+    top = np.maximum.accumulate(hi)
+    opens = np.flatnonzero(np.append(True, lo[1:] > top[:-1])[: len(lo)])
+    closes = np.append(opens[1:], len(lo))[: len(opens)] - 1
+    counts = np.bincount(owner[opens], minlength=len(windows))
+    spans = pa.StructArray.from_arrays([pa.array(lo[opens] - shift[opens]), pa.array(top[closes] - shift[closes])], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), spans)
+
+
+_RUNS = "array<struct<start: bigint, end: bigint>>"
+
+
+def _runs_of(windows: DataFrame, length: int, name: str) -> DataFrame:
+    """Rows (tid, name): the maximal runs of bytes of every text in windows (tid, lo, hi)."""
+
+    def merged(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_runs(batch.column(1), length)], names=["tid", name])
+
+    per_text = windows.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+    return per_text.mapInArrow(merged, f"tid long, `{name}` {_RUNS}")
+
+
+def _within(docs: DataFrame, text: str, runs: DataFrame, length: int, anchor: int, most: int) -> DataFrame:
+    """Rows (tid, lo, hi) as of repeated_windows, looked for in the runs (tid, runs) that hold all of them."""
+
+    def pieces(batches):
+        for part in text_slices(batches, "text"):
+            tids = part.batch.column(0).to_pylist()
+            found = [
+                (tid, s["start"], part.data[at + s["start"] : at + s["end"]].tobytes())
+                for tid, at, own in zip(tids, part.start.tolist(), part.batch.column(2).to_pylist(), strict=True)
+                for s in own
+                if s["end"] - s["start"] >= length
+            ]
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["tid", "first", "piece"])
+
+    long = runs.where(F.exists("runs", lambda s: s["end"] - s["start"] >= length))
+    texts = docs.where(F.octet_length(text) >= length).select(F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
+    cut = texts.join(long, "tid").select("tid", "text", "runs").mapInArrow(pieces, "tid long, first long, piece binary")
+    cut = written(cut, "pieces")
+    places = cut.select("tid", "first", F.xxhash64("piece").alias("own")).distinct()
+    found = repeated_windows(cut.select("piece"), "piece", length, anchor, most).withColumnRenamed("tid", "own")
+    return places.join(found, "own").select("tid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+
+
 def remove_repeats(
     docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST,
     spans: str = "removed", kept: str = "kept", as_text: bool = False,
+    passages: str | None = None, passage: int = PASSAGE, passage_anchor: int = PASSAGE_ANCHOR,
 ) -> DataFrame:
     """Adds the removed byte spans (maximal runs: start, end) and what is kept of a text column, as bytes or, without
     characters that lost some of their bytes, as text.
+
+    ``passages`` names a column for the maximal runs of repeated strings of ``passage`` bytes, fewer than ``length``, of
+    which only the removed spans go.
     """
+    if passages is not None and passage > length:
+        raise ValueError("a passage may not be longer than a removed string")
     kind = "string" if as_text else "binary"
-    schema = extended_schema(docs, {spans: "array<struct<start: bigint, end: bigint>>", kept: kind})
-    extended_schema(docs, {"tid": "long", "starts": "long"})
-    repeats = repeated_windows(docs, text, length, anchor, most)
-    per_text = repeats.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    rows = docs.withColumn("tid", F.xxhash64(text)).join(per_text, "tid", "left").select(*docs.columns, "starts")
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    named = {} if passages is None else {passages: _RUNS}
+    schema = extended_schema(docs, named | {spans: _RUNS, kept: kind})
+    extended_schema(docs, {"tid": "long"})
+    if passages is None:
+        per_text = _runs_of(repeated_windows(docs, text, length, anchor, most), length, spans)
+    else:
+        runs = written(_runs_of(repeated_windows(docs, text, passage, passage_anchor, most), passage, "runs"), "runs")
+        gone = _runs_of(_within(docs, text, runs, length, anchor, most), length, spans)
+        per_text = runs.withColumnRenamed("runs", passages).join(gone, "tid", "left")
+    rows = docs.withColumn("tid", F.xxhash64(text)).join(per_text, "tid", "left")
+    rows = rows.select(*docs.columns, *(F.coalesce(c, F.array().cast(_RUNS)).alias(c) for c in [*named, spans]))
 
     def cut(batches):
         for part in text_slices(batches, text):
-            starts = part.batch.column(part.batch.schema.get_field_index("starts")).to_pylist()
-            runs, blobs = [], []
-            for i, found in enumerate(starts):
+            blobs = []
+            for i, own in enumerate(part.batch.column(part.batch.num_columns - 1).to_pylist()):
                 raw = part.data[part.start[i] : part.end[i]]
-                own: list[dict[str, int]] = []
-                for lo, hi in sorted((w["lo"], w["hi"] + length) for w in found or ()):
-                    if own and lo <= own[-1]["end"]:
-                        own[-1]["end"] = max(own[-1]["end"], hi)
-                    else:
-                        own.append({"start": lo, "end": hi})
                 if own:
                     stay = np.ones(len(raw), bool)
                     for s in own:
                         stay[s["start"] : s["end"]] = False
                     raw = raw[stay]
-                runs.append(own)
                 blobs.append(raw.tobytes().decode("utf-8", "ignore") if as_text else raw.tobytes())
-            columns = [*part.batch.columns[:-1], pa.array(runs, pa.list_(span)), pa.array(blobs, pa.string() if as_text else pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.batch.schema.names[:-1], spans, kept])
+            columns = [*part.batch.columns, pa.array(blobs, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(cut, schema)

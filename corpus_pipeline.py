@@ -26,10 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.one_per_group(docs)
 
 
-#: bytes of a repeated string: passages of 51 words are hardly ever shorter
-PASSAGE = 250
-#: bytes of it that bring equal strings together
-PASSAGE_ANCHOR = 150
+PASSAGE = suffix_dedup.PASSAGE
+PASSAGE_ANCHOR = suffix_dedup.PASSAGE_ANCHOR
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,30 @@ def test_repeats_equal_all_windows(spark, seed, most):
         assert bytes(got[i]["kept"]) == kept
 
 
+@pytest.mark.parametrize("most", [1000, 2])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_beside_repeats_equal_all_windows(spark, seed, most):
+    """Runs of shorter strings are told, strings of the full length go; texts with passages only keep all."""
+    r = random.Random(seed)
+    parts = ["".join(r.choice("ab é") for _ in range(r.randrange(5, 40))) for _ in range(40)]
+    texts = ["".join(r.choice(parts) + str(r.random()) * r.randrange(2) for _ in range(r.randrange(0, 6))) for _ in range(60)]
+    texts += ["a" * 70, "a" * 24, "ab" * 30, "", None, texts[0], texts[0], "é" * 13, "a" * 14]
+    raw = [(t or "").encode() for t in texts]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, runs int")
+    found = suffix_dedup.remove_repeats(docs, length=24, anchor=16, most=most, passages="shared", passage=14, passage_anchor=9)
+    assert found.columns == ["doc_id", "text", "runs", "shared", "removed", "kept"]
+    got = {x["doc_id"]: x for x in found.collect()}
+    short, long = without_repeats(raw, 14), without_repeats(raw, 24)
+    for i, ((told, _), (runs, kept)) in enumerate(zip(short, long, strict=True)):
+        assert [(s["start"], s["end"]) for s in got[i]["shared"]] == told, texts[i]
+        assert [(s["start"], s["end"]) for s in got[i]["removed"]] == runs, texts[i]
+        assert bytes(got[i]["kept"]) == kept
+    assert any(told and not runs for (told, _), (runs, _) in zip(short, long, strict=True))
+    assert suffix_dedup.remove_repeats(docs.limit(0), passages="shared").count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, passages="shared", passage=500, passage_anchor=400)
+
+
 def test_repeats_as_text_and_empty(spark):
     docs = spark.createDataFrame([(1, "é" * 30 + "x"), (2, "é" * 30 + "y")], "doc_id int, text string")
     got = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs, length=20, anchor=12, as_text=True).collect()}

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from basketry.llm import suffix_dedup
 from basketry.llm.queries import QUERIES, vocabulary_path
 from tests.llm.helpers import linked, shingles, without_repeats
 from tests.llm.test_duplicates import brute_vectors
@@ -135,6 +136,27 @@ def test_op8_tells_what_is_left(spark, tmp_path):
     assert any("\ufffd" in r["kept_text"] for r in got.values())
 
 
+def test_op8_tells_passages_of_51_words(spark, docs, tmp_path):
+    """Passages of over 50 words and fewer than 400 bytes are told, though they stay; so on the given table."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnoprstuvw"))
+
+    def prose(n):
+        return " ".join("".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(n))
+
+    shared = [prose(51) for _ in range(30)]
+    texts = [f"{prose(30)} {shared[i % 30]} {prose(30)}" for i in range(60)] + [prose(90) for _ in range(20)]
+    assert all(suffix_dedup.PASSAGE < len(p) < 400 for p in shared)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in entry.queries()["op8_suffix_array"](spark, str(tmp_path)).collect()}
+    assert all(len(shared[i % 30]) <= got[i]["n_repeated"] < 400 and got[i]["n_passages"] == 1 for i in range(60))
+    assert all((got[i]["n_repeated"], got[i]["n_passages"]) == (0, 0) for i in range(60, 80))
+    assert all(got[i]["n_removed"] == 0 and got[i]["kept_text"] == texts[i] for i in range(80))
+    rows, ids = {r["doc_id"]: r for r in run(spark, "op8_suffix_array")}, sorted(docs)
+    for i, (runs, _) in zip(ids, without_repeats([docs[i].encode() for i in ids], suffix_dedup.PASSAGE), strict=True):
+        assert (rows[i]["n_repeated"], rows[i]["n_passages"]) == (sum(b - a for a, b in runs), len(runs))
+
+
 def test_op9(spark, docs):
     library = tokenizers.Tokenizer.from_file(vocabulary_path())
     for r in run(spark, "op9_bpe"):
