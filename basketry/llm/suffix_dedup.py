@@ -183,22 +183,51 @@ def _unpacked(at: str = "at"):
     return first.alias("lo"), last.alias("hi")
 
 
+def _most_common(number: np.ndarray, strings: list[bytes], width: int) -> np.ndarray:
+    """Length of the longest prefix, up to ``width``, that each string shares with another one of its number."""
+    order = np.array(sorted(range(len(strings)), key=lambda i: (number[i], strings[i])))
+    table = np.full((len(order), width), 256, np.uint16)
+    for row, i in enumerate(order.tolist()):
+        raw = np.frombuffer(strings[i], np.uint8)[:width]
+        table[row, : len(raw)] = raw
+    same = (table[1:] == table[:-1]) & (number[order[1:]] == number[order[:-1]])[:, None]
+    shared = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = shared
+    out[order[:-1]] = np.maximum(out[order[:-1]], shared)
+    return out
+
+
 def _repeated_starts(group: pa.Table, length: int, anchor: int) -> pa.Table:
-    """Sorts the contexts of a group and gives (tid, lo, hi) of repeated window starts of contexts that occur once."""
+    """Sorts the contexts of a group and gives (tid, lo, hi) of repeated window starts of contexts that occur once.
+
+    Before that, contexts lose what no other context of their anchor has in common with them from the anchor on.
+    """
     width = length - anchor + 1
     h, times, at, tid = (group[c].to_numpy() for c in ("h", "times", "at", "tid"))
-    left = (at >> _PACK) & ((1 << _PACK) - 1)
-    count = left - (at & ((1 << _PACK) - 1)) + 1
+    left, least = (at >> _PACK) & ((1 << _PACK) - 1), at & ((1 << _PACK) - 1)
+    first = at >> (2 * _PACK)
     _, number = np.unique(h, return_inverse=True)
+    blobs = group["around"].to_pylist()
+    cuts = left.tolist()
+    most = np.minimum(left, _most_common(number, [x[:c][::-1] for x, c in zip(blobs, cuts, strict=True)], width - 1))
+    least = np.maximum(least, width - 1 - _most_common(number, [x[c:] for x, c in zip(blobs, cuts, strict=True)], width - 1))
+    keep = np.flatnonzero(least <= most)
+    if not len(keep):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("tid", "lo", "hi")})
+    ends = zip(keep.tolist(), (left - most)[keep].tolist(), (left + width - 1 - least)[keep].tolist(), strict=True)
+    blobs = [blobs[i][p:q] for i, p, q in ends]
+    times, tid, number, first, left, least = (x[keep] for x in (times, tid, number, first, most, least))
+    count = left - least + 1
     pieces, begin, total = [], [], 0
-    for n, blob, before in zip(number.tolist(), group["around"].to_pylist(), left.tolist(), strict=True):
+    for n, blob, before in zip(number.tolist(), blobs, left.tolist(), strict=True):
         raw = np.frombuffer(blob, np.uint8).astype(np.int64) + 2
         begin.append(total)
         pieces += [raw[:before], [258 + n], raw[before:], [1]]
         total += len(raw) + 2
     text = np.concatenate([*pieces, [0]])
     array = np.array(lyndon_suffix_array(text))
-    owner = np.repeat(np.arange(len(h)), count)
+    owner = np.repeat(np.arange(len(count)), count)
     starts = np.repeat(begin, count) + ranks_within(count)
     start_of = np.full(len(text), -1)
     start_of[starts] = np.arange(len(starts))
@@ -213,8 +242,7 @@ def _repeated_starts(group: pa.Table, length: int, anchor: int) -> pa.Table:
     repeated &= times[owner] == 1
     edge = np.flatnonzero(repeated & ~(np.append(False, repeated[:-1]) & np.append(False, owner[1:] == owner[:-1])))
     close = np.flatnonzero(repeated & ~(np.append(repeated[1:], False) & np.append(owner[1:] == owner[:-1], False)))
-    first = (at >> (2 * _PACK)) - left
-    base = first[owner] + ranks_within(count)
+    base = (first - left)[owner] + ranks_within(count)
     return pa.table({"tid": tid[owner[edge]], "lo": base[edge], "hi": base[close]})
 
 
@@ -230,7 +258,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = LENGTH,
             tids, h, whole, at, _ = _rows(part, length, anchor)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, whole, tids, at)], names=["h", "whole", "tid", "at"])
 
-    every = rows.mapInArrow(found, "h long, whole long, tid long, at long")
+    # hashed once; some 25 bytes for each 50 of text
+    every = written(rows.mapInArrow(found, "h long, whole long, tid long, at long"), "every")
     # written, so that the join below is one of two plain shuffles, whose hot keys Spark splits
     often = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
     shared = written(every.join(often, "h", "left_semi"), "contexts")

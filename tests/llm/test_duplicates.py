@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,21 @@ def test_passages_beside_repeats_equal_all_windows(spark, seed, most):
         suffix_dedup.remove_repeats(docs, passages="shared", passage=500, passage_anchor=400)
 
 
+def test_contexts_lose_what_no_other_one_shares():
+    number = np.array([0, 0, 0, 1, 1, 2])
+    strings = [b"abcd", b"abx", b"", b"abcd", b"abcd", b"abcd"]
+    assert suffix_dedup._most_common(number, strings, 3).tolist() == [2, 2, 0, 3, 3, 0]
+    # anchors of 5 bytes at place 9, windows of 7 bytes that begin 2 to 0 bytes before them
+    rows = {"h": [5, 5, 6, 6], "times": [1] * 4, "tid": [1, 2, 3, 4], "at": [9 << 14 | 2 << 7] * 4}
+    for around, want in (
+        ([b"xabc", b"yabc", b"pqrs", b"pqrt"], [(1, 8, 9), (2, 8, 9), (3, 7, 8), (4, 7, 8)]),
+        ([b"xabc", b"yabd", b"pqrs", b"utsr"], [(1, 8, 8), (2, 8, 8)]),
+        ([b"xabc", b"yzde", b"pqrs", b"utsr"], []),
+    ):
+        found = suffix_dedup._repeated_starts(pa.table(rows | {"around": pa.array(around, pa.binary())}), 7, 5)
+        assert sorted(zip(*(found[c].to_pylist() for c in ("tid", "lo", "hi")), strict=True)) == want
+
+
 def test_repeats_as_text_and_empty(spark):
     docs = spark.createDataFrame([(1, "é" * 30 + "x"), (2, "é" * 30 + "y")], "doc_id int, text string")
     got = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(docs, length=20, anchor=12, as_text=True).collect()}
